@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality")
+MODULES = ("mixing", "quality", "neardup", "packing")
 
 
 def queries() -> dict:
