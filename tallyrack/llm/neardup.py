@@ -88,8 +88,16 @@ def _described(width: int):
 
 
 def _set_rows(width: int):
+    """Shingle sets; rows of a key are in one partition, and the first of them speaks for it."""
     def run(batches):
+        done: set[int] = set()
         for b in batches:
+            new = []
+            for i, doc in enumerate(b.column(0).to_pylist()):
+                if doc not in done:
+                    done.add(doc)
+                    new.append(i)
+            b = b.take(pa.array(new, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), long_binary([s.tobytes() for s in shingle_sets(b.column(1), width)])], ["doc", "hashes"])
     return run
 
@@ -111,11 +119,8 @@ def _verified(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (x, y) whose full sets are similar enough; sets are made of the paired documents only."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct()
-    sets = docs.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_set_rows(width), "doc long, hashes binary")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (x, y) whose full sets are similar enough."""
     both = (
         pairs.join(sets.select(F.col("doc").alias("x"), F.col("hashes").alias("hx")), "x")
         .join(sets.select(F.col("doc").alias("y"), F.col("hashes").alias("hy")), "y")
@@ -128,8 +133,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id, kept) for every row of ``docs``.
 
     Texts without words, or null, have n_shingles 0 and are their own component.  Rows with
-    a null key are linked with nothing: component_id is null and kept true.  Rows that share
-    a key share a component; the first text found counts for all of them in verification.
+    a null key are linked with nothing: component_id is null and kept true.  A key is
+    expected to name one text, however often its row is repeated.
     """
     d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     seen = cut(d.mapInArrow(_described(width), "doc long, n_shingles long, print binary, a array<long>, b array<long>"))
@@ -143,7 +148,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     tables = cut(tables.select("doc", F.xxhash64("k", "j", "s").alias("k")))
     hubs = cut(tables.groupBy("k").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "hub"))
     stars = tables.join(hubs, "k").where("doc <> hub").select(F.col("doc").alias("x"), F.col("hub").alias("y")).distinct()
-    links = _links(stars, d, width, percent)
+    stars = cut(stars)
+    # Sets are made of the paired documents only; all that the second round compares are among them.
+    wanted = stars.select(F.col("x").alias("doc")).union(stars.select("y")).distinct()
+    sets = cut(d.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_set_rows(width), "doc long, hashes binary"))
+    links = _links(stars, sets, percent)
     # What the hubs left apart within a table key is compared too.
     parts = components(links, "x", "y")
     label = F.coalesce("component", "doc")
@@ -154,7 +163,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     right = open_.select("k", F.col("doc").alias("y"), F.col("part").alias("py"))
     rest = left.join(right, "k").where("px <> py").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     rest = rest.join(stars, ["x", "y"], "left_anti")
-    more = _links(rest, d, width, percent)
+    more = _links(rest, sets, percent)
     parts = components(links.unionByName(more), "x", "y")
     member = reps.select("print", F.col("doc").alias("rep")).join(parts, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("c"))
     out = seen.select("doc", "n_shingles", "print").join(cut(member), "print", "left")
