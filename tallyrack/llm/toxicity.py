@@ -14,7 +14,6 @@ ones; their weights and the calibration are learned from labelled documents.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER = len(LETTERS) + 1  # 0 is the edge of a word
 BASE = len(LETTERS) + 2
 SUSPECT = r"\pL.*[0-9@$!|+(].*\pL|^[0-9@$!|+(].*\pL.*\pL|\pL[.\-_*~/\\]\pL[.\-_*~/\\]\pL|" + "|".join(3 * c for c in LETTERS)
-EDGES = re.compile(r"^[^\w@$!|+(]+|[^\w@$+(]+$")
+#: Signs that do not belong to a word at its left and right edge.
+LEFT = "\"#%&'*,-./:;<=>?[\\]^`{}~)«»“”„‘’…–—¿¡"
+RIGHT = LEFT + "!|"
 
 
 def code(c: str) -> int:
@@ -101,10 +102,26 @@ class Channel:
         return out[:best]
 
 
-def _features(core: str) -> list[str]:
+def core_of(word: str) -> str:
+    return word.lstrip(LEFT).rstrip(RIGHT)
+
+
+def _features(core: str, wanted: dict[str, set] | None) -> list[str]:
+    """A word and its beginnings; of ``wanted`` features (by their first letters) only, if given."""
+    if wanted is not None:
+        if (own := wanted.get(core[: PREFIXES[0]])) is None:
+            return []
+        return [f for f in (core, *[f"{core[:k]}*" for k in PREFIXES if len(core) > k]) if f in own]
     return [core, *[f"{core[:k]}*" for k in PREFIXES if len(core) > k]] if core else []
 
 
+def by_start(features) -> dict[str, set]:
+    out: dict[str, set] = {}
+    for f in features:
+        out.setdefault(f.removesuffix("*")[: PREFIXES[0]], set()).add(f)
+    return out
+
+
 def _read(texts: pa.Array):
     """Distinct words of a batch, the word number at each place, and the text of each place."""
     flat, counts = words_of(texts, lower=True)
@@ -114,28 +131,28 @@ def _read(texts: pa.Array):
 
 def _spelled(names: list[str], words: pa.Array, at: np.ndarray, text: np.ndarray):
     """(text, word) for each row of three or more single letters."""
-    single = np.array([len(w) == 1 and (w.isalpha() or w in LOOKS_LIKE) for w in (EDGES.sub("", x) if n < 5 else "" for x, n in zip(names, pc.utf8_length(words).to_pylist()))], dtype=bool)
+    single = np.array([len(w) == 1 and (w.isalpha() or w in LOOKS_LIKE) for w in (core_of(x) if n < 5 else "" for x, n in zip(names, pc.utf8_length(words).to_pylist()))], dtype=bool)
     on = np.flatnonzero(single[at]) if len(at) else np.zeros(0, int)
     if len(on) < 3:
         return
     breaks = np.flatnonzero((np.diff(on) != 1) | (np.diff(text[on]) != 0)) + 1
     for run in np.split(on, breaks):
         if len(run) >= 3:
-            yield int(text[run[0]]), "".join(EDGES.sub("", names[i]) for i in at[run])
+            yield int(text[run[0]]), "".join(core_of(names[i]) for i in at[run])
 
 
-def evidence(texts: pa.Array, channel: Channel):
+def evidence(texts: pa.Array, channel: Channel, wanted: dict[str, set] | None = None):
     """(features, feature number, text number): what each text of a batch shows, each once."""
     words, at, text = _read(texts)
     names = words.to_pylist()
     number: dict[str, int] = {}
     of_word: list[list[int]] = []
     suspect = pc.match_substring_regex(words, SUSPECT).to_pylist() if len(words) else []
-    own = lambda core: [number.setdefault(f, len(number)) for f in _features(core)]
+    own = lambda core: [number.setdefault(f, len(number)) for f in _features(core, wanted)]
     for w, odd in zip(names, suspect):
-        f = own(EDGES.sub("", w))
+        f = own(core_of(w))
         if odd:
-            for r in channel.restore(EDGES.sub("", w)):
+            for r in channel.restore(core_of(w)):
                 f += own(r)
         of_word.append(f)
     seen = np.unique(text * max(len(names), 1) + at) if len(at) else np.zeros(0, np.int64)
@@ -203,9 +220,10 @@ def _counted(channel: Channel):
 
 def _clean_counted(channel: Channel, wanted: set):
     def run(batches):
+        starts = by_start(wanted)
         for whole in batches:
             for b in slices(whole, 0):
-                names, f, _ = evidence(b.column(0), channel)
+                names, f, _ = evidence(b.column(0), channel, starts)
                 n = np.bincount(f, minlength=len(names))
                 at = [i for i, x in enumerate(names) if x in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.string()), pa.array(n[at] if at else [], pa.int64())], ["feature", "clean"])
@@ -223,9 +241,10 @@ class Model:
 def _shown(channel: Channel, number: dict[str, int]):
     """(label, words, numbers of the features shown) of each labelled text."""
     def run(batches):
+        starts = by_start(number)
         for whole in batches:
             for b in slices(whole, 1):
-                names, f, t = evidence(b.column(1), channel)
+                names, f, t = evidence(b.column(1), channel, starts)
                 own = np.array([number.get(x, -1) for x in names], np.int64)[f] if names else np.zeros(0, np.int64)
                 on = np.flatnonzero(own >= 0)
                 t, own = t[on], own[on]
@@ -238,10 +257,11 @@ def _shown(channel: Channel, number: dict[str, int]):
 
 def _scored(model: Model):
     def run(batches):
+        starts = by_start(model.weight)
         for whole in batches:
             at = whole.schema.get_field_index("_text")
             for b in slices(whole, at):
-                names, f, t = evidence(b.column(at), model.channel)
+                names, f, t = evidence(b.column(at), model.channel, starts)
                 w = np.array([model.weight.get(x, 0.0) for x in names])
                 z = np.bincount(t, weights=w[f], minlength=len(b)) if len(f) else np.zeros(len(b))
                 z = np.clip(z + model.bias + model.length * np.log1p(words_of(b.column(at))[1]), -30, 30)
