@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "neardup", "packing", "bitpack", "toxicity", "chat", "vectors", "lm")
+MODULES = ("mixing", "quality", "neardup", "packing", "bitpack", "toxicity", "chat", "vectors", "lm", "licenses")
 
 
 def queries() -> dict:
