@@ -83,15 +83,19 @@ class Index:
         self.at = np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)
 
 
-def aligned(template: np.ndarray, text: np.ndarray, shift: int):
-    """(matched words, first place, end) of the best in-order match of the template inside a band around ``shift``."""
-    m, width = len(template), 2 * BAND + 1
+def slack(template: np.ndarray) -> int:
+    return min(BAND, len(template) // 2)
+
+
+def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int):
+    """(matched words, first place, end) of the best in-order match of the template, shifted by ``low`` to ``high``."""
+    m, width = len(template), high - low + 1
     # best[d]: matched words, then the least place where the match began (as -start), then its end
     best = [(0, 0, 0)] * width
     for i in range(m):
         row: list[tuple] = []
         for d in range(width):
-            j = i + shift + d - BAND
+            j = i + low + d
             up = best[d + 1] if d + 1 < width else (0, 0, 0)  # the template word is skipped
             left = row[d - 1] if d else (0, 0, 0)  # the text word is skipped
             cell = max(up, left)
@@ -114,9 +118,10 @@ def matches(w: np.ndarray, index: Index):
     votes = sorted({(int(t), int(p - i)) for p in on for t, i in index.at[lo[p] : hi[p]]})
     group: list[tuple[int, int]] = []
     for vote in [*votes, (-1, 0)]:
-        if group and (vote[0] != group[0][0] or vote[1] - group[0][1] > min(BAND, len(index.words[group[0][0]]) // 2)):
+        if group and (vote[0] != group[0][0] or vote[1] - group[0][1] > slack(index.words[group[0][0]])):
             t = group[0][0]
-            n, start, end = aligned(index.words[t], w, (group[0][1] + group[-1][1]) // 2)
+            more = slack(index.words[t])
+            n, start, end = aligned(index.words[t], w, group[0][1] - more, group[-1][1] + more)
             if n >= MIN_COVERAGE * len(index.words[t]):
                 yield t, n, start, end
             group = []
