@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("listing",)
+BOOKS = [import_module(f"{__package__}.{m}").book for m in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for b in BOOKS for k, f in b.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for b in BOOKS for k, s in b.oracles.items()}
