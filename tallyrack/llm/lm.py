@@ -45,7 +45,7 @@ def _read(texts: pa.Array):
 
 def _counted(batches):
     for whole in batches:
-        for b in slices(whole, 0, 32_000_000):
+        for b in slices(whole, 0, 6_000_000):
             h, cls, at, _ = _read(b.column(0))
             n = np.bincount(at, minlength=len(h))
             end = hashed([END]).view(np.int64)
@@ -174,7 +174,7 @@ def _trained(share, weights, q):
         t = Trainer(weights.value, q)
         voc = share.value
         for whole in batches:
-            for b in slices(whole, 0, 32_000_000):
+            for b in slices(whole, 0, 6_000_000):
                 h, cls, at, counts = _read(b.column(0))
                 t.train(*_sequence(voc.outcome(h, cls)[at], counts, voc.end, voc.size))
         if t.tokens:
@@ -226,7 +226,7 @@ def _scored(shared):
         low = np.log10(voc.tokens + voc.types + 1.0)
         inside = np.log10(voc.share.sum(axis=1) + 1.0)
         for whole in batches:
-            for b in slices(whole, 2, 16_000_000):
+            for b in slices(whole, 2, 4_000_000):
                 h, cls, at, counts = _read(b.column(2))
                 out, c = voc.outcome(h, cls), voc.count(h)
                 w, c1, c2 = _sequence(out[at], counts, voc.end, voc.size)

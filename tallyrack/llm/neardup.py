@@ -4,8 +4,10 @@ Each document has two small collections of sub-keys, each sub-key the hash of a
 minhashes.  A table's key pairs a sub-key of the first collection with one of the second:
 HALVES x HALVES tables are made of 2 x HALVES sub-keys, so that minhash work is about a
 square root of the tables.  Equal sets are joined first.  In every table key the smallest
-document is the hub; candidates are the pairs with a hub, and pairs that the hubs leave in
-different components.  Every candidate is verified on the full shingle sets.
+document is the hub, and candidates are the pairs with it.  A document that a key's main
+component does not take in is then held against further hubs of that component, and in the
+end against all of the key's documents in other components.  Every candidate is verified
+on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ SHINGLE = 5
 #: Sub-keys in each collection, and minhashes in a sub-key.  At similarity 0.8 a pair shares
 #: no table with probability 2 * (1 - 0.8**3)**14 < 0.0001.
 HALVES, ROWS = 14, 3
+#: Rounds in which what a key leaves apart is held against this many hubs of its main component.
+HUB_ROUNDS, HUBS = 1, 10
 #: Rows of a document's hashes times minhashes handled at once.
 CELLS = 4_000_000
 U64 = np.uint64
@@ -143,28 +147,40 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     first = reps.select("doc", F.posexplode("a").alias("i", "s"))
     first = first.select("doc", F.xxhash64("i", "s").alias("k"))
     shared = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    met = first.join(shared, "k", "left_semi")
+    met = cut(first.join(shared, "k", "left_semi"))
     tables = met.join(reps.select("doc", "b"), "doc").select("doc", "k", F.posexplode("b").alias("j", "s"))
-    tables = cut(tables.select("doc", F.xxhash64("k", "j", "s").alias("k")))
-    hubs = cut(tables.groupBy("k").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "hub"))
-    stars = tables.join(hubs, "k").where("doc <> hub").select(F.col("doc").alias("x"), F.col("hub").alias("y")).distinct()
-    stars = cut(stars)
-    # Sets are made of the paired documents only; all that the second round compares are among them.
-    wanted = stars.select(F.col("x").alias("doc")).union(stars.select("y")).distinct()
+    tables = tables.select("doc", F.xxhash64("k", "j", "s").alias("k"))
+    # Of the keys that hold the same documents one is enough.
+    keys = tables.groupBy("k").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("same")).where("n > 1")
+    keys = cut(keys.groupBy("hub", "n", "same").agg(F.min("k").alias("k")).select("k", "hub"))
+    members = cut(tables.join(keys, "k", "left_semi"))
+    tried = cut(members.join(keys, "k").where("doc <> hub").select(F.col("doc").alias("x"), F.col("hub").alias("y")).distinct())
+    # Sets are made of the paired documents only; all that later rounds compare are among them.
+    wanted = tried.select(F.col("x").alias("doc")).union(tried.select("y")).distinct()
     sets = cut(d.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_set_rows(width), "doc long, hashes binary"))
-    links = _links(stars, sets, percent)
-    # What the hubs left apart within a table key is compared too.
+    links = _links(tried, sets, percent)
+    for step in range(HUB_ROUNDS + 1):
+        parts = components(links, "x", "y")
+        named = members.join(parts, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("component", "doc").alias("part"))
+        split = named.groupBy("k").agg(F.min("part").alias("main"), F.max("part").alias("most")).where("main < most").select("k", "main")
+        apart = cut(named.join(split, "k"))
+        if apart.isEmpty():
+            break
+        outside = apart.where("part <> main")
+        if step < HUB_ROUNDS:  # each document outside against some hubs of the component that it shares a key with
+            near = outside.select("doc", "main").distinct()
+            hubs = parts.select("node", "component").union(parts.select("component", "component").distinct()).join(near.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
+            pick = [F.min_by("node", F.xxhash64("node", F.lit(step * HUBS + i))) for i in range(HUBS)]
+            hubs = hubs.groupBy("component").agg(F.array_distinct(F.array(*pick)).alias("hubs"))
+            hubs = hubs.union(near.select("main", F.array("main")).distinct().join(hubs.select(F.col("component").alias("main")), "main", "left_anti"))
+            pairs = near.join(hubs, F.col("main") == F.col("component")).select(F.col("doc").alias("a"), F.explode("hubs").alias("b"))
+        else:  # whatever is left apart within a key
+            pairs = outside.select("k", F.col("doc").alias("a"), F.col("part").alias("pa")).join(apart.select("k", F.col("doc").alias("b"), F.col("part").alias("pb")), "k").where("pa <> pb")
+        pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct().join(tried, ["x", "y"], "left_anti")
+        pairs = cut(pairs)
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(_links(pairs, sets, percent))
     parts = components(links, "x", "y")
-    label = F.coalesce("component", "doc")
-    named = tables.join(hubs.select("k"), "k", "left_semi").join(parts, F.col("doc") == F.col("node"), "left").select("k", "doc", label.alias("part"))
-    split = named.groupBy("k").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("k", "least")
-    open_ = cut(named.join(split, "k"))
-    left = open_.where("part <> least").select("k", F.col("doc").alias("x"), F.col("part").alias("px"))
-    right = open_.select("k", F.col("doc").alias("y"), F.col("part").alias("py"))
-    rest = left.join(right, "k").where("px <> py").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    rest = rest.join(stars, ["x", "y"], "left_anti")
-    more = _links(rest, sets, percent)
-    parts = components(links.unionByName(more), "x", "y")
     member = reps.select("print", F.col("doc").alias("rep")).join(parts, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("c"))
     out = seen.select("doc", "n_shingles", "print").join(cut(member), "print", "left")
     c = F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("c", "doc"))
