@@ -3,8 +3,9 @@
 The model predicts an outcome from the two before it: the sum of two context vectors,
 times the outcome's vector, plus a bias.  Outcomes are the most frequent words, the end,
 and for other words the class of their last two characters; inside a class a word has its
-smoothed share of the class.  Every partition trains on all its training documents from
-the same start and the results are averaged, weighted by tokens.  Contexts are pairs of
+smoothed share of the class.  A bounded warm-up gives a common start, from which
+every partition trains on all its training documents; the results are averaged, weighted by
+tokens.  Contexts are pairs of
 outcomes, so that matrix products over all contexts give every normaliser once, and text
 scores are then gathered.
 
@@ -26,11 +27,13 @@ from .packing import slices
 #: Outcomes: words, and classes of other words.  Width of a vector.
 WORDS, CLASSES, WIDTH = 1000, 256, 24
 #: Noise samples shared by a batch, targets in a batch, step of the gradient.
-NOISE, BATCH, STEP = 32, 4096, 0.1
+NOISE, BATCH, STEP = 32, 1024, 0.2
 #: Words whose counts are broadcast at most.
 BROADCAST_WORDS = 400_000
-#: In the first round every so many-th training document (by hash) is used; in the second all.
-WARM_UP = 8
+#: Training documents (by hash) from which one task makes the common start; all of them teach after it.
+WARM_UP = 3000
+#: The warm-up repeats its documents until it has taken so many tokens.
+WARM_TOKENS = 3_000_000
 END = "\n"  # no word holds a line feed
 
 
@@ -131,9 +134,9 @@ def start_weights(q: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive gradient steps (with per-element scaling) on batches of outcomes."""
 
-    def __init__(self, weights: np.ndarray, q: np.ndarray):
+    def __init__(self, weights: np.ndarray, q: np.ndarray, scale: np.ndarray | None = None):
         self.m = len(q)
-        self.x, self.scale = weights.copy(), np.full_like(weights, 1.0)
+        self.x, self.scale = weights.copy(), np.ones_like(weights) if scale is None else scale.copy()
         self.logq = np.log(NOISE * q).astype(np.float32)
         self.cum = np.cumsum(q)
         self.rng = np.random.default_rng(5)
@@ -169,33 +172,43 @@ class Trainer:
         x -= STEP * g / np.sqrt(self.scale)
 
 
-def _trained(share, weights, q):
+ROWS = "row long, n double, " + ", ".join(f"{k}{i} double" for k in "ds" for i in range(WIDTH + 1))
+
+
+def _trained(shared, start, q, least: int = 0):
     def run(batches):
-        t = Trainer(weights.value, q)
-        voc = share.value
+        t = Trainer(start.value[0], q, start.value[1])
+        voc, kept = shared.value, []
         for whole in batches:
             for b in slices(whole, 0, 6_000_000):
                 h, cls, at, counts = _read(b.column(0))
-                t.train(*_sequence(voc.outcome(h, cls)[at], counts, voc.end, voc.size))
+                seq = _sequence(voc.outcome(h, cls)[at], counts, voc.end, voc.size)
+                t.train(*seq)
+                if least:
+                    kept.append(seq)
+        while kept and t.tokens < least:
+            for seq in kept:
+                t.train(*seq)
         if t.tokens:
-            cols = [pa.array(np.arange(len(t.x))), pa.array(np.full(len(t.x), float(t.tokens)))]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(t.x[:, i].astype(np.float64)) for i in range(WIDTH + 1)]], ["row", "n", *[f"d{i}" for i in range(WIDTH + 1)]])
+            both = np.hstack([t.x, t.scale]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), pa.array(np.full(len(both), float(t.tokens))), *map(pa.array, both.T.copy())], [f.split()[0] for f in ROWS.split(", ")])
 
     return run
 
 
-def fit(texts: DataFrame, voc: Vocabulary, q: np.ndarray, key: str, text: str) -> np.ndarray:
-    """Averaged weights: one sum a weight, so what the driver gets does not grow with the data."""
-    spark, weights = texts.sparkSession, start_weights(q)
-    shared = spark.sparkContext.broadcast(voc)
-    schema = "row long, n double, " + ", ".join(f"d{i} double" for i in range(WIDTH + 1))
-    warm = F.pmod(F.xxhash64(key), F.lit(WARM_UP)) == 0
-    for part in (texts.where(warm), texts):
-        now = spark.sparkContext.broadcast(weights)
-        sums = part.select(text).mapInArrow(_trained(shared, now, q), schema).groupBy("row").agg(*[(F.sum(F.col("n") * F.col(f"d{i}")) / F.sum("n")).alias(f"d{i}") for i in range(WIDTH + 1)])
-        got = sums.toPandas()
+def fit(texts: DataFrame, voc: Vocabulary, q: np.ndarray, key: str, text: str, warm_tokens: int) -> np.ndarray:
+    """Averaged weights: one mean a weight, so what the driver gets does not grow with the data."""
+    sc = texts.sparkSession.sparkContext
+    shared, weights, scale = sc.broadcast(voc), start_weights(q), None
+    docs = texts.select(F.lit(1)).count()
+    warm = texts if docs <= WARM_UP else texts.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(WARM_UP / docs * (1 << 30)))
+    for part, least in ((warm.select(text).coalesce(1), warm_tokens), (texts.select(text), 0)):
+        start = sc.broadcast((weights, scale))
+        mean = [(F.sum(F.col("n") * F.col(f"{k}{i}")) / F.sum("n")).alias(f"{k}{i}") for k in "ds" for i in range(WIDTH + 1)]
+        got = part.mapInArrow(_trained(shared, start, q, least), ROWS).groupBy("row").agg(*mean).toPandas()
         if len(got):
-            weights = got.sort_values("row").drop(columns="row").to_numpy(np.float32)
+            both = got.sort_values("row").drop(columns="row").to_numpy(np.float32)
+            weights, scale = both[:, : WIDTH + 1].copy(), both[:, WIDTH + 1 :].copy()
     return weights
 
 
@@ -257,7 +270,7 @@ NAMES = ["rid", "h", "times", "doc", "held", "n", "known", "base", "total"]
 SCORES = "rid long, h long, times long, doc long, held boolean, n long, known long, base double, total double"
 
 
-def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: int = 2, folds: int = 7) -> DataFrame:
+def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: int = 2, folds: int = 7, warm_tokens: int = WARM_TOKENS) -> DataFrame:
     """One row for each row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the key (a null key: empty text) modulo ``folds`` is ``held_out``
