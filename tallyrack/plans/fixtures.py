@@ -18,12 +18,12 @@ SQL = {
   FROM orders JOIN customer ON c_custkey = o_custkey""",
     "f_jh": "SELECT *, unnest(host_list) AS h FROM f_job",
     "f_js": "SELECT j.jid, j.start_time, j.end_time, j.nhosts, j.ncores, s.host, s.time, s.type, s.dev, s.event, s.value FROM f_jh j JOIN f_sample s ON s.host = j.h AND s.time >= j.start_time AND s.time <= j.end_time",
-    "f_delta": """SELECT *, CASE WHEN v - p < 0 THEN (v - p + 281474976710656.0::DOUBLE) ELSE v - p END * 512 AS delta FROM
+    "f_delta": """SELECT *, CASE WHEN v - p < 0 THEN (v - p + 65536.0::DOUBLE) ELSE v - p END * 512 AS delta FROM
   (SELECT f_sample.*, value AS v, lag(value) OVER (PARTITION BY host, type, dev, event ORDER BY time) AS p FROM f_sample)""",
     "f_wide": "SELECT l_shipdate AS time, 's'||CAST(l_suppkey%20 AS STRING) AS host, CAST(l_linenumber AS STRING) AS dev, l_returnflag AS type, l_linestatus AS event, l_quantity AS value, l_quantity - 20 AS arc FROM lineitem",
     # cumulative-looking counters of four hosts on a common daily axis, a job a year
-    "f_grid": """SELECT 'j'||CAST(year(l_shipdate) AS STRING) AS jid, 'g'||CAST(l_suppkey%4 AS STRING) AS host, l_shipdate AS time, 'e'||CAST(l_linenumber%3 AS STRING) AS event,
-  sum(l_quantity) + epoch(l_shipdate)/864 AS value, sum(l_quantity) AS arc FROM lineitem GROUP BY ALL""",
+    "f_grid": """SELECT jid, host, time, event, q + epoch(time)/864 AS value, q AS arc FROM (SELECT 'j'||CAST(year(l_shipdate) AS STRING) AS jid, 'g'||CAST(l_suppkey%4 AS STRING) AS host,
+  l_shipdate AS time, 'e'||CAST(l_linenumber%3 AS STRING) AS event, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3, 4)""",
     "f_metric": """SELECT jid, type, 'avg_'||event AS metric, '#' AS units, CASE WHEN count(*) > 1 THEN avg(value) END AS value, CASE WHEN count(*) > 1 THEN NULL ELSE 'insufficient' END AS no_data_reason FROM f_js GROUP BY jid, type, event""",
 }
 NEEDS = {"f_jh": ["f_job"], "f_js": ["f_sample", "f_job", "f_jh"], "f_delta": ["f_sample"], "f_metric": ["f_sample", "f_job", "f_jh", "f_js"]}
