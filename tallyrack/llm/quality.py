@@ -27,7 +27,7 @@ REACH = 3
 BROADCAST_GROUPS = 100_000
 SALTS = 32
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-INNER = ("_text", "_w", "_h", "_lines", "_s", "_p", "_g", "_salt")
+INNER = ("_text", "_w", "_h", "_lines", "_s", "_p", "_g", "_salt", "_row")
 
 
 def _pairs(a: Column, f) -> Column:
@@ -115,9 +115,11 @@ def judged(stats: DataFrame, limits: DataFrame, lang: str = "lang", source: str
 
 def quality_filtered(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``; texts are never shuffled."""
-    stats = with_stats(docs)
+    # A column that is not deterministic keeps the filter, and with it the statistics, from being
+    # copied below the join and computed again for each of its terms.
+    stats = with_stats(docs).withColumn("_row", F.monotonically_increasing_id())
     limits = thresholds(sketches(stats))
-    return judged(stats, limits).where("kept").select(*docs.columns)
+    return judged(stats, limits).where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
