@@ -204,7 +204,7 @@ def user_failure_rates(spark, sf):
     return A.failure_rates(X.jobs(spark, sf), 300)
 
 
-@book("user_gpu_rollup", "f_metric", "SELECT username, round(sum(value) FILTER (metric = 'avg_k0'), 4) AS active, round(sum(value) FILTER (metric = 'avg_k1'), 4) AS total FROM f_metric JOIN f_job USING (jid) WHERE metric IN ('avg_k0', 'avg_k1') GROUP BY username")
+@book("user_gpu_rollup", "f_metric", "SELECT username, round(coalesce(sum(value) FILTER (metric = 'avg_k0'), 0), 4) AS active, round(coalesce(sum(value) FILTER (metric = 'avg_k1'), 0), 4) AS total FROM f_metric JOIN f_job USING (jid) WHERE metric IN ('avg_k0', 'avg_k1') GROUP BY username")
 def user_gpu_rollup(spark, sf):
     return A.gpu_rollup(f_metric(spark, sf), X.jobs(spark, sf), "avg_k0", "avg_k1").select("username", F.round("active", 4).alias("active"), F.round("total", 4).alias("total"))
 
