@@ -6,7 +6,7 @@ HALVES x HALVES tables are made of 2 x HALVES sub-keys, so that minhash work is
 square root of the tables.  Equal sets are joined first.  In every table key the smallest
 document is the hub, and candidates are the pairs with it.  A document that a key's main
 component does not take in is then held against further hubs of that component, and in the
-end against all of the key's documents in other components.  Every candidate is verified
+end against all documents of the components that it shares a key with.  Every candidate is verified
 on the full shingle sets.
 """
 
@@ -27,7 +27,7 @@ SHINGLE = 5
 #: no table with probability 2 * (1 - 0.8**3)**14 < 0.0001.
 HALVES, ROWS = 14, 3
 #: Rounds in which what a key leaves apart is held against this many hubs of its main component.
-HUB_ROUNDS, HUBS = 1, 10
+HUB_ROUNDS, HUBS = 2, 10
 #: Rows of a document's hashes times minhashes handled at once.
 CELLS = 4_000_000
 U64 = np.uint64
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     for step in range(HUB_ROUNDS + 1):
         parts = components(links, "x", "y")
         named = members.join(parts, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("component", "doc").alias("part"))
-        split = named.groupBy("k").agg(F.min("part").alias("main"), F.max("part").alias("most")).where("main < most").select("k", "main")
+        split = named.groupBy("k").agg(F.mode("part", True).alias("main"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("k", "main")
         apart = cut(named.join(split, "k"))
         if apart.isEmpty():
             break
@@ -174,8 +174,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             hubs = hubs.groupBy("component").agg(F.array_distinct(F.array(*pick)).alias("hubs"))
             hubs = hubs.union(near.select("main", F.array("main")).distinct().join(hubs.select(F.col("component").alias("main")), "main", "left_anti"))
             pairs = near.join(hubs, F.col("main") == F.col("component")).select(F.col("doc").alias("a"), F.explode("hubs").alias("b"))
-        else:  # whatever is left apart within a key
-            pairs = outside.select("k", F.col("doc").alias("a"), F.col("part").alias("pa")).join(apart.select("k", F.col("doc").alias("b"), F.col("part").alias("pb")), "k").where("pa <> pb")
+        else:  # whatever is still outside against all documents of the components that it shares a key with
+            beside = apart.select("k", F.col("part").alias("pb")).distinct()
+            near = outside.select("k", F.col("doc").alias("a"), F.col("part").alias("pa")).join(beside, "k").where("pa <> pb").select("a", "pb").distinct()
+            pairs = near.join(named.select(F.col("doc").alias("b"), F.col("part").alias("pb")).distinct(), "pb").select("a", "b")
         pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct().join(tried, ["x", "y"], "left_anti")
         pairs = cut(pairs)
         tried = tried.unionByName(pairs)
