@@ -5,10 +5,14 @@ Templates are cut into word k-grams; of every window of k-grams the least hash i
 goes to every task.  Each place of a text whose k-gram is in the index votes for a template
 and a shift; around the shifts that are close to one another the template is aligned with
 the text in a band, which gives the share of its words that match, in order, and the span.
+A notice or header that differs from its neighbours by a word also needs one of its
+identifying phrases, unbroken, in the span.  Of overlapping spans the best matched template stays.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,19 +26,35 @@ BAND = 12
 MIN_COVERAGE = 0.75
 STRIP = ".,;:!?\"'()[]{}<>*#/-“”‘’"
 
-#: Public notices and licence paragraphs.
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+        BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Public notices, headers and whole short licences.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "bsd-notice": "Released under the BSD License.",
+    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "all-rights-reserved": "All rights reserved.",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
         files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
         merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
         to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
         copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+        IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
         the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
         or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
@@ -42,13 +62,66 @@ TEMPLATES = {
     "gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
         as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
         is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
-        or FITNESS FOR A PARTICULAR PURPOSE.""",
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the
+        GNU General Public License along with this program. If not, see""",
+    "lgpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+        program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have
+        received a copy of the GNU Lesser General Public License along with this program. If not, see""",
+    "agpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+        program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have
+        received a copy of the GNU Affero General Public License along with this program. If not, see""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at""",
     "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
         following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the
         following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
-        following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        following disclaimer in the documentation and/or other materials provided with the distribution. """ + DISCLAIMER,
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright
+        holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+        prior written permission. """ + DISCLAIMER,
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-        provided that the above copyright notice and this permission notice appear in all copies.""",
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+        AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+        EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+        FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+        and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and
+        to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+        present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+        TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+_GNU = ["version {}", "version {}.0", "v{}", "v{}.0"]
+#: Of these one phrase must stand in the span, word by word (the name, its variant and its version).
+PHRASES = {
+    "mit-notice": ["MIT License", "MIT Licence"],
+    "bsd-notice": ["BSD License", "BSD Licence"],
+    "apache-2.0-notice": ["Apache License Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache License Version 2"],
+    "apache-2.0-header": ["Apache License Version 2.0"],
+    "mpl-2.0-notice": ["Mozilla Public License Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "Mozilla Public License v. 2.0"],
+    "mpl-2.0-header": ["Mozilla Public License v. 2.0"],
+    "gpl-3.0-notice": [f"GNU General Public License {v.format(3)}" for v in _GNU],
+    "gpl-2.0-notice": [f"GNU General Public License {v.format(2)}" for v in _GNU],
+    "lgpl-3.0-notice": [f"GNU Lesser General Public License {v.format(3)}" for v in _GNU],
+    "lgpl-2.1-notice": ["GNU Lesser General Public License version 2.1", "GNU Lesser General Public License v2.1"],
+    "agpl-3.0-notice": [f"GNU Affero General Public License {v.format(3)}" for v in _GNU],
+    "gpl-header": ["GNU General Public License"],
+    "lgpl-header": ["GNU Lesser General Public License"],
+    "agpl-header": ["GNU Affero General Public License"],
+    "cc-by-4.0-notice": ["CC BY 4.0", "CC-BY 4.0"],
+    "cc-by-sa-4.0-notice": ["CC BY-SA 4.0", "CC-BY-SA 4.0"],
+    "cc-by-nc-4.0-notice": ["CC BY-NC 4.0", "CC-BY-NC 4.0"],
 }
 
 
@@ -72,6 +145,9 @@ def winnowed(g: np.ndarray) -> list[int]:
 class Index:
     def __init__(self, templates: dict[str, str]):
         self.names, self.words, rows = list(templates), [], []
+        # An own template of a known name has its own words.
+        own = [PHRASES.get(n, []) if templates[n] == TEMPLATES.get(n) else [] for n in self.names]
+        self.phrases = [[_clean(p.lower().split()) for p in ps] for ps in own]
         for t, text in enumerate(templates.values()):
             flat, _ = words_of(pa.array([text]), lower=True)
             w = _clean(flat.to_pylist())
@@ -108,8 +184,23 @@ def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int):
     return n, -start, end
 
 
+def _holds(w: np.ndarray, phrases: list[np.ndarray]) -> bool:
+    return not phrases or any((w[i : i + len(p)] == p).all() for p in phrases for i in range(len(w) - len(p) + 1))
+
+
 def matches(w: np.ndarray, index: Index):
-    """(template, matched, start, end) of every copy in one text; of overlapping copies of a template the best."""
+    """(template, matched, start, end) of every copy in one text; of overlapping spans the one
+    with the most matched over unmatched template words."""
+    kept: list[tuple[int, int, int, int]] = []
+    for t, n, start, end in sorted(_copies(w, index), key=lambda x: (len(index.words[x[0]]) - 2 * x[1], x[2], x[0])):
+        at = bisect(kept, start, key=lambda x: x[2])
+        if (not at or kept[at - 1][3] <= start) and (at == len(kept) or end <= kept[at][2]):
+            kept.insert(at, (t, n, start, end))
+    yield from kept
+
+
+def _copies(w: np.ndarray, index: Index):
+    """(template, matched, start, end) of every copy in one text."""
     g = grams(w)
     if not len(g) or not len(index.hash):
         return
@@ -122,7 +213,8 @@ def matches(w: np.ndarray, index: Index):
             t = group[0][0]
             more = slack(index.words[t])
             n, start, end = aligned(index.words[t], w, group[0][1] - more, group[-1][1] + more)
-            if n >= MIN_COVERAGE * len(index.words[t]):
+            # One more word: a version written otherwise than in the template ends after the last match.
+            if n >= MIN_COVERAGE * len(index.words[t]) and _holds(w[start : end + 1], index.phrases[t]):
                 yield t, n, start, end
             group = []
         group.append(vote)

@@ -32,3 +32,22 @@ def test_edits_nulls_and_repeats(spark):
     assert (7, "mit", 1.0, 30000, 30000 + len(mit)) in got
     assert found(spark, ["all rights reserved"], templates={}) == []
     assert license_spans(spark.createDataFrame([], "doc_id long, text string, license int")).count() == 0
+
+
+def test_neighbouring_licences_do_not_match(spark):
+    pairs = {
+        "Released under the BSD License.": "bsd-notice", "Licensed under CC BY 4.0.": "cc-by-4.0-notice", "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0-notice",
+        "Licensed under CC BY-NC-ND 4.0.": None, "Licensed under CC BY-NC 3.0.": None, "Apache License, Version 1.1": None, "Licensed under the Apache License, Version 1.1.": None,
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-notice", "This work is licensed under the GNU General Public License, version 3.0.": "gpl-3.0-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0-notice", "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0-notice",
+        "Released under the MIT License.": "mit-notice", "Licensed under the Apache License 2.0.": "apache-2.0-notice",
+    }
+    got = found(spark, list(pairs))
+    assert [(g[0], g[1]) for g in got] == [(i, n) for i, n in enumerate(pairs.values()) if n]
+
+
+def test_whole_texts_match_as_themselves_alone(spark):
+    names = list(TEMPLATES)
+    texts = ["some words first " + TEMPLATES[n] + " and some after" for n in names]
+    assert found(spark, texts) == [(i, n, 1.0, 3, 3 + len(TEMPLATES[n].split())) for i, n in enumerate(names)]
+    assert "POSSIBILITY OF SUCH DAMAGE" in TEMPLATES["bsd-2-clause"] and "DEALINGS IN THE SOFTWARE" in TEMPLATES["mit"]
