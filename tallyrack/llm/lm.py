@@ -196,13 +196,21 @@ def _trained(shared, start, q, least: int = 0):
     return run
 
 
+def warm_up(texts: DataFrame, docs: int, key: str, text: str) -> DataFrame:
+    """The texts of about WARM_UP of ``docs`` documents in one partition: drawn in parallel by the hash
+    of key and text, equal rows once, so that neither a hot key nor a hot row comes in whole."""
+    pick = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("k", "t"))
+    if docs > WARM_UP:
+        pick = pick.where(F.pmod("h", F.lit(1 << 30)) < int(WARM_UP / docs * (1 << 30))).dropDuplicates(["k", "t"])
+    return pick.repartition(1).sortWithinPartitions("h", "t").select("t")
+
+
 def fit(texts: DataFrame, voc: Vocabulary, q: np.ndarray, key: str, text: str, warm_tokens: int) -> np.ndarray:
     """Averaged weights: one mean a weight, so what the driver gets does not grow with the data."""
     sc = texts.sparkSession.sparkContext
     shared, weights, scale = sc.broadcast(voc), start_weights(q), None
     docs = texts.select(F.lit(1)).count()
-    warm = texts if docs <= WARM_UP else texts.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(WARM_UP / docs * (1 << 30)))
-    for part, least in ((warm.select(text).coalesce(1), warm_tokens), (texts.select(text), 0)):
+    for part, least in ((warm_up(texts, docs, key, text), warm_tokens), (texts.select(text), 0)):
         start = sc.broadcast((weights, scale))
         mean = [(F.sum(F.col("n") * F.col(f"{k}{i}")) / F.sum("n")).alias(f"{k}{i}") for k in "ds" for i in range(WIDTH + 1)]
         got = part.mapInArrow(_trained(shared, start, q, least), ROWS).groupBy("row").agg(*mean).toPandas()
@@ -288,7 +296,7 @@ def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out
     mass = np.concatenate([np.zeros(len(voc.top)), voc.share[:, 0]])
     mass[voc.top_id] = np.maximum(voc.count(voc.top), 0)
     q = (mass + 0.5) / (mass + 0.5).sum()
-    first, second = tables(fit(taught, voc, q, key, text), len(q))
+    first, second = tables(fit(taught, voc, q, key, text, warm_tokens), len(q))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((first, second))
     rows = spark.range(len(q) + 1).repartition(24).mapInArrow(_normalised(shared), "i long, z binary").toPandas().sort_values("i")

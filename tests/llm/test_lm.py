@@ -58,3 +58,12 @@ def test_probabilities_sum_to_one():
     z = first[1] + second[0]
     p = np.exp(z - np.log(np.exp(z).sum()))
     assert abs(p.sum() - 1) < 1e-5 and p.argmax() == 2
+
+
+def test_warm_up_is_drawn_in_parallel_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WARM_UP", 100)
+    rows = [(None, f"text {i}") for i in range(1500)] + [(None, "the same")] * 1500 + [(i, f"own {i}") for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    warm = lm.warm_up(d, len(rows), "doc_id", "text")
+    assert "Exchange SinglePartition" in warm._jdf.queryExecution().executedPlan().toString() and warm.rdd.getNumPartitions() == 1
+    assert 40 <= warm.count() <= 150
