@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder, table
-from .packing import slices
+from .common import cut, shared_folder, slices, table
 from .tokens import encode, tokenizer_path, vocabulary_size
 
 MAGIC = b"TRBITS01"

@@ -85,5 +85,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4_000_000):
+    """Pieces of a batch whose texts hold about ``limit`` bytes each (one text at least)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(size):
+        base = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def runs(batches, keys: int):
+    """Complete groups of a stream sorted by its first ``keys`` columns."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy() for i in range(keys)]
+        if rest and any(rest[-1].column(i)[0].as_py() != b.column(i)[0].as_py() for i in range(keys)):
+            yield joined(rest)
+            rest = []
+        breaks = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        edges = [0, *breaks.tolist()]
+        for a, z in zip(edges, edges[1:]):
+            yield joined([*rest, b.slice(a, z - a)])
+            rest = []
+        rest.append(b.slice(edges[-1]))
+    if rest:
+        yield joined(rest)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def long_binary(parts: list[bytes | None]) -> pa.Array:
     return pa.array(parts, type=pa.binary())

@@ -17,8 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import hashed, mix64, table, words_of
-from .packing import slices
+from .common import hashed, mix64, slices, table, words_of
 
 GRAM, WINNOW = 3, 4
 #: Words by which a copy may be shifted against its template within one alignment.

@@ -21,8 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, hashed, mix64, table, words_of
-from .packing import slices
+from .common import crc_mod, cut, hashed, mix64, slices, table, words_of
 
 #: Outcomes: words, and classes of other words.  Width of a vector.
 WORDS, CLASSES, WIDTH = 1000, 256, 24

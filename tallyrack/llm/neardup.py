@@ -3,11 +3,13 @@
 Each document has two small collections of sub-keys, each sub-key the hash of a few
 minhashes.  A table's key pairs a sub-key of the first collection with one of the second:
 HALVES x HALVES tables are made of 2 x HALVES sub-keys, so that minhash work is about a
-square root of the tables.  Equal sets are joined first.  In every table key the smallest
-document is the hub, and candidates are the pairs with it.  A document that a key's main
-component does not take in is then held against further hubs of that component, and in the
-end against all documents of the components that it shares a key with.  Every candidate is verified
-on the full shingle sets.
+square root of the tables.  Equal sets are joined first.  In every table key the document
+that shares most keys with others is the hub, and candidates are the pairs with it.  What a
+key's main component does not take in is then held against a few members of it, and what
+is still apart after that in blocks: its documents outside against all of the main
+component in such keys, and those outside against one another within the key.  A block
+counts common shingles by matrix products and returns links only, so no row for each pair
+is made.  Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,15 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hashed, long_binary, mix64, table, words_of
+from .common import cut, hashed, long_binary, mix64, runs, slices, table, words_of
 from .components import components
 
 SHINGLE = 5
 #: Sub-keys in each collection, and minhashes in a sub-key.  At similarity 0.8 a pair shares
 #: no table with probability 2 * (1 - 0.8**3)**14 < 0.0001.
 HALVES, ROWS = 14, 3
-#: Rounds in which what a key leaves apart is held against this many hubs of its main component.
-HUB_ROUNDS, HUBS = 2, 10
+#: Rounds in which what a key leaves apart is held against a member of its main component.
+HUB_ROUNDS = 2
+#: Documents and shingles of each side of a block; shingles compared at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 500_000, 4096
+#: Keys of documents that are broadcast at most.
+BROADCAST_KEYS = 500_000
+#: Bytes of text whose shingles are made at once.
+TEXT_BYTES = 2_000_000
 #: Rows of a document's hashes times minhashes handled at once.
 CELLS = 4_000_000
 U64 = np.uint64
@@ -78,110 +86,156 @@ def _sub_keys(low: np.ndarray) -> np.ndarray:
 
 def _described(width: int):
     def run(batches):
-        for b in batches:
-            sets = shingle_sets(b.column(1), width)
-            keys = [_sub_keys(_signature(s)) if len(s) else None for s in sets]
-            half = lambda k: None if k is None else k
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                long_binary([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]),
-                pa.array([half(k if k is None else k[:HALVES]) for k in keys], pa.list_(pa.int64())),
-                pa.array([half(k if k is None else k[HALVES:]) for k in keys], pa.list_(pa.int64())),
-            ], ["doc", "n_shingles", "print", "a", "b"])
+        for whole in batches:
+            for b in slices(whole, 1, TEXT_BYTES):
+                sets = shingle_sets(b.column(1), width)
+                keys = [_sub_keys(_signature(s)) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    long_binary([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]),
+                    pa.array([k if k is None else k[:HALVES] for k in keys], pa.list_(pa.int64())),
+                    pa.array([k if k is None else k[HALVES:] for k in keys], pa.list_(pa.int64())),
+                ], ["doc", "n_shingles", "print", "a", "b"])
+
     return run
 
 
 def _set_rows(width: int):
-    """Shingle sets; rows of a key are in one partition, and the first of them speaks for it."""
     def run(batches):
-        done: set[int] = set()
-        for b in batches:
-            new = []
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                if doc not in done:
-                    done.add(doc)
-                    new.append(i)
-            b = b.take(pa.array(new, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), long_binary([s.tobytes() for s in shingle_sets(b.column(1), width)])], ["doc", "hashes"])
+        for whole in batches:
+            for b in slices(whole, 1, TEXT_BYTES):
+                sets = shingle_sets(b.column(1), width)
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc", "hashes"])
+
     return run
 
 
-def _verified(percent: int):
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of each set on the left with each on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    every, flat = zip(*((np.repeat(np.arange(len(side)), [len(s) for s in side]), np.concatenate(side)) for side in (left, right)))
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if len(both):
+        at = [np.minimum(np.searchsorted(both, f), len(both) - 1) for f in flat]
+        on = [np.flatnonzero(both[a] == f) for a, f in zip(at, flat)]
+        for c in range(0, len(both), COLUMNS):
+            dense = []
+            for side, rows, a, o in zip((left, right), every, at, on):
+                own = o[(a[o] >= c) & (a[o] < c + COLUMNS)]
+                x = np.zeros((len(side), min(COLUMNS, len(both) - c)), np.float32)
+                x[rows[own], a[own] - c] = 1
+                dense.append(x)
+            out += dense[0] @ dense[1].T
+    return out
+
+
+def _settled(percent: int):
+    """Of each block, one link for each two components that a pair of documents links."""
     def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                short, long = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(short) < percent * len(long):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                common = int((long[at] == short).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+        for g in runs(batches, 4):
+            side, doc, part = (g.column(i).to_numpy() for i in (4, 5, 6))
+            sets = [s.values.to_numpy() for s in g.column(7)]
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
+                continue
+            common = common_counts([sets[i] for i in left], [sets[i] for i in right])
+            size = np.array([len(s) for s in sets], np.float64)
+            hit = (100 + percent) * common.astype(np.float64) >= percent * (size[left][:, None] + size[right])
+            i, j = np.nonzero(hit & (part[left][:, None] != part[right]))
+            if len(i):
+                i, j = left[i], right[j]
+                _, one = np.unique(np.stack([np.minimum(part[i], part[j]), np.maximum(part[i], part[j])]), axis=1, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i[one]]), pa.array(doc[j[one]])], ["x", "y"])
+
     return run
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (x, y) whose full sets are similar enough."""
-    both = (
-        pairs.join(sets.select(F.col("doc").alias("x"), F.col("hashes").alias("hx")), "x")
-        .join(sets.select(F.col("doc").alias("y"), F.col("hashes").alias("hy")), "y")
-        .select("x", "y", "hx", "hy")
-    )
-    return cut(both.mapInArrow(_verified(percent), "x long, y long"))
+    both = pairs.join(sets.select(F.col("doc").alias("x"), F.col("hashes").alias("hx")), "x").join(sets.select(F.col("doc").alias("y"), F.col("hashes").alias("hy")), "y")
+    n, m = F.size("hx"), F.size("hy")
+    enough = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.size(F.array_intersect("hx", "hy")) >= percent * (n + m))
+    return cut(both.where(enough).select("x", "y").distinct())
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """(k, doc): the documents of each table key that two or more share; of keys that hold the same documents one."""
+    first = reps.select("doc", F.posexplode("a").alias("i", "s"))
+    first = first.select("doc", F.xxhash64("i", "s").alias("k"))
+    shared = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    met = cut(first.join(shared, "k", "left_semi"))
+    tables = met.join(reps.select("doc", "b"), "doc").select("doc", "k", F.posexplode("b").alias("j", "s"))
+    tables = tables.select("doc", F.xxhash64("k", "j", "s").alias("k"))
+    keys = tables.groupBy("k").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("same")).where("n > 1")
+    keys = cut(keys.groupBy("low", "n", "same").agg(F.min("k").alias("k")).select("k"))
+    return cut(tables.join(keys, "k", "left_semi"))
+
+
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(k, doc, part, main, parts) of the keys whose documents lie in two or more components."""
+    parts = components(links, "x", "y")
+    named = members.join(parts, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("component", "doc").alias("part"))
+    main = named.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("parts"))
+    return cut(named.join(main.where("parts > 1"), "k"))
+
+
+def _in_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between components of a key, from comparisons of all its documents in blocks."""
+    outside = apart.where("part <> main")
+    beside = outside.select(F.lit(0).alias("kind"), F.col("main").alias("g"), F.lit(0).alias("side"), "doc", "part").distinct()
+    inside = apart.where("part = main").select(F.lit(0).alias("kind"), F.col("main").alias("g"), F.lit(1).alias("side"), "doc", "part").distinct()
+    among = outside.where("parts > 2")
+    keys = among.groupBy("k").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("same")).groupBy("low", "n", "same").agg(F.min("k").alias("k"))
+    among = among.join(keys.select("k"), "k", "left_semi").select(F.lit(1).alias("kind"), F.col("k").alias("g"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "doc", "part")
+    rows = cut(beside.unionByName(inside).unionByName(among).join(sets.select("doc", F.size("hashes").alias("size")), "doc"))
+    pieces = lambda side: F.greatest(F.ceil(F.sum(F.when(F.col("side") == side, 1)) / BLOCK), F.ceil(F.sum(F.when(F.col("side") == side, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
+    dealt = rows.join(rows.groupBy("kind", "g").agg(pieces(0).alias("p"), pieces(1).alias("q")), ["kind", "g"])
+    first = F.col("side") == 0
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc"), F.when(first, F.col("p")).otherwise(F.col("q"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("q")).otherwise(F.col("p")) - 1)))
+    dealt = dealt.select("kind", "g", F.when(first, F.col("own")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("b"), "side", "doc", "part")
+    dealt = dealt.join(sets, "doc").select("kind", "g", "a", "b", "side", "doc", "part", "hashes").repartition("kind", "g", "a", "b").sortWithinPartitions("kind", "g", "a", "b")
+    return cut(dealt.mapInArrow(_settled(percent), "x long, y long"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row of ``docs``.
+    """(key, n_shingles, component_id, kept) for every row of ``docs``; other columns play no part.
 
     Texts without words, or null, have n_shingles 0 and are their own component.  Rows with
-    a null key are linked with nothing: component_id is null and kept true.  A key is
-    expected to name one text, however often its row is repeated.
+    a null key are linked with nothing: component_id is null and kept true.  Repeated rows
+    get the same result.  Rows of one key with different texts get each the component of
+    their own text.  Texts of any length are taken whole.
     """
     d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     seen = cut(d.mapInArrow(_described(width), "doc long, n_shingles long, print binary, a array<long>, b array<long>"))
     classes = seen.where("print is not null and doc is not null").groupBy("print")
     reps = cut(classes.agg(F.min(F.struct("doc", "a", "b")).alias("r")).select("print", F.col("r.doc").alias("doc"), "r.a", "r.b"))
-    first = reps.select("doc", F.posexplode("a").alias("i", "s"))
-    first = first.select("doc", F.xxhash64("i", "s").alias("k"))
-    shared = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    met = cut(first.join(shared, "k", "left_semi"))
-    tables = met.join(reps.select("doc", "b"), "doc").select("doc", "k", F.posexplode("b").alias("j", "s"))
-    tables = tables.select("doc", F.xxhash64("k", "j", "s").alias("k"))
-    # Of the keys that hold the same documents one is enough.
-    keys = tables.groupBy("k").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("same")).where("n > 1")
-    keys = cut(keys.groupBy("hub", "n", "same").agg(F.min("k").alias("k")).select("k", "hub"))
-    members = cut(tables.join(keys, "k", "left_semi"))
-    tried = cut(members.join(keys, "k").where("doc <> hub").select(F.col("doc").alias("x"), F.col("hub").alias("y")).distinct())
-    # Sets are made of the paired documents only; all that later rounds compare are among them.
-    wanted = tried.select(F.col("x").alias("doc")).union(tried.select("y")).distinct()
-    sets = cut(d.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_set_rows(width), "doc long, hashes binary"))
+    members = _members(reps)
+    sizes = members.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    weight = members.join(sizes, "k").groupBy("doc").agg(F.sum("n").alias("w"))
+    hubs = members.join(weight, "doc").groupBy("k").agg(F.max_by("doc", F.struct("w", -F.col("doc"))).alias("hub"))
+    tried = cut(members.join(hubs, "k").where("doc <> hub").select(F.greatest("doc", "hub").alias("x"), F.least("doc", "hub").alias("y")).distinct())
+    # Sets are made of the documents that share a key only, once for each text of a document.
+    wanted = cut(members.select("doc").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts = d.join(wanted, "doc", "left_semi").groupBy("doc", F.xxhash64("text")).agg(F.any_value("text").alias("text")).select("doc", "text")
+    sets = cut(texts.mapInArrow(_set_rows(width), "doc long, hashes array<long>"))
     links = _links(tried, sets, percent)
-    for step in range(HUB_ROUNDS + 1):
-        parts = components(links, "x", "y")
-        named = members.join(parts, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("component", "doc").alias("part"))
-        split = named.groupBy("k").agg(F.mode("part", True).alias("main"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("k", "main")
-        apart = cut(named.join(split, "k"))
+    for step in range(HUB_ROUNDS):
+        apart = _apart(members, links)
         if apart.isEmpty():
             break
-        outside = apart.where("part <> main")
-        if step < HUB_ROUNDS:  # each document outside against some hubs of the component that it shares a key with
-            near = outside.select("doc", "main").distinct()
-            hubs = parts.select("node", "component").union(parts.select("component", "component").distinct()).join(near.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
-            pick = [F.min_by("node", F.xxhash64("node", F.lit(step * HUBS + i))) for i in range(HUBS)]
-            hubs = hubs.groupBy("component").agg(F.array_distinct(F.array(*pick)).alias("hubs"))
-            hubs = hubs.union(near.select("main", F.array("main")).distinct().join(hubs.select(F.col("component").alias("main")), "main", "left_anti"))
-            pairs = near.join(hubs, F.col("main") == F.col("component")).select(F.col("doc").alias("a"), F.explode("hubs").alias("b"))
-        else:  # whatever is still outside against all documents of the components that it shares a key with
-            beside = apart.select("k", F.col("part").alias("pb")).distinct()
-            near = outside.select("k", F.col("doc").alias("a"), F.col("part").alias("pa")).join(beside, "k").where("pa <> pb").select("a", "pb").distinct()
-            pairs = near.join(named.select(F.col("doc").alias("b"), F.col("part").alias("pb")).distinct(), "pb").select("a", "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct().join(tried, ["x", "y"], "left_anti")
-        pairs = cut(pairs)
+        one = apart.where("part = main").groupBy("k").agg(F.min_by("doc", F.xxhash64("doc", F.lit(step))).alias("one"))
+        pairs = apart.where("part <> main").join(one, "k").select(F.greatest("doc", "one").alias("x"), F.least("doc", "one").alias("y")).distinct()
+        pairs = cut(pairs.join(tried, ["x", "y"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = links.unionByName(_links(pairs, sets, percent))
+    else:
+        apart = _apart(members, links)
+        if not apart.isEmpty():
+            links = links.unionByName(_in_blocks(apart, sets, percent))
     parts = components(links, "x", "y")
     member = reps.select("print", F.col("doc").alias("rep")).join(parts, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("c"))
     out = seen.select("doc", "n_shingles", "print").join(cut(member), "print", "left")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, long_binary, table
+from .common import cut, long_binary, slices, table
 from .tokens import encode, tokenizer_path
 
 WINDOW = 1024
@@ -28,21 +28,6 @@ BLOCK_TOKENS = 1 << 19
 MIN_PIECE = 256
 #: Offsets are broadcast up to so many (partition, source) pairs; beyond it they are joined.
 BROADCAST_ROWS = 200_000
-#: Texts tokenised at a time.
-TEXT_BYTES = 8_000_000
-
-
-def slices(batch: pa.RecordBatch, column: int, limit: int = TEXT_BYTES):
-    """Pieces of a batch whose texts hold about ``limit`` bytes each (one text at least)."""
-    import pyarrow.compute as pc
-
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
-    at = 0
-    while at < len(size):
-        base = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
 
 
 TOKENS = "part long, sk string, doc long, n long, start long, ids binary"

@@ -21,8 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table, words_of
-from .packing import slices
+from .common import crc_mod, cut, slices, table, words_of
 
 #: Labelled documents that the classifier is fitted on at most (by crc32 of the key).
 MAX_LABELLED = 200_000

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, long_binary, mix64, table
+from .common import cut, long_binary, mix64, runs, table
 from .components import components
 
 #: Hyperplane tables at least, at most, and dealt out together; the wanted probability that a pair at the threshold shares a bucket.
@@ -83,24 +83,6 @@ def _bucketed(dtype, tables: int, bits: int, seed: int | tuple):
     return run
 
 
-def _runs(batches, keys: int):
-    """Complete groups of a stream sorted by its first ``keys`` columns."""
-    rest = None
-    for b in batches:
-        if rest is not None and rest.num_rows:
-            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy() for i in range(keys)]
-        breaks = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        edges = [0, *breaks.tolist()]
-        for a, z in zip(edges, edges[1:]):
-            yield b.slice(a, z - a)
-        rest = b.slice(edges[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _signs(total: int, threshold: float) -> tuple[int, int]:
     """(bits, tables): buckets of about BUCKET_ROWS, and tables enough for FOUND at the threshold."""
     same = min(max(1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi, 0.01), 1 - 1e-9)
@@ -138,7 +120,7 @@ def _compared(dtype, keep: int, floor: float, threshold: float):
             vs.append(v)
             ss.append(s)
 
-        for g in _runs(batches, 3):
+        for g in runs(batches, 3):
             if g.num_rows < 2:
                 continue
             ids, x, side = g.column(4).to_numpy(), _unit(g.column(5).to_pylist(), dtype), g.column(3).to_numpy()
@@ -215,7 +197,7 @@ def _audited(queries: list[tuple[int, bytes]], dtype, threshold: float):
 def _counted(dtype, threshold: float):
     """Of each (component, block pair): every first member's links among the second members."""
     def run(batches):
-        for g in _runs(batches, 3):
+        for g in runs(batches, 3):
             side = g.column(6).to_numpy()
             ids, size, raws = g.column(3).to_numpy(), g.column(4).to_numpy(), g.column(5).to_pylist()
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)

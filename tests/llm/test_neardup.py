@@ -56,3 +56,32 @@ def test_hub_that_is_not_linked_to_all(spark):
     rows = [(i, " ".join(base[:30] + [f"d{i}x{j}" for j in range(i % 7)] + base[30:])) for i in range(40)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
     assert {tuple(r) for r in got} == brute(rows)
+
+
+def test_blocks_settle_what_no_hub_took_in(spark, monkeypatch):
+    """Documents near one another around 0.8: chains, near misses, and blocks of few documents and columns."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(60)] = f"r{rng.random()}"
+            rows.append((rng.randrange(10**9), " ".join(own)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds, block, columns in ((2, 512, 4096), (0, 7, 50)):
+        monkeypatch.setattr("tallyrack.llm.neardup.HUB_ROUNDS", rounds)
+        monkeypatch.setattr("tallyrack.llm.neardup.BLOCK", block)
+        monkeypatch.setattr("tallyrack.llm.neardup.COLUMNS", columns)
+        assert {tuple(r) for r in near_duplicates(d, width=4).collect()} == brute(rows)
+
+
+def test_very_long_texts_and_a_key_with_two_texts(spark):
+    long = " ".join(f"w{i % 50_021}" for i in range(300_000))
+    rows = [(7, long), (3, long + " end"), (4, "short one here now"), (9, "a b c d e f"), (9, "other words stand in this"), (2, "A B C D E F")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 3), (4, 4), (7, 3), (9, 2), (9, 9)]
+    assert max(r.n_shingles for r in got) == 50_022
