@@ -152,7 +152,8 @@ def _written(folder: str, path: str, end_id: int, bits: int, block_ids: int):
 def write_tokens(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, file_docs: int = FILE_DOCS, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Writes the ids of ``docs`` in ascending key order; one row a file: part, file, docs, ids, first_id.
 
-    A null text is empty, null keys come first, equal rows are written one by one.
+    A null text is empty, null keys come first, equal rows are written one by one.  Texts of
+    any length are encoded whole; other columns, whatever their names, are not read.
     ``folder`` must be one that all executors and the driver share.
     """
     path = path or tokenizer_path()

@@ -1,9 +1,11 @@
 """Byte-level BPE ids for whole Arrow batches.
 
-The ids are those of the ``tokenizers`` library.  A byte-level BPE of this family never
-merges across a white-space character that follows a non-space, nor across a letter and
-the stop after it, so a text is cut there, every distinct cut of a batch is encoded once,
-and the ids of the texts are gathered with numpy.
+The ids are those of the ``tokenizers`` library called with add_special_tokens=False: an
+added token spelled out in a text becomes its id, unless ``special_as_text`` has it encoded
+as ordinary text.  A byte-level BPE of this family never merges across a white-space
+character that follows a non-space, nor across a letter and the stop after it, so a text is
+cut there, every distinct cut of a batch is encoded once, and the ids of the texts are
+gathered with numpy.  Texts that hold an added token, or odd white space, are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Encoded cuts that one Python worker remembers (about 200 bytes each).
-MEMO_ENTRIES = 800_000
+#: Encoded cuts that one Python worker remembers from batch to batch (about 200 bytes each).
+MEMO_ENTRIES = 100_000
 #: Cuts in one call of the library.
-CALL = 20_000
+CALL = 10_000
 MARK = "\x00"
 #: Texts with two white-space characters in a row, or the mark, are encoded whole.
 ODD = r"[\s\x{0b}\x{85}\pZ][\s\x{0b}\x{85}\pZ]|\x00"
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple[str, bool], tuple] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,17 +34,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _load(path: str):
-    if path not in _loaded:
+def _load(path: str, special_as_text: bool = False):
+    """(tokenizer, memo of cuts, strings of the added tokens)."""
+    if (path, special_as_text) not in _loaded:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _loaded[path] = (tok, {})
-    return _loaded[path]
+        tok.encode_special_tokens = special_as_text
+        _loaded[path, special_as_text] = (tok, {}, [t.content for t in tok.get_added_tokens_decoder().values()])
+    return _loaded[path, special_as_text]
 
 
 def vocabulary_size(path: str) -> int:
@@ -57,11 +60,13 @@ def _encoded(tok, cuts: list[str]) -> list[bytes]:
     return out
 
 
-def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, path: str, special_as_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and the number of ids of each text (null: empty)."""
-    tok, memo = _load(path)
+    tok, memo, added = _load(path, special_as_text)
     texts = pc.fill_null(texts, "")
     odd = pc.match_substring_regex(texts, ODD)
+    for mark in added:
+        odd = pc.or_(odd, pc.match_substring(texts, mark))
     odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
     plain = pc.if_else(odd, "", texts) if len(odd_at) else texts
     cut = pc.replace_substring_regex(plain, r"(\pL)([.,])", "\\1" + MARK + "\\2")
@@ -72,8 +77,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     new = [w for w in names if w not in memo]
     fresh = dict(zip(new, _encoded(tok, new)))
     own = [memo[w] if w in memo else fresh[w] for w in names]
-    if len(memo) < MEMO_ENTRIES:
-        memo.update(fresh)
+    for w in new[: max(MEMO_ENTRIES - len(memo), 0)]:
+        memo[w] = fresh[w]
     sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
     pool = np.frombuffer(b"".join(own), dtype="<u4")
     first = np.cumsum(sizes) - sizes
