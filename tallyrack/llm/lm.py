@@ -34,7 +34,7 @@ BROADCAST_WORDS = 400_000
 #: Training documents (by hash) from which one task makes the common start; all of them teach after it.
 WARM_UP = 3000
 #: The warm-up repeats its documents until it has taken so many tokens.
-WARM_TOKENS = 3_000_000
+WARM_TOKENS = 6_000_000
 #: Training documents of one partition of the deal.
 DEALT = 8192
 #: Tokens scored, and contexts normalised, at once.
