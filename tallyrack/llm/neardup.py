@@ -5,11 +5,10 @@ minhashes.  A table's key pairs a sub-key of the first collection with one of th
 HALVES x HALVES tables are made of 2 x HALVES sub-keys, so that minhash work is about a
 square root of the tables.  Equal sets are joined first.  In every table key the document
 that shares most keys with others is the hub, and candidates are the pairs with it.  What a
-key's main component does not take in is then held against a few members of it, and what
-is still apart after that in blocks: its documents outside against all of the main
-component in such keys, and those outside against one another within the key.  A block
-counts common shingles by matrix products and returns links only, so no row for each pair
-is made.  Every link is confirmed on the full shingle sets.
+key's main component does not take in is settled in blocks: the documents outside of a main
+component against one another and against all of its members in such keys.  A block counts
+common shingles by matrix products and returns links only, so no row for each pair is made.
+Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ SHINGLE = 5
 #: Sub-keys in each collection, and minhashes in a sub-key.  At similarity 0.8 a pair shares
 #: no table with probability 2 * (1 - 0.8**3)**14 < 0.0001.
 HALVES, ROWS = 14, 3
-#: Rounds in which what a key leaves apart is held against a member of its main component.
-HUB_ROUNDS = 2
 #: Documents and shingles of each side of a block; shingles compared at once.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 500_000, 4096
 #: Keys of documents that are broadcast at most.
@@ -134,9 +131,9 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 def _settled(percent: int):
     """Of each block, one link for each two components that a pair of documents links."""
     def run(batches):
-        for g in runs(batches, 4):
-            side, doc, part = (g.column(i).to_numpy() for i in (4, 5, 6))
-            sets = [s.values.to_numpy() for s in g.column(7)]
+        for g in runs(batches, 3):
+            side, doc, part = (g.column(i).to_numpy() for i in (3, 4, 5))
+            sets = [s.values.to_numpy() for s in g.column(6)]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
@@ -173,30 +170,25 @@ def _members(reps: DataFrame) -> DataFrame:
     return cut(tables.join(keys, "k", "left_semi"))
 
 
-def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(k, doc, part, main, parts) of the keys whose documents lie in two or more components."""
-    parts = components(links, "x", "y")
+def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(g, doc, part): the documents of keys that hold two or more components, by the main component g of the key."""
     named = members.join(parts, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("component", "doc").alias("part"))
     main = named.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("parts"))
-    return cut(named.join(main.where("parts > 1"), "k"))
+    return cut(named.join(main.where("parts > 1").select("k", "main"), "k").select(F.col("main").alias("g"), "doc", "part").distinct())
 
 
 def _in_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links between components of a key, from comparisons of all its documents in blocks."""
-    outside = apart.where("part <> main")
-    beside = outside.select(F.lit(0).alias("kind"), F.col("main").alias("g"), F.lit(0).alias("side"), "doc", "part").distinct()
-    inside = apart.where("part = main").select(F.lit(0).alias("kind"), F.col("main").alias("g"), F.lit(1).alias("side"), "doc", "part").distinct()
-    among = outside.where("parts > 2")
-    keys = among.groupBy("k").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("same")).groupBy("low", "n", "same").agg(F.min("k").alias("k"))
-    among = among.join(keys.select("k"), "k", "left_semi").select(F.lit(1).alias("kind"), F.col("k").alias("g"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "doc", "part")
-    rows = cut(beside.unionByName(inside).unionByName(among).join(sets.select("doc", F.size("hashes").alias("size")), "doc"))
+    """The links between components of a key, from comparisons in blocks: for each main component the
+    documents outside of it (side 0) against these and its own (side 1)."""
+    sides = F.when(F.col("part") == F.col("g"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = cut(apart.select("g", F.explode(sides).alias("side"), "doc", "part").join(sets.select("doc", F.size("hashes").alias("size")), "doc"))
     pieces = lambda side: F.greatest(F.ceil(F.sum(F.when(F.col("side") == side, 1)) / BLOCK), F.ceil(F.sum(F.when(F.col("side") == side, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
-    dealt = rows.join(rows.groupBy("kind", "g").agg(pieces(0).alias("p"), pieces(1).alias("q")), ["kind", "g"])
+    dealt = rows.join(rows.groupBy("g").agg(pieces(0).alias("p"), pieces(1).alias("q")), "g")
     first = F.col("side") == 0
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc"), F.when(first, F.col("p")).otherwise(F.col("q"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("q")).otherwise(F.col("p")) - 1)))
-    dealt = dealt.select("kind", "g", F.when(first, F.col("own")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("b"), "side", "doc", "part")
-    dealt = dealt.join(sets, "doc").select("kind", "g", "a", "b", "side", "doc", "part", "hashes").repartition("kind", "g", "a", "b").sortWithinPartitions("kind", "g", "a", "b")
+    dealt = dealt.select("g", F.when(first, F.col("own")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("b"), "side", "doc", "part")
+    dealt = dealt.join(sets, "doc").select("g", "a", "b", "side", "doc", "part", "hashes").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
     return cut(dealt.mapInArrow(_settled(percent), "x long, y long"))
 
 
@@ -222,21 +214,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     texts = d.join(wanted, "doc", "left_semi").groupBy("doc", F.xxhash64("text")).agg(F.any_value("text").alias("text")).select("doc", "text")
     sets = cut(texts.mapInArrow(_set_rows(width), "doc long, hashes array<long>"))
-    links = _links(tried, sets, percent)
-    for step in range(HUB_ROUNDS):
-        apart = _apart(members, links)
-        if apart.isEmpty():
-            break
-        one = apart.where("part = main").groupBy("k").agg(F.min_by("doc", F.xxhash64("doc", F.lit(step))).alias("one"))
-        pairs = apart.where("part <> main").join(one, "k").select(F.greatest("doc", "one").alias("x"), F.least("doc", "one").alias("y")).distinct()
-        pairs = cut(pairs.join(tried, ["x", "y"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(_links(pairs, sets, percent))
-    else:
-        apart = _apart(members, links)
-        if not apart.isEmpty():
-            links = links.unionByName(_in_blocks(apart, sets, percent))
-    parts = components(links, "x", "y")
+    parts = components(_links(tried, sets, percent), "x", "y")
+    apart = _apart(members, parts)
+    if not apart.isEmpty():
+        more = _in_blocks(apart, sets, percent)
+        if not more.isEmpty():
+            parts = components(parts.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more), "x", "y")
     member = reps.select("print", F.col("doc").alias("rep")).join(parts, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("c"))
     out = seen.select("doc", "n_shingles", "print").join(cut(member), "print", "left")
     c = F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("c", "doc"))

@@ -72,8 +72,7 @@ def test_blocks_settle_what_no_hub_took_in(spark, monkeypatch):
                 own[rng.randrange(60)] = f"r{rng.random()}"
             rows.append((rng.randrange(10**9), " ".join(own)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    for rounds, block, columns in ((2, 512, 4096), (0, 7, 50)):
-        monkeypatch.setattr("tallyrack.llm.neardup.HUB_ROUNDS", rounds)
+    for block, columns in ((512, 4096), (7, 50)):
         monkeypatch.setattr("tallyrack.llm.neardup.BLOCK", block)
         monkeypatch.setattr("tallyrack.llm.neardup.COLUMNS", columns)
         assert {tuple(r) for r in near_duplicates(d, width=4).collect()} == brute(rows)
