@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     global _own
     _own = _own or tempfile.mkdtemp(prefix="tallyrack-")
     return f"file://{_own}"
@@ -94,6 +96,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4_000_000):
         end = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def runs(batches, keys: int):

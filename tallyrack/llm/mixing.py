@@ -41,6 +41,9 @@ def level_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     return s.withColumn("target", F.when(F.col("held"), F.col("cap").cast("double")).otherwise(share)).drop("cap", "held")
 
 
+ADDED = {"size", "source_size", "target", "copies", "taken", "_bucket", "_k", "_off", "_sk"}
+
+
 def mixed(docs: DataFrame, weights=(5, 2, 1), *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (copies times size).
 
@@ -49,7 +52,7 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), *, key: str = "doc_id", text: str
     Rows with a null key stand before the others of their bucket; equal rows are rows like
     any other.  Columns of ``docs`` named like the added ones are replaced.
     """
-    docs = without(docs, "size", "source_size", "target", "copies", "taken", "_bucket", "_rank", "_hash", "_k", "_off", "_sk")
+    docs = without(docs, *ADDED)
     bits = min(32, (max(docs.select(F.lit(1)).count() - 1, 0) // BUCKET_ROWS).bit_length())
     id_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     sk = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null"))
@@ -76,6 +79,15 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), *, key: str = "doc_id", text: str
     return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as many times as the mix takes it; columns stay as they are, whatever their names."""
+    if {c.lower() for c in docs.columns} & ADDED:
+        own = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_doc"))
+        return repeated(own).select("_doc.*")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return mixed(docs).where("copies > 0").withColumn("copies", copies).select(*docs.columns)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -114,7 +114,13 @@ def judged(stats: DataFrame, limits: DataFrame, lang: str = "lang", source: str
 
 
 def quality_filtered(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``; texts are never shuffled."""
+    """The documents that the rules keep, with the columns of ``docs``; texts are never shuffled.
+
+    A null or empty text has fewer than MIN_WORDS words and goes; equal rows stay or go
+    together; other columns, whatever their names, are passed on.  Long texts are read whole.
+    """
+    if {c.lower() for c in docs.columns} - {"doc_id", "text", "lang", "source", "n_chars"}:
+        return quality_filtered(docs.select("lang", "source", "text", F.struct(*docs.columns).alias("doc_id"))).select("doc_id.*")
     # A column that is not deterministic keeps the filter, and with it the statistics, from being
     # copied below the join and computed again for each of its terms.
     stats = with_stats(docs).withColumn("_row", F.monotonically_increasing_id())

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, slices, table, words_of
+from .common import crc_mod, cut, slices, table, without, words_of
 
 #: Labelled documents that the classifier is fitted on at most (by crc32 of the key).
 MAX_LABELLED = 200_000
@@ -254,18 +254,17 @@ def _shown(channel: Channel, number: dict[str, int]):
     return run
 
 
-def _scored(model: Model):
+def _scored(model: Model, text: str):
     def run(batches):
         starts = by_start(model.weight)
         for whole in batches:
-            at = whole.schema.get_field_index("_text")
+            at = whole.schema.get_field_index(text)
             for b in slices(whole, at):
                 names, f, t = evidence(b.column(at), model.channel, starts)
                 w = np.array([model.weight.get(x, 0.0) for x in names])
                 z = np.bincount(t, weights=w[f], minlength=len(b)) if len(f) else np.zeros(len(b))
                 z = np.clip(z + model.bias + model.length * np.log1p(words_of(b.column(at))[1]), -30, 30)
-                keep = [i for i in range(b.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(1 / (1 + np.exp(-z)))], [*[b.schema.field(i).name for i in keep], "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)))], [*b.schema.names, "score"])
 
     return run
 
@@ -333,18 +332,23 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score and predicted; a null text scores as an empty one.  No row moves."""
-    from .common import without
+    """``docs`` with score and predicted; a null text scores as an empty one.  No row moves.
 
-    docs = without(docs, "score", "predicted", "_text")
+    Columns of these names are replaced.  Equal texts score alike, in whatever rows; a score
+    of exactly ``threshold`` is predicted toxic.  Texts of any length are scored whole.
+    """
+    docs = without(docs, "score", "predicted")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.withColumn("_text", F.col(text)).mapInArrow(_scored(model), f"{fields}, score double")
+    out = docs.mapInArrow(_scored(model, text), f"{fields}, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def nontoxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the score does not reject, learned from all ``labels``."""
-    return scored(docs, learn(docs, labels)).where("predicted = 0").select(*docs.columns)
+    """The documents that the score does not reject, learned from all ``labels``; columns stay as they are."""
+    named = docs.select(F.col("text").alias("_own_text"), F.struct(*docs.columns).alias("_row"))
+    out = scored(named, learn(docs, labels), text="_own_text") if {"score", "predicted"} & {c.lower() for c in docs.columns} else scored(docs, learn(docs, labels))
+    out = out.where("predicted = 0")
+    return out.select("_row.*") if "_row" in out.columns else out.select(*docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

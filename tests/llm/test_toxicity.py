@@ -54,3 +54,32 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = T.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.9
+
+
+def test_decoder_against_all_paths():
+    """The Viterbi restorations are the best of all paths through the lattice."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    channel = T.Channel(rng.integers(0, 50, (T.BASE,) * 3).astype(float))
+    for word in ("idi07", "a$$", "h4t3", "st.u.p", "iid", "1@0", "b00!", "x", "sss", "7+|"):
+        scores = {}
+        for path in itertools.product(*channel.arcs(word)):
+            w, s = "".join(x for x, _ in path), -sum(c for _, c in path)
+            codes = [0, 0, *map(T.code, w), 0]
+            s += sum(channel.lp[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+            scores[w] = max(s, scores.get(w, -1e9))
+        best = sorted(scores, key=lambda w: -scores[w])
+        got = channel.restore(word)
+        assert got[0] == best[0] and set(got) <= set(best[: len(got) + 2])
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(i % 40, "you vile toxicword here" if i % 2 else "a kind plain line", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t, _ in rows] + [(None, None, "s", 1), (7, "", "s", 1)], "doc_id long, text string, score string, predicted int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:40]], "doc_id long, toxic int")
+    kept = T.nontoxic(docs, labels)
+    assert kept.dtypes == docs.dtypes and kept.where("text like '%toxicword%'").count() == 0 and kept.where("text like 'a kind%'").count() == 200
+    got = T.scored(docs, T.learn(docs, labels)).collect()
+    assert len(got) == 402 and len({(r.text, r.score) for r in got}) == len({r.text or "" for r in got}) + 1
+    assert T.nontoxic(docs.limit(0), labels.limit(0)).count() == 0
