@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import bitpack, chat, licenses, lm, mixing, neardup, packing, quality, toxicity, vectors
 
-MODULES = ("mixing", "quality", "neardup", "packing", "bitpack", "toxicity", "chat", "vectors", "lm", "licenses")
+MODULES = (mixing, quality, neardup, packing, bitpack, toxicity, chat, vectors, lm, licenses)
 
 
 def queries() -> dict:
     out = {}
     for m in MODULES:
-        out |= import_module(f"{__package__}.{m}").QUERIES
+        out |= m.QUERIES
     return out
 
 
 def oracle_sql() -> dict:
     out = {}
     for m in MODULES:
-        out |= getattr(import_module(f"{__package__}.{m}"), "ORACLES", {})
+        out |= getattr(m, "ORACLES", {})
     return out
