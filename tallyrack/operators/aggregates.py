@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import seconds_between
+from .joins import join_job_samples
 from .windows import drop_first_bucket
 
 
@@ -21,9 +22,13 @@ def sum_per_sample(df: DataFrame, col: str, keys=("host", "time"), nonnegative:
 def series(df: DataFrame, types: list[str], col: str, events: list[str], conv: float, keys=("jid", "host", "time")) -> DataFrame:
     """Sum over events times ``conv``; of several types the first with rows in the job."""
     rank = reduce(lambda c, it: c.when(F.col("type") == it[1], it[0]), enumerate(types), F)
-    d = df.where(F.col("type").isin(types) & F.col("event").isin(events)).withColumn("_p", rank)
-    d = d.withColumn("_b", F.min("_p").over(Window.partitionBy(keys[0]))).where("_p = _b")
-    return d.groupBy(*keys).agg((F.sum(col) * conv).alias("value"))
+    d = df.where(F.col("type").isin(types) & F.col("event").isin(events)).groupBy(*keys, rank.alias("_p")).agg((F.sum(col) * conv).alias("value"))
+    return _first_rank(d, keys[0])
+
+
+def _first_rank(d: DataFrame, key: str) -> DataFrame:
+    """The rows of each key's least ``_p``: an aggregate of few rows, joined, in place of a window over the key."""
+    return d.join(d.groupBy(key).agg(F.min("_p").alias("_p")), [key, "_p"]).drop("_p")
 
 
 def _bucketed(per_sample: DataFrame, value: str, seconds: int) -> DataFrame:
@@ -114,23 +119,22 @@ def peak_job_wide(df: DataFrame, events: list[str], conv: float, col: str = "arc
 
 def fsio_rows(df: DataFrame, systems: dict[str, dict[str, list[str]]], to_mb: float = 1.0) -> DataFrame:
     """Four rows a job and filesystem: read and written MB, highest MB/s, highest operations a second, with reasons."""
-    out = []
-    for label, (type_, ev) in {k: (v["type"], v) for k, v in systems.items()}.items():
-        own = df.where(F.col("type") == type_)
-        pick = lambda names, c: F.sum(F.when(F.col("event").isin(names), F.col(c)))
-        t = own.groupBy("jid", "time").agg(pick(ev["read"], "delta").alias("r"), pick(ev["write"], "delta").alias("w"), pick(ev["read"] + ev["write"], "arc").alias("b"), pick(ev["ops"], "arc").alias("o"))
-        t = t.groupBy("jid").agg((F.sum("r") * to_mb).alias("read_mb"), (F.sum("w") * to_mb).alias("write_mb"), (F.max("b") * to_mb).alias("peak_mb_s"), F.max("o").alias("peak_iops"))
-        out.append(t.unpivot("jid", ["read_mb", "write_mb", "peak_mb_s", "peak_iops"], "what", "value").withColumn("metric", F.concat(F.lit(f"detail_fsio_{label}_"), F.col("what"))).drop("what"))
-    rows = reduce(DataFrame.unionByName, out)
+    label = reduce(lambda c, kv: c.when(F.col("type") == kv[1]["type"], kv[0]), systems.items(), F)
+    among = lambda *kinds: reduce(lambda a, b: a | b, [(F.col("type") == v["type"]) & F.col("event").isin([e for k in kinds for e in v[k]]) for v in systems.values()])
+    pick = lambda c, *kinds: F.sum(F.when(among(*kinds), F.col(c)))
+    t = df.withColumn("label", label).where("label is not null").groupBy("jid", "label", "time")
+    t = t.agg(pick("delta", "read").alias("r"), pick("delta", "write").alias("w"), pick("arc", "read", "write").alias("b"), pick("arc", "ops").alias("o"))
+    t = t.groupBy("jid", "label").agg((F.sum("r") * to_mb).alias("read_mb"), (F.sum("w") * to_mb).alias("write_mb"), (F.max("b") * to_mb).alias("peak_mb_s"), F.max("o").alias("peak_iops"))
+    rows = t.unpivot(["jid", "label"], ["read_mb", "write_mb", "peak_mb_s", "peak_iops"], "what", "value")
+    rows = rows.select("jid", "value", F.concat(F.lit("detail_fsio_"), F.col("label"), F.lit("_"), F.col("what")).alias("metric"))
     return rows.withColumn("no_data_reason", F.when(F.col("value").isNull(), "no samples"))
 
 
 def device_util(df: DataFrame, vendors: list[str], events: list[str]) -> DataFrame:
     """count, max and mean per (job, host, dev, event) of the first vendor with rows."""
     rank = reduce(lambda c, it: c.when(F.col("type") == it[1], it[0]), enumerate(vendors), F)
-    d = df.where(F.col("type").isin(vendors) & F.col("event").isin(events)).withColumn("_p", rank)
-    d = d.withColumn("_b", F.min("_p").over(Window.partitionBy("jid"))).where("_p = _b")
-    return d.groupBy("jid", "host", "dev", "event").agg(F.count("value").alias("cnt"), F.max("value").alias("vmax"), F.avg("value").alias("vmean"))
+    d = df.where(F.col("type").isin(vendors) & F.col("event").isin(events)).groupBy("jid", "host", "dev", "event", rank.alias("_p"))
+    return _first_rank(d.agg(F.count("value").alias("cnt"), F.max("value").alias("vmax"), F.avg("value").alias("vmean")), "jid")
 
 
 def device_summary(util: DataFrame, prefer: list[str], least: int = 2) -> DataFrame:
@@ -154,8 +158,10 @@ def device_inventory(df: DataFrame, util: str, power: str) -> DataFrame:
     return df.groupBy("jid", "host", "dev").agg(F.max(u).alias("util_max"), F.avg(u).alias("util_mean"), F.count(u).alias("samples"), F.max(p).alias("peak_power"))
 
 
-def distinct_samples(df: DataFrame) -> DataFrame:
-    return df.groupBy("jid").agg(F.count_distinct("host", "time").alias("n"))
+def distinct_samples(job: DataFrame, sample: DataFrame) -> DataFrame:
+    """Distinct (host, time) of a job.  Samples are made distinct before the join; a job's hosts are, so each pair is met once."""
+    hosts = job.withColumn("host_list", F.array_distinct("host_list"))
+    return join_job_samples(hosts, sample.select("host", "time").distinct(), ("jid", "start_time", "end_time")).groupBy("jid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def telemetry_bounds(df: DataFrame) -> DataFrame:
@@ -164,7 +170,7 @@ def telemetry_bounds(df: DataFrame) -> DataFrame:
 
 def job_schema(df: DataFrame) -> DataFrame:
     """Type to sorted events, over all hosts of a job; types and events are a small vocabulary."""
-    t = df.groupBy("jid", "type").agg(F.sort_array(F.collect_set("event")).alias("events"))
+    t = df.select("jid", "type", "event").distinct().groupBy("jid", "type").agg(F.sort_array(F.collect_list("event")).alias("events"))
     return t.groupBy("jid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "events")))).alias("schema"))
 
 
@@ -176,7 +182,7 @@ def type_detail(df: DataFrame, gauges: tuple[str, ...]) -> DataFrame:
     """Mean over hosts of the per-sample sums, by elapsed second; gauges use value, others arc."""
     c = F.when(F.col("type").isin(*gauges), F.col("value")).otherwise(F.col("arc"))
     s = df.groupBy("jid", "type", "event", "host", "time").agg(F.sum(c).alias("v"))
-    s = s.withColumn("elapsed", F.unix_seconds("time") - F.min(F.unix_seconds("time")).over(Window.partitionBy("jid")))
+    s = s.join(df.groupBy("jid").agg(F.min(F.unix_seconds("time")).alias("t0")), "jid").withColumn("elapsed", F.unix_seconds("time") - F.col("t0"))
     return s.groupBy("jid", "type", "event", "elapsed").agg(F.avg("v").alias("mean"))
 
 
@@ -236,7 +242,7 @@ def hist_auto(df: DataFrame, group: str, col: str) -> DataFrame:
     r = d.groupBy(group).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.greatest(F.lit(3), F.floor(5 * F.ln(F.count(F.lit(1))))).alias("bins"))
     flat = F.col("lo") == F.col("hi")
     r = r.select(group, "bins", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    b = d.join(F.broadcast(r), group).withColumn("bin", F.least(F.floor((F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1))
+    b = d.join(r, group).withColumn("bin", F.least(F.floor((F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1))
     n = b.groupBy(group, "bin").agg(F.count(F.lit(1)).alias("n"))
     every = r.select(group, "lo", "hi", "bins", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
     return every.join(n, [group, "bin"], "left").select(group, "bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.col("bins")).alias("edge"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -263,9 +269,13 @@ def home_options(job: DataFrame) -> DataFrame:
     return day.unionByName(one("year", F.date_format("end_time", "yyyy"))).unionByName(one("queue", F.col("queue"))).unionByName(one("state", states))
 
 
-def telemetry_health(sample: DataFrame, since: Column) -> DataFrame:
+def telemetry_health(sample: DataFrame, since: Column, shown: int = 16) -> DataFrame:
+    """Rows of each (type, event), whether any is not 0, and the first ``shown`` hosts."""
     d = sample.where(F.col("time") >= since).where(~F.lower("event").contains("error"))
-    return d.groupBy("type", "event").agg(F.count(F.lit(1)).alias("row_count"), F.bool_or((F.coalesce("value", F.lit(0.0)) != 0)).alias("has_nonzero"), F.slice(F.sort_array(F.collect_set("host")), F.lit(1), F.lit(16)).alias("hosts"))
+    n = d.groupBy("type", "event", "host").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce("value", F.lit(0.0)) != 0).alias("on"))
+    n = n.withColumn("r", F.row_number().over(Window.partitionBy("type", "event").orderBy("host")))
+    first = F.sort_array(F.collect_list(F.when(F.col("r") <= shown, F.col("host"))))
+    return n.groupBy("type", "event").agg(F.sum("n").alias("row_count"), F.bool_or("on").alias("has_nonzero"), first.alias("hosts"))
 
 
 def telemetry_findings(health: DataFrame, core: DataFrame) -> DataFrame:
@@ -300,3 +310,36 @@ def job_summary(metric: DataFrame, job: DataFrame, cpu: str, gpu: str, memory: s
     pick = lambda n: F.max(F.when(F.col("metric") == n, F.col("value")))
     m = metric.where(F.col("metric").isin(cpu, gpu, memory)).groupBy("jid").agg(pick(cpu).alias("c"), pick(gpu).alias("gpu_pct"), pick(memory).alias("memory"))
     return m.join(job.select("jid", "ncores"), "jid").select("jid", (100 * F.col("c") / F.col("ncores")).alias("cpu_pct"), "gpu_pct", "memory")
+
+
+def host_time_grid(df: DataFrame) -> DataFrame:
+    """The distinct (jid, host, time) of samples."""
+    return df.select("jid", "host", "time").distinct()
+
+
+def top_capped(df: DataFrame, group: str, value: str, cap: int) -> DataFrame:
+    """The first ``cap`` distinct values of each group, with a flag whether there are more."""
+    w = Window.partitionBy(group)
+    d = df.select(group, value).distinct().withColumns({"_r": F.row_number().over(w.orderBy(value)), "truncated": F.count(F.lit(1)).over(w) > cap})
+    return d.where(F.col("_r") <= cap).drop("_r")
+
+
+def union_series(parts: dict[str, DataFrame]) -> DataFrame:
+    """Series stacked under the names of their parts."""
+    return reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("part"), "*") for k, d in parts.items()])
+
+
+def union_distinct_times(parts: list[DataFrame]) -> DataFrame:
+    """The times that occur in any of the parts, each once."""
+    return reduce(DataFrame.union, [p.select("time") for p in parts]).distinct()
+
+
+def missing_set(want: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """The wanted keys, each once, that are not among those at hand."""
+    return want.select(key).distinct().join(have.select(key), key, "left_anti")
+
+
+def common_set(df: DataFrame, key: str, value: str, wanted: list[str]) -> DataFrame:
+    """The wanted values that each key has, sorted; keys without any go."""
+    d = df.where(F.col(value).isin(wanted)).select(key, value).distinct()
+    return d.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("common"))

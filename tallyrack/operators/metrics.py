@@ -7,22 +7,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Metrics of every job, their units.
-SIMPLE = {
-    "avg_blockbw": "GB/s", "avg_cpuusage": "#cores", "avg_sharedfs_iops": "iops", "avg_sharedfs_bw": "MB/s", "avg_ibbw": "MB/s", "avg_fabric_mb_per_gflops": "MB/GF",
-    "avg_tensor_active": "%", "avg_tensor_imma_active": "%", "avg_tensor_hmma_active": "%", "avg_tensor_dfma_active": "%", "avg_fp16_active": "%", "avg_fp32_active": "%",
-    "avg_fp64_active": "%", "avg_flops64b": "GF", "avg_flops32b": "GF", "avg_arm_int8_ops": "Gops", "avg_arm_int16_ops": "Gops", "avg_gpu_mem_bw_gbps": "GB/s",
-    "avg_fabric_mb_per_avg_tensor": "MB/s", "avg_flops": "GF", "avg_mbw": "GB/s",
-}
-COMPLEX = (
-    "avg_freq", "avg_ethbw", "avg_packetsize", "max_fabricbw", "max_lnetbw", "max_mds", "max_packetrate", "max_opa_congestion_rate", "max_numa_remote_rate", "max_gpu_power",
-    "max_node_power_est_w", "avg_node_power_est_w", "job_cpu_gpu_watt_hours", "max_gpu_link_gbps", "max_gpu_clock_event_reasons", "mem_hwm", "node_imbalance", "time_imbalance",
-    "flops_node_imbalance", "fabric_node_imbalance", "dram_bw_node_imbalance", "lnet_node_imbalance", "gpu_util_node_imbalance", "tensor_node_imbalance", "vecpercent_64b",
-    "avg_vector_width_64b", "vecpercent_32b", "avg_vector_width_32b",
-)
-DETAIL = {"detail_gpu_active": "count", "detail_gpu_util_max": "%", "detail_gpu_util_mean": "%", "detail_gpu_count": "count", "avg_gpuutil": "%"}
-FILES = {f"detail_fsio_{f}_{k}": u for f in ("llite", "nfs", "beegfs") for k, u in (("read_mb", "MB"), ("write_mb", "MB"), ("peak_mb_s", "MB/s"), ("peak_iops", "#/s"))}
-CATALOG = SIMPLE | dict.fromkeys(COMPLEX, "#") | DETAIL | FILES
+from .aggregates import cpu_cores_used
+from .catalog import BLANK, BYTES_GB, BYTES_MB, CPU_BUSY, CPU_IDLE, CPU_TYPE, SIMPLE, SIMPLE_PARTS
+from .windows import drop_first_bucket
+
+
+def simple_metrics(df: DataFrame, parts=SIMPLE_PARTS, seconds: int = 300) -> DataFrame:
+    """(jid, type, metric, units, value) of all simple metrics that the samples of jobs allow.
+
+    The short table of parts is joined to the samples once and one grouping makes the sums of
+    all metrics: per sample, then bucket means, first bucket dropped, means of a host and of
+    the job.  The terms of a try are summed and the first try with a value is taken.
+    """
+    spark = df.sparkSession
+    spec = spark.createDataFrame([tuple(p) for p in parts], "metric string, attempt int, part int, type string, event string, factor double, gauge boolean, nonnegative boolean, most double, positive boolean")
+    v = F.col("value") * F.col("factor")
+    sane = F.col("gauge") & (F.col("value") < BLANK) & F.coalesce(v <= F.col("most"), F.lit(True))
+    term = ["jid", "metric", "attempt", "part", "type", "gauge", "factor", "positive"]
+    d = df.join(F.broadcast(spec), ["type", "event"]).withColumn("v", F.when(sane, v)).withColumn("a", F.when(~(F.col("nonnegative") & (F.col("arc") < 0)), F.col("arc")))
+    d = d.groupBy(*term, "host", "time").agg(F.sum("a").alias("a"), F.sum("v").alias("v"), F.count("v").alias("n"))
+    total, n = F.when(F.col("gauge"), F.col("v")).otherwise(F.coalesce("a", F.lit(0.0)) * F.col("factor")), F.when(F.col("gauge"), F.col("n")).otherwise(1)
+    d = d.where(n > 0).groupBy(*term, "host", F.floor(F.unix_seconds("time") / seconds).alias("bucket")).agg((F.sum(total) / F.sum(n)).alias("v"))
+    d = drop_first_bucket(d, [*term, "host"], "bucket").groupBy(*term, "host").agg(F.avg("v").alias("v")).groupBy(*term).agg(F.avg("v").alias("v"))
+    d = d.groupBy("jid", "metric", "attempt", "positive").agg(F.sum("v").alias("value"), F.min_by("type", "part").alias("type")).where("value is not null and (value > 0 or not positive)")
+    d = d.groupBy("jid", "metric").agg(F.min_by(F.struct("type", "value"), "attempt").alias("r")).select("jid", "r.type", "metric", "r.value")
+    cpu = cpu_cores_used(df, CPU_TYPE, list(CPU_BUSY), list(CPU_IDLE), "arc", seconds).select("jid", F.lit(CPU_TYPE).alias("type"), F.lit("avg_cpuusage").alias("metric"), "value")
+    pick = lambda m, c="value": F.max(F.when(F.col("metric") == m, F.col(c)))
+    wide = d.where(F.col("metric").isin("avg_ibbw", "avg_flops", "avg_tensor_active")).groupBy("jid").agg(pick("avg_ibbw").alias("b"), pick("avg_ibbw", "type").alias("type"), pick("avg_flops").alias("f"), pick("avg_tensor_active").alias("t"))
+    fits = lambda c, least: F.when((F.col(c) > least) & (F.col("b") >= 0), F.col("b"))
+    ratios = [("avg_fabric_mb_per_gflops", fits("f", 0.0) / F.col("f")), ("avg_fabric_mb_per_avg_tensor", fits("t", 1e-6) / (F.col("t") / 100))]
+    rows = reduce(DataFrame.unionByName, [d, cpu, *[wide.select("jid", "type", F.lit(m).alias("metric"), r.alias("value")) for m, r in ratios]])
+    units = F.create_map(*[F.lit(x) for m, (_, u) in SIMPLE.items() for x in (m, u)])
+    return rows.where("value is not null").select("jid", "type", "metric", units[F.col("metric")].alias("units"), "value")
 
 
 def grid_densify(df: DataFrame, events: list[str]) -> DataFrame:
@@ -54,8 +70,7 @@ def peak_rate(df: DataFrame, events: list[str], conv: float, most: float) -> Dat
 def end_to_end(df: DataFrame, event: str, conv: float) -> DataFrame:
     """(last - first) / span at the job's first and last time, per host, then the mean; a host missing there is skipped."""
     own = df.where(F.col("event") == event)
-    w = Window.partitionBy("jid")
-    own = own.withColumns({"t0": F.min("time").over(w), "t1": F.max("time").over(w)})
+    own = own.join(own.groupBy("jid").agg(F.min("time").alias("t0"), F.max("time").alias("t1")), "jid")
     at = lambda t: F.sum(F.when(F.col("time") == F.col(t), F.col("value")))
     h = own.groupBy("jid", "host", "t0", "t1").agg(at("t0").alias("a"), at("t1").alias("b"))
     d = (F.col("b") - F.col("a")) / (F.unix_seconds("t1") - F.unix_seconds("t0")) * conv
@@ -103,7 +118,7 @@ def memory_high_water(df: DataFrame, used: str, less: list[str], conv: float) ->
 def gpu_peaks(df: DataFrame, vendors: list[str], power: str, mask: str) -> DataFrame:
     """Highest power of the first vendor with a positive one, and the union of reason bits."""
     rank = reduce(lambda c, it: c.when(F.col("type") == it[1], it[0]), enumerate(vendors), F)
-    pick = lambda e: F.when((F.col("event") == e) & (F.col("value") > 0) & (F.col("value") < 2.0**47), F.col("value"))
+    pick = lambda e: F.when((F.col("event") == e) & (F.col("value") > 0) & (F.col("value") < BLANK), F.col("value"))
     v = df.where(F.col("type").isin(vendors)).groupBy("jid", rank.alias("p")).agg(F.max(pick(power)).alias("w"), F.bit_or(pick(mask).cast("long")).alias("m"))
     return v.groupBy("jid").agg(F.min_by("w", F.when(F.col("w").isNotNull(), F.col("p"))).alias("power"), F.bit_or("m").alias("mask"))
 
@@ -147,7 +162,6 @@ def display_order(filled: DataFrame, catalog: DataFrame, hide: tuple[str, str] |
     return d.orderBy("jid", "tier", "ord")
 
 
-BYTES_MB, BYTES_GB = 1 / 1024**2, 1 / 1024**3
 #: Fixed values: (type, column, events, name, factor) of summary series; users may add rows.
 SUMMARY = (
     ("amd_x86_pmc", "arc", ("fp_ops_retired",), "amd_flops", 1e-9), ("intel_x86_rapl", "arc", ("pkg_energy",), "watts", 0.00001526), ("amd_x86_rapl", "arc", ("pkg_energy",), "amd_pkg_w", 0.00001526),
@@ -176,8 +190,8 @@ def host_series(df: DataFrame, host: str, start: Column, end: Column, specs=SUMM
 
 def error_series(df: DataFrame, events: list[str]) -> DataFrame:
     """Rates of error counters; a job's series stays only if any rate is not 0."""
-    w = Window.partitionBy("jid", "event")
-    return df.where(F.col("event").isin(events)).withColumn("_on", F.bool_or(F.col("arc") != 0).over(w)).where("_on").drop("_on")
+    own = df.where(F.col("event").isin(events))
+    return own.join(own.where("arc <> 0").select("jid", "event").distinct(), ["jid", "event"], "left_semi")
 
 
 def roofline(df: DataFrame, flops: dict[str, float], nbytes: dict[str, float], keys: list[str]) -> DataFrame:

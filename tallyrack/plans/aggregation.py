@@ -112,10 +112,10 @@ def agg_peak_job_wide(spark, sf):
     return A.peak_job_wide(X.grid(spark, sf), ["e0", "e2"], 2.0)
 
 
-@book("fsio_rows", "f_grid", """WITH t AS (SELECT jid, time, sum(arc) FILTER (event = 'e0') AS r, sum(arc) FILTER (event = 'e1') AS w, sum(arc) FILTER (event IN ('e0', 'e1')) AS b FROM f_grid WHERE host IN ('g0', 'g1') GROUP BY 1, 2), a AS (SELECT jid, sum(r) AS read_mb, sum(w) AS write_mb, max(b) AS peak_mb_s FROM t GROUP BY jid)
+@book("fsio_rows", "f_grid", """WITH t AS (SELECT jid, time, sum(arc) FILTER (event = 'e0') AS r, sum(arc) FILTER (event = 'e1') AS w, sum(arc) FILTER (event IN ('e0', 'e1')) AS b FROM f_grid GROUP BY 1, 2), a AS (SELECT jid, sum(r) AS read_mb, sum(w) AS write_mb, max(b) AS peak_mb_s FROM t GROUP BY jid)
   SELECT jid, 'detail_fsio_x_read_mb' AS metric, read_mb AS value, NULL AS no_data_reason FROM a UNION ALL SELECT jid, 'detail_fsio_x_write_mb', write_mb, NULL FROM a UNION ALL SELECT jid, 'detail_fsio_x_peak_mb_s', peak_mb_s, NULL FROM a UNION ALL SELECT jid, 'detail_fsio_x_peak_iops', NULL, 'no samples' FROM a""")
 def fsio_rows(spark, sf):
-    g = X.grid(spark, sf).where("host in ('g0', 'g1')").withColumns({"delta": F.col("arc"), "type": F.lit("x")})
+    g = X.grid(spark, sf).withColumns({"delta": F.col("arc"), "type": F.lit("x")})
     return A.fsio_rows(g, {"x": {"type": "x", "read": ["e0"], "write": ["e1"], "ops": ["none"]}})
 
 
@@ -148,7 +148,7 @@ def gpu_inventory(spark, sf):
 
 @book("distinct_samples", "f_js", "SELECT jid, sum(n) AS n FROM (SELECT jid, host, count(DISTINCT time) AS n FROM f_js GROUP BY 1, 2) GROUP BY jid")
 def distinct_samples(spark, sf):
-    return A.distinct_samples(js(spark, sf))
+    return A.distinct_samples(X.jobs(spark, sf), X.samples(spark, sf))
 
 
 @book("telemetry_bounds", "f_js", "SELECT jid, min(epoch_us(time)) AS first_us, max(epoch_us(time)) AS last_us FROM f_js GROUP BY jid")
@@ -164,7 +164,7 @@ def job_schema(spark, sf):
 
 @book("host_time_grid", "f_js", "SELECT DISTINCT jid, host, epoch_us(time) AS time_us FROM f_js")
 def host_time_grid(spark, sf):
-    return js(spark, sf).select("jid", "host", micros("time")).distinct()
+    return A.host_time_grid(js(spark, sf)).select("jid", "host", micros("time"))
 
 
 @book("cluster_mean_matrix", "f_grid", "SELECT jid, epoch_us(time) AS time_us, event, round(avg(value), 6) AS mean FROM f_grid GROUP BY 1, 2, 3")

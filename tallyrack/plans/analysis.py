@@ -12,6 +12,7 @@ from ..operators import windows as W
 from . import fixtures as X
 from .aggregation import js
 from .common import Book, micros, r6
+from ..operators.catalog import FP_DOUBLE, SIMPLE, SIMPLE_PARTS
 from .listing import f_metric
 
 book = Book()
@@ -97,12 +98,38 @@ def metric_energy(spark, sf):
     return M.energy(power(spark, sf)).select("jid", F.round("value", 4).alias("value"))
 
 
-@book("metric_simple", "f_js", """WITH v AS (SELECT jid, type, avg(value) AS value FROM f_js WHERE event <> 'k2' GROUP BY 1, 2) SELECT jid, 'avg_' || type AS metric, round(value * CASE type WHEN 'view' THEN 0.01 ELSE 1.0 END, 9) AS value FROM v WHERE type IN ('view', 'error')""")
+#: What the types and events of the driver's samples stand for, so that every kind of simple metric has samples.
+ROLES = {
+    ("view", "k0"): ("host_ib", "port_xmit_data"), ("view", "k1"): ("host_ib", "port_rcv_data"), ("view", "k2"): ("host_opa", "PortXmitData"),
+    ("click", "k0"): ("amd_x86_pmc", "fp_ops_retired"), ("click", "k1"): ("intel_x86_pmc_gpr8", FP_DOUBLE[2]), ("click", "k2"): ("intel_x86_pmc_gpr4", "SIMD_DOUBLE_256"),
+    ("purchase", "k0"): ("host_block", "rd_sectors"), ("purchase", "k1"): ("lustre_llite", "vfs_read_bytes"), ("purchase", "k2"): ("host_nfs", "normal_read"),
+    ("error", "k0"): ("nvidia_gpu", "tensor_active"), ("error", "k1"): ("amd_gpu", "tensor_active"), ("error", "k2"): ("nvidia_gpu", "gpu_mem_bw_bytes_rate"),
+    ("signup", "k0"): ("host_cpu", "user"), ("signup", "k1"): ("host_cpu", "idle"), ("signup", "k2"): ("intel_x86_uncore_imc_skx", "dram_cas_reads"),
+}
+_lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
+_values = lambda rows: ", ".join(f"({', '.join(map(_lit, r))})" for r in rows)
+_after_first = lambda by: f"WHERE r > 1 OR n = 1 GROUP BY {by}, host"
+
+
+@book("metric_simple", "f_js", f"""WITH m(t, e, rt, re) AS (VALUES {_values((*k, *v) for k, v in ROLES.items())}), spec(metric, attempt, part, type, event, factor, gauge, nonneg, most, positive) AS (VALUES {_values(SIMPLE_PARTS)}),
+  s AS (SELECT jid, host, time, ncores, nhosts, rt AS type, re AS event, value, value - 20 AS arc FROM f_js JOIN m ON f_js.type = m.t AND f_js.event = m.e),
+  x AS (SELECT jid, metric, attempt, part, type, gauge, factor, positive, host, time, sum(CASE WHEN NOT (nonneg AND arc < 0) THEN arc END) AS a, sum(v) AS v, count(v) AS c
+        FROM (SELECT s.*, metric, attempt, part, gauge, factor, nonneg, positive, CASE WHEN gauge AND value < 140737488355328 AND coalesce(value * factor <= most, true) THEN value * factor END AS v FROM s JOIN spec USING (type, event)) GROUP BY ALL),
+  b AS (SELECT jid, metric, attempt, part, type, positive, host, floor(epoch(time) / 14400) AS b, sum(CASE WHEN gauge THEN v ELSE coalesce(a, 0) * factor END) / sum(CASE WHEN gauge THEN c ELSE 1 END) AS v FROM x WHERE NOT gauge OR c > 0 GROUP BY ALL),
+  h AS (SELECT jid, metric, attempt, part, type, positive, avg(v) AS v FROM (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY jid, metric, attempt, part, type, host) AS n FROM b WINDOW w AS (PARTITION BY jid, metric, attempt, part, type, host ORDER BY b)) {_after_first("jid, metric, attempt, part, type, positive")}),
+  p AS (SELECT jid, metric, attempt, part, type, positive, avg(v) AS v FROM h GROUP BY ALL), t AS (SELECT jid, metric, attempt, positive, sum(v) AS value, arg_min(type, part) AS type FROM p GROUP BY 1, 2, 3, 4),
+  d AS (SELECT jid, metric, arg_min(type, attempt) AS type, arg_min(value, attempt) AS value FROM t WHERE value > 0 OR NOT positive GROUP BY 1, 2),
+  u AS (SELECT jid, host, time, ncores, nhosts, sum(arc) FILTER (event = 'user') AS b, sum(arc) FILTER (event = 'idle') AS i FROM s WHERE type = 'host_cpu' GROUP BY ALL),
+  c AS (SELECT jid, host, floor(epoch(time) / 14400) AS b, avg(CASE WHEN i IS NULL THEN coalesce(b, 0) * 0.01::DOUBLE WHEN coalesce(b, 0) + i = 0 THEN 0 ELSE least(greatest(coalesce(b, 0) / (coalesce(b, 0) + i), 0), 1) * ncores / nhosts END) AS v FROM u GROUP BY ALL),
+  cpu AS (SELECT jid, sum(v) AS value FROM (SELECT jid, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY jid, host ORDER BY b) AS r, count(*) OVER (PARTITION BY jid, host) AS n FROM c) {_after_first("jid")}) GROUP BY jid),
+  w AS (SELECT jid, max(value) FILTER (metric = 'avg_ibbw') AS b, max(type) FILTER (metric = 'avg_ibbw') AS type, max(value) FILTER (metric = 'avg_flops') AS f, max(value) FILTER (metric = 'avg_tensor_active') AS t FROM d GROUP BY jid),
+  units(metric, units) AS (VALUES {_values((k, u) for k, (_, u) in SIMPLE.items())}),
+  every AS (SELECT jid, type, metric, value FROM d UNION ALL SELECT jid, 'host_cpu', 'avg_cpuusage', value FROM cpu UNION ALL SELECT jid, type, 'avg_fabric_mb_per_gflops', b / f FROM w WHERE f > 0 AND b >= 0 UNION ALL SELECT jid, type, 'avg_fabric_mb_per_avg_tensor', b / (t / 100) FROM w WHERE t > 0.000001 AND b >= 0)
+  SELECT jid, type, metric, units, format('{{:.6e}}', value) AS value FROM every JOIN units USING (metric) WHERE value IS NOT NULL""")
 def metric_simple(spark, sf):
-    specs = [("view", 0.01), ("error", 1.0)]
-    pick = lambda t, k: (F.avg(F.when((F.col("type") == t) & F.col("event").isin("k0", "k1"), F.col("value"))) * k).alias(f"avg_{t}")
-    wide = js(spark, sf).groupBy("jid").agg(*[pick(*s) for s in specs])
-    return wide.unpivot("jid", [f"avg_{t}" for t, _ in specs], "metric", "value").where("value is not null").withColumn("value", F.round("value", 9))
+    role = lambda i: F.create_map(*[F.lit(x) for k, v in ROLES.items() for x in ("/".join(k), v[i])])[F.concat_ws("/", "type", "event")]
+    own = js(spark, sf).withColumns({"type": role(0), "event": role(1), "arc": F.col("value") - 20}).where("type is not null")
+    return M.simple_metrics(own, seconds=14400).withColumn("value", F.format_string("%.6e", "value"))
 
 
 def _catalog(spark):
@@ -235,35 +262,29 @@ def keyset_jobs(spark, sf):
 
 @book("top_capped", "f_job", "SELECT queue, username, count(*) OVER (PARTITION BY queue) > 10 AS truncated FROM (SELECT DISTINCT queue, username FROM f_job) QUALIFY row_number() OVER (PARTITION BY queue ORDER BY username) <= 10")
 def top_capped(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("queue")
-    d = X.jobs(spark, sf).select("queue", "username").distinct().withColumns({"r": F.row_number().over(w.orderBy("username")), "truncated": F.count(F.lit(1)).over(w) > 10})
-    return d.where("r <= 10").drop("r")
+    return A.top_capped(X.jobs(spark, sf), "queue", "username", 10)
 
 
 @book("union_series", "f_sample", "SELECT 'a' AS part, host, count(*) AS n FROM f_sample WHERE type = 'view' GROUP BY host UNION ALL SELECT 'b', host, count(*) FROM f_sample WHERE type = 'click' GROUP BY host")
 def union_series(spark, sf):
-    part = lambda p, t: X.samples(spark, sf).where(F.col("type") == t).groupBy(F.lit(p).alias("part"), "host").agg(F.count(F.lit(1)).alias("n"))
-    return part("a", "view").unionByName(part("b", "click"))
+    part = lambda t: X.samples(spark, sf).where(F.col("type") == t).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return A.union_series({"a": part("view"), "b": part("click")})
 
 
-@book("union_distinct_times", "f_wide", "SELECT DISTINCT epoch_us(time) AS time_us FROM f_wide WHERE host IN ('s1', 's2', 's3')")
+@book("union_distinct_times", "f_wide", "SELECT DISTINCT epoch_us(time) AS time_us FROM f_wide")
 def union_distinct_times(spark, sf):
-    return X.wide(spark, sf).where(F.col("host").isin("s1", "s2", "s3")).select(micros("time")).distinct()
+    hosts = F.substring("host", 2, 9).cast("int") % 3
+    return A.union_distinct_times([X.wide(spark, sf).where(hosts == i) for i in range(3)]).select(micros("time"))
 
 
 @book("missing_set", "f_job f_sample", "SELECT DISTINCT jid FROM f_job WHERE queue = '5-LOW' EXCEPT SELECT CAST(l_orderkey AS STRING) FROM lineitem")
 def missing_set(spark, sf):
-    want = X.jobs(spark, sf).where("queue = '5-LOW'").select("jid").distinct()
-    return want.join(X.read(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("jid")), "jid", "left_anti")
+    return A.missing_set(X.jobs(spark, sf).where("queue = '5-LOW'"), X.read(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("jid")), "jid")
 
 
 @book("common_set", "f_js", "SELECT jid, string_agg(DISTINCT event, ',' ORDER BY event) AS events FROM f_js WHERE event IN ('k0', 'k2') GROUP BY jid")
 def common_set(spark, sf):
-    have = js(spark, sf).groupBy("jid").agg(F.collect_set("event").alias("e"))
-    both = F.array_sort(F.array_intersect("e", F.array(F.lit("k0"), F.lit("k2"), F.lit("k7"))))
-    return have.select("jid", F.array_join(both, ",").alias("events")).where("events <> ''")
+    return A.common_set(js(spark, sf), "jid", "event", ["k0", "k2", "k7"]).select("jid", F.array_join("common", ",").alias("events"))
 
 
 @book("feasible_type_events", "f_js", "SELECT jid, bool_or(type = 'error' AND event IN ('k1', 'k9')) AS ok FROM f_js GROUP BY jid")

@@ -56,7 +56,7 @@ def normalise_keys(spark, sf):
 def expand_hostlist(spark, sf):
     k = F.col("s_suppkey")
     lo, pad = k % 9, lambda c: F.lpad(c.cast("string"), 3, "0")
-    text = F.concat(F.lit("c["), pad(lo), F.lit("-"), pad(lo + k % 4), F.lit(",101,x7".replace(",x7", "")), F.lit(",300],d"), k)
+    text = F.concat(F.lit("c["), pad(lo), F.lit("-"), pad(lo + k % 4), F.lit(",101"), F.lit(",300],d"), k)
     names = S.expand_hostlist(text)
     return X.read(spark, sf, "supplier").select("s_suppkey", F.size(names).alias("n"), names[0].alias("first"), F.element_at(names, -1).alias("last"))
 
@@ -152,7 +152,7 @@ def f_metric(spark, sf):
     return js.groupBy("jid", "type", F.concat(F.lit("avg_"), F.col("event")).alias("metric")).agg(F.when(n > 1, F.avg("value")).alias("value"), F.when(n <= 1, F.lit("insufficient")).alias("no_data_reason")).withColumn("units", F.lit("#"))
 
 
-@book("filter_job_metric_exists", "f_metric", "SELECT jid FROM f_job j WHERE EXISTS (SELECT 1 FROM f_metric m WHERE m.jid = j.jid AND metric = 'avg_k0' AND value >= 10) AND EXISTS (SELECT 1 FROM f_metric m WHERE m.jid = j.jid AND metric = 'avg_k1' AND value <= 60)")
+@book("filter_job_metric_exists", "f_metric", "WITH m AS MATERIALIZED (SELECT jid, metric, value FROM f_metric) SELECT jid FROM f_job WHERE jid IN (SELECT jid FROM m WHERE metric = 'avg_k0' AND value >= 10) AND jid IN (SELECT jid FROM m WHERE metric = 'avg_k1' AND value <= 60)")
 def filter_job_metric_exists(spark, sf):
     return filters.by_metric(X.jobs(spark, sf), f_metric(spark, sf), [("avg_k0", ">=", 10.0), ("avg_k1", "<=", 60.0)]).select("jid")
 
