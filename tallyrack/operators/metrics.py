@@ -19,16 +19,20 @@ def simple_metrics(df: DataFrame, parts=SIMPLE_PARTS, seconds: int = 300) -> Dat
     all metrics: per sample, then bucket means, first bucket dropped, means of a host and of
     the job.  The terms of a try are summed and the first try with a value is taken.
     """
-    spark = df.sparkSession
-    spec = spark.createDataFrame([tuple(p) for p in parts], "metric string, attempt int, part int, type string, event string, factor double, gauge boolean, nonnegative boolean, most double, positive boolean")
-    v = F.col("value") * F.col("factor")
-    sane = F.col("gauge") & (F.col("value") < BLANK) & F.coalesce(v <= F.col("most"), F.lit(True))
-    term = ["jid", "metric", "attempt", "part", "type", "gauge", "factor", "positive"]
-    d = df.join(F.broadcast(spec), ["type", "event"]).withColumn("v", F.when(sane, v)).withColumn("a", F.when(~(F.col("nonnegative") & (F.col("arc") < 0)), F.col("arc")))
-    d = d.groupBy(*term, "host", "time").agg(F.sum("a").alias("a"), F.sum("v").alias("v"), F.count("v").alias("n"))
-    total, n = F.when(F.col("gauge"), F.col("v")).otherwise(F.coalesce("a", F.lit(0.0)) * F.col("factor")), F.when(F.col("gauge"), F.col("n")).otherwise(1)
-    d = d.where(n > 0).groupBy(*term, "host", F.floor(F.unix_seconds("time") / seconds).alias("bucket")).agg((F.sum(total) / F.sum(n)).alias("v"))
-    d = drop_first_bucket(d, [*term, "host"], "bucket").groupBy(*term, "host").agg(F.avg("v").alias("v")).groupBy(*term).agg(F.avg("v").alias("v"))
+    spark, keys = df.sparkSession, {}
+    for x in parts:  # a part's number, odd for a gauge, is all that the groupings carry
+        keys.setdefault((x.metric, x.attempt, x.part, x.type, x.positive), 2 * len(keys) + x.gauge)
+    rows = [(keys[x.metric, x.attempt, x.part, x.type, x.positive], x.type, x.event, x.factor, x.nonnegative, x.most) for x in parts]
+    spec = spark.createDataFrame(rows, "p int, type string, event string, factor double, nonnegative boolean, most double")
+    named = spark.createDataFrame([(p, *k) for k, p in keys.items()], "p int, metric string, attempt int, part int, type string, positive boolean")
+    gauge, v, a = F.col("p") % 2 == 1, F.col("value") * F.col("factor"), F.col("arc") * F.col("factor")
+    sane = (F.col("value") < BLANK) & F.coalesce(v <= F.col("most"), F.lit(True))
+    own = F.when(gauge, F.when(sane, v)).when(F.col("nonnegative") & (F.col("arc") < 0), None).otherwise(a)
+    d = df.join(F.broadcast(spec), ["type", "event"]).select("jid", "host", "time", "p", own.alias("v"))
+    d = d.groupBy("jid", "host", "p", "time").agg(F.sum("v").alias("v"), F.count("v").alias("n"))
+    n = F.when(gauge, F.col("n")).otherwise(1)
+    d = d.where(n > 0).groupBy("jid", "host", "p", F.floor(F.unix_seconds("time") / seconds).alias("bucket")).agg((F.sum(F.coalesce("v", F.lit(0.0))) / F.sum(n)).alias("v"))
+    d = drop_first_bucket(d, ["jid", "host", "p"], "bucket").groupBy("jid", "host", "p").agg(F.avg("v").alias("v")).groupBy("jid", "p").agg(F.avg("v").alias("v")).join(F.broadcast(named), "p")
     d = d.groupBy("jid", "metric", "attempt", "positive").agg(F.sum("v").alias("value"), F.min_by("type", "part").alias("type")).where("value is not null and (value > 0 or not positive)")
     d = d.groupBy("jid", "metric").agg(F.min_by(F.struct("type", "value"), "attempt").alias("r")).select("jid", "r.type", "metric", "r.value")
     cpu = cpu_cores_used(df, CPU_TYPE, list(CPU_BUSY), list(CPU_IDLE), "arc", seconds).select("jid", F.lit(CPU_TYPE).alias("type"), F.lit("avg_cpuusage").alias("metric"), "value")
