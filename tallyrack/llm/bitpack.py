@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shared_folder, slices, table
-from .tokens import encode, tokenizer_path, vocabulary_size
+from .tokens import TEXT_BYTES, encode, tokenizer_path, vocabulary_size
 
 MAGIC = b"TRBITS01"
 TRAILER = struct.Struct("<QQQIIQ8s")
@@ -131,7 +131,7 @@ def _written(folder: str, path: str, end_id: int, bits: int, block_ids: int):
         draft = f"{root}/.{name}.{task.taskAttemptId()}"
         writer = None
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, TEXT_BYTES):
                 ids, counts = encode(b.column(1), path)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)

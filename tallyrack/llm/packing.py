@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, long_binary, slices, table
-from .tokens import encode, tokenizer_path
+from .tokens import TEXT_BYTES, encode, tokenizer_path
 
 WINDOW = 1024
 #: Tokens of a block, handled by one task at a time.
@@ -43,7 +43,7 @@ def _tokenised(path: str, end_id: int, special_as_text: bool):
 
         part, used = TaskContext.get().partitionId(), {}
         for whole in batches:
-            for b in slices(whole, 2):
+            for b in slices(whole, 2, TEXT_BYTES):
                 ids, counts = encode(b.column(2), path, special_as_text)
                 at, rows = 0, []
                 for n, sk in zip(counts.tolist(), b.column(1).to_pylist()):

@@ -17,9 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Encoded cuts that one Python worker remembers from batch to batch (about 200 bytes each).
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 200_000
 #: Cuts in one call of the library.
-CALL = 10_000
+CALL = 20_000
+#: Bytes of text encoded at once: the more, the fewer cuts are encoded again.
+TEXT_BYTES = 8_000_000
 MARK = "\x00"
 #: Texts with two white-space characters in a row, or the mark, are encoded whole.
 ODD = r"[\s\x{0b}\x{85}\pZ][\s\x{0b}\x{85}\pZ]|\x00"
