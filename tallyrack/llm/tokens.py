@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Encoded cuts that one Python worker remembers from batch to batch (about 200 bytes each).
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 400_000
 #: Cuts in one call of the library.
 CALL = 20_000
 #: Bytes of text encoded at once: the more, the fewer cuts are encoded again.
