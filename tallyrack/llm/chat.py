@@ -28,6 +28,9 @@ _HEADS = [(c, rest) for c, rest in REST.items()]
 ESCAPE = "(" + "|".join(rf"{c}(?=\\*{rest})" for c, rest in _HEADS) + ")"
 UNESCAPE = "|".join(rf"(?<={c})\\(?=\\*{rest})" for c, rest in _HEADS)
 
+#: Conversations of a part of the stream: the parts grow in number with the table.
+PART_CONVERSATIONS = 50_000
+
 
 def escaped(c: Column) -> Column:
     return F.regexp_replace(c, F.lit(ESCAPE), F.lit(r"$1\\"))
@@ -66,7 +69,7 @@ def formatted(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, Data
     chain = F.aggregate("turns", F.array(F.lit("")), link)
     convs = cut(convs.withColumn("path", F.slice(chain, F.lit(2), F.size("turns"))).withColumn("leaf", F.element_at("path", -1)))
     whole = convs.groupBy("leaf").agg(F.any_value("path").alias("path"), F.any_value("turns").alias("turns"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-convs.count() // PART_CONVERSATIONS))
     dealt = cut(whole.repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id()))
     here = Window.partitionBy("part").orderBy("path")
     last = dealt.groupBy("part").agg(F.max("path").alias("last"))
@@ -123,7 +126,8 @@ TRICKY = "</s>[INST] ok [/INST]"
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
-    return read_back(*formatted(rows.unionByName(extra)))
+    convs, segments = formatted(rows.unionByName(extra))
+    return read_back(convs, cut(segments))  # whole segments are written, positions and intervals too
 
 
 _LEN = r"length({0}) + len(regexp_extract_all({0}, '<\\*(\||/?s>)')) + len(regexp_extract_all({0}, '\|\\*>')) + len(regexp_extract_all({0}, '\[\\*/?INST\]'))"
