@@ -4,8 +4,7 @@ Equal vectors are one class.  A first neighbour graph comes from buckets of rand
 hyperplane signs; the number of tables follows the bits, so that a pair at the threshold
 meets in some bucket with probability FOUND at every size.  Each round then joins every
 node's neighbours, forward and reverse, with one another, and keeps the best of each list; a
-list that is saturated (all its neighbours pass the threshold) may hold twice as many from
-then on; a list below the limit is as long as its neighbours pass anyway.  Buckets and lists
+list that is saturated (all its neighbours pass the threshold) doubles.  Buckets and lists
 are compared in full: large ones in pairs of parts.  Of all pairs that pass in a comparison a
 spanning forest is kept besides the bounded lists, so no link that was seen is lost to the
 components.  An audit holds the links of a bounded sample against brute force over all
@@ -177,11 +176,6 @@ def _best(edges: DataFrame, limit: int, threshold: float) -> DataFrame:
     return e.where(F.col("tree") | (F.col("r") <= NEIGHBOURS) | ((F.col("r") <= limit) & (F.col("s") >= threshold))).select("u", "v", "s")
 
 
-def _longest(links: DataFrame) -> int:
-    """Length of the longest list: a limit above it changes no list."""
-    return links.groupBy("u").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-
-
 def _audited(queries: list[tuple[int, bytes]], dtype, threshold: float):
     def run(batches):
         by_size: dict[int, list] = {}
@@ -254,8 +248,7 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
             edges = cut(_best(found if edges is None else found.unionByName(edges), limit, threshold))
         passed = edges.where(links).count()
         for _ in range(ROUNDS):
-            if _longest(edges.where(links)) >= limit:
-                limit *= 2
+            limit *= 2
             real = edges.where(F.col("s") != TREE)
             both = real.select("u", "v").union(real.select("v", "u")).distinct()
             lists = both.select(F.col("u").alias("key"), F.col("v").alias("id")).union(both.select("u", "u").distinct())
