@@ -8,6 +8,7 @@ from ..operators import aggregates as A
 from ..operators import joins
 from ..operators import metrics as M
 from ..operators import readiness as R
+from ..operators import series as S
 from ..operators import windows as W
 from . import fixtures as X
 from .aggregation import js
@@ -161,6 +162,37 @@ def summary_series(spark, sf):
     return M.summary_series(js(spark, sf), SPECS).select("jid", "host", micros("time"), r6(F.col("seen")).alias("seen"), r6(F.col("errs")).alias("errs"))
 
 
+ROLE_SQL = f"""m(t, e, rt, re) AS (VALUES {_values((*k, *v) for k, v in ROLES.items())}),
+  s AS (SELECT jid, host, dev, date_trunc('day', time) AS time, rt AS type, re AS event, value, value - 20 AS arc FROM f_js JOIN m ON f_js.type = m.t AND f_js.event = m.e)"""
+
+
+def _by_day(spark, sf):
+    """The jobs' samples in their roles, times cut to days so that several counters share a sample."""
+    role = lambda i: F.create_map(*[F.lit(x) for k, v in ROLES.items() for x in ("/".join(k), v[i])])[F.concat_ws("/", "type", "event")]
+    return js(spark, sf).withColumns({"type": role(0), "event": role(1), "time": F.date_trunc("day", "time"), "arc": F.col("value") - 20}).where("type is not null")
+
+
+SHOWN = ("ibbw", "flops64b", "amd_flops", "nv_tensor_active", "cpu")
+
+
+@book("job_series", "f_js", f"""WITH {ROLE_SQL},
+  w AS (SELECT jid, host, time, sum(arc) FILTER (type = 'host_ib') / 1048576 AS ib, sum(arc) FILTER (type = 'host_opa') / 125000 AS opa, sum(arc) FILTER (type = 'intel_x86_pmc_gpr8') * 1e-9::DOUBLE AS f8,
+    sum(arc) FILTER (type = 'amd_x86_pmc') * 1e-9::DOUBLE AS amd, sum(value) FILTER (type = 'nvidia_gpu' AND event = 'tensor_active') AS tensor, sum(arc) FILTER (type = 'host_cpu' AND event = 'user') * 0.01::DOUBLE AS cpu FROM s GROUP BY ALL),
+  c AS (SELECT jid, count(*) AS n, count(ib) AS ib, count(f8) AS f8, count(amd) AS amd, count(cpu) AS cpu FROM w GROUP BY jid)
+  SELECT w.jid, host, epoch_us(time::TIMESTAMP) AS time_us, format('{{:.6e}}', CASE WHEN c.ib = n THEN w.ib ELSE opa END) AS ibbw, format('{{:.6e}}', CASE WHEN c.f8 = n THEN w.f8 END) AS flops64b,
+    format('{{:.6e}}', CASE WHEN c.amd = n THEN w.amd END) AS amd_flops, format('{{:.6e}}', tensor) AS nv_tensor_active, format('{{:.6e}}', CASE WHEN c.cpu = n THEN w.cpu END) AS cpu FROM w JOIN c USING (jid)""")
+def job_series(spark, sf):
+    return S.job_series(_by_day(spark, sf)).select("jid", "host", micros("time"), *[F.when(F.col(c).isNotNull(), F.format_string("%.6e", c)).alias(c) for c in SHOWN])
+
+
+@book("job_roofline", "f_js", f"""WITH {ROLE_SQL},
+  w AS (SELECT jid, host, time, sum(arc) FILTER (type = 'intel_x86_pmc_gpr8') * 1e-9::DOUBLE AS f8, sum(arc) FILTER (type = 'intel_x86_pmc_gpr4') * 4e-9::DOUBLE AS f4, sum(arc) FILTER (type = 'intel_x86_uncore_imc_skx') * 64 / 1073741824 AS b FROM s GROUP BY ALL),
+  p AS (SELECT w.jid, host, time, CASE WHEN n > 0 THEN f8 ELSE f4 END AS f, b FROM w JOIN (SELECT jid, count(f8) AS n FROM w GROUP BY jid) c USING (jid))
+  SELECT jid, host, epoch_us(time::TIMESTAMP) AS time_us, format('{{:.6e}}', f) AS flops_gf, format('{{:.6e}}', b) AS bw_gb, format('{{:.6e}}', f / b) AS ai FROM p WHERE f > 0 AND b > 0""")
+def job_roofline(spark, sf):
+    return S.job_roofline(_by_day(spark, sf)).select("jid", "host", micros("time"), *[F.format_string("%.6e", c).alias(c) for c in ("flops_gf", "bw_gb", "ai")])
+
+
 @book("host_series", "f_sample", "SELECT host, epoch_us(time) AS time_us, round(sum(value) FILTER (type = 'view' AND event IN ('k0', 'k1')) * 0.5, 6) AS seen, round(sum(value) FILTER (type = 'error' AND event = 'k2') * 2, 6) AS errs FROM f_sample WHERE host = 'h3' AND time >= TIMESTAMP '2024-01-05' AND time <= TIMESTAMP '2024-01-12' AND ((type = 'view' AND event IN ('k0', 'k1')) OR (type = 'error' AND event = 'k2')) GROUP BY host, time")
 def host_series(spark, sf):
     at = lambda d: F.to_timestamp(F.lit(f"{d} 00:00:00"))
