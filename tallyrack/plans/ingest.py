@@ -16,15 +16,15 @@ book = Book()
 
 
 def monitor_lines(spark, sf):
-    """(file, pos, line): each host's events as monitor text, in time order."""
-    e = X.read(spark, sf, "events").withColumn("host", F.concat(F.lit("h"), F.col("user_id") % 25))
+    """(file, pos, line): the events of each host and day as monitor text of its own, in time order."""
+    e = X.read(spark, sf, "events").withColumn("host", F.concat(F.lit("h"), F.col("user_id") % 25)).withColumn("file", F.concat_ws("/", "host", F.to_date("ts")))
     head = F.concat_ws(" ", F.format_string("%.6f", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), F.when(F.col("user_id") % 7 == 0, "-").otherwise(F.col("user_id").cast("string")), "host")
     bad = F.when(F.col("event_id") % 50 == 0, " 9 9").otherwise("")
     gpu = F.when(F.col("event_id") % 2 == 0, F.concat_ws(" ", F.lit("gpu"), F.lit("0"), F.lit("@fast"), F.col("value"))).otherwise(F.concat_ws(" ", F.lit("gpu 0 @full"), F.col("value"), F.lit("42")))
     body = F.array(head, F.concat(F.concat_ws(" ", F.lit("blk"), F.col("event_type"), F.col("event_id"), F.col("value")), bad), gpu, F.concat_ws(" ", F.lit("proc"), F.concat("event_type", F.lit("/1/2")), F.col("event_id"), F.col("user_id")), F.lit("ps x 1"))
-    rows = e.select(F.col("host").alias("file"), "event_id", F.posexplode(body).alias("k", "line")).select("file", (F.col("event_id") * 8 + F.col("k") + 10).alias("pos"), "line")
+    rows = e.select("file", "event_id", F.posexplode(body).alias("k", "line")).select("file", (F.col("event_id") * 8 + F.col("k") + 10).alias("pos"), "line")
     start = F.array(F.lit("$version 1"), F.concat(F.lit("$hostname "), F.col("host"), F.lit(".example.org")), F.lit("!blk rd,E,U=512B wr,E,W=48"), F.lit("!gpu util slow_temp,R=S"), F.lit("!proc vm_peak uid"), F.lit("!ps n"))
-    top = e.select("host").distinct().select(F.col("host").alias("file"), F.posexplode(start).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+    top = e.select("host", "file").distinct().select("file", F.posexplode(start).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
     return top.unionByName(rows)
 
 
@@ -36,10 +36,11 @@ OUT = ("host", "jid", "type", "dev", "event", "value")
 
 
 def text_files(spark, sf):
-    """The lines as one text file a host, in a folder that the cluster shares."""
+    """The lines as text in a folder for each host that the cluster shares; files hold whole days, each behind its schema, and grow in number."""
     path = scratch(spark, "monitor")
-    one = monitor_lines(spark, sf).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("value"))
-    one.write.partitionBy("file").text(path)
+    part = lambda i: F.split_part("file", F.lit("/"), F.lit(i))
+    days = monitor_lines(spark, sf).select(part(1).alias("file"), part(2).alias("day"), "pos", F.col("line").alias("value"))
+    days.repartition("file", "day").sortWithinPartitions("file", "day", "pos").select("file", "value").write.partitionBy("file").text(path)
     return path
 
 
@@ -68,7 +69,7 @@ def read_proc_rows(spark, sf):
 
 @book("read_node_identity", "", "SELECT DISTINCT 'h' || CAST(user_id % 25 AS STRING) || '.example.org' AS host, '1' AS version, 'blk,gpu,proc,ps' AS types FROM events")
 def read_node_identity(spark, sf):
-    return monitor.read_node_identity(monitor_lines(spark, sf)).select("host", "version", F.array_join("types", ",").alias("types"))
+    return monitor.read_node_identity(monitor_lines(spark, sf)).select("host", "version", F.array_join("types", ",").alias("types")).distinct()
 
 
 @book("discover_files", "", "SELECT DISTINCT 'file=h' || CAST(user_id % 25 AS STRING) AS host, true AS found FROM events")
