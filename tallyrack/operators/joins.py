@@ -87,11 +87,22 @@ def files_loaded(lines: DataFrame, loaded: DataFrame) -> DataFrame:
     return e.select("file", (F.col("has_first").isNotNull() & F.col("has_last").isNotNull()).alias("complete"))
 
 
-def run_coverage(job: DataFrame, run: DataFrame) -> DataFrame:
-    """One row: jobs, jobs with and without runs, runs."""
-    n = run.groupBy("jid").agg(F.count(F.lit(1)).alias("runs"))
-    j = job.select("jid").join(n, "jid", "left")
-    return j.agg(F.count(F.lit(1)).alias("jobs"), F.count("runs").alias("with_runs"), F.count_if(F.col("runs").isNull()).alias("without_runs"), F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"))
+def _with_runs(job: DataFrame, run: DataFrame, since) -> DataFrame:
+    n = run.groupBy("jid").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("date") >= since).alias("recent"))
+    return job.where(F.col("end_time") >= since).select("jid").distinct().join(n, "jid", "left")
+
+
+def run_coverage(job: DataFrame, run: DataFrame, since) -> DataFrame:
+    """One row of the jobs that ended since: with and without runs, with runs since, and all their runs."""
+    j = _with_runs(job, run, since)
+    counts = [F.count(F.lit(1)).alias("jobs"), F.count("runs").alias("with_runs"), F.count_if(F.col("recent") > 0).alias("with_recent"), F.count_if(F.col("runs").isNull()).alias("without_runs")]
+    return j.agg(*counts, F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"))
+
+
+def run_coverage_ids(job: DataFrame, run: DataFrame, since, limit: int = 200) -> DataFrame:
+    """(jid, found): the first ``limit`` ids with runs and the first without, for a report."""
+    j = _with_runs(job, run, since).select("jid", F.col("runs").isNotNull().alias("found"))
+    return j.where("found").orderBy("jid").limit(limit).unionByName(j.where("not found").orderBy("jid").limit(limit))
 
 
 def job_processes(job: DataFrame, proc: DataFrame) -> DataFrame:

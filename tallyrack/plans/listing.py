@@ -252,9 +252,23 @@ def audit_file_loaded(spark, sf):
     return joins.files_loaded(lines, lines.where("type <> 'error'"))
 
 
-@book("run_coverage", "f_job", "SELECT count(*) AS jobs, count(r.n) AS with_runs, count(*) - count(r.n) AS without_runs, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS runs FROM f_job j LEFT JOIN (SELECT CAST(l_orderkey AS STRING) AS jid, count(*) AS n FROM lineitem GROUP BY 1) r ON r.jid = j.jid")
+COVERED = """WITH r AS (SELECT CAST(l_orderkey AS STRING) AS jid, count(*) AS n, count(*) FILTER (l_shipdate + INTERVAL 27 YEAR >= TIMESTAMP '2024-01-20') AS recent FROM lineitem GROUP BY 1),
+  c AS (SELECT j.jid, n, recent FROM f_job j LEFT JOIN r ON r.jid = j.jid WHERE end_time >= TIMESTAMP '2024-01-20')"""
+
+
+def _recent(spark, sf):
+    run = X.read(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("jid"), F.expr("cast(l_shipdate + interval 27 years as timestamp)").alias("date"))
+    return X.jobs(spark, sf), run, F.to_timestamp(F.lit("2024-01-20 00:00:00"))
+
+
+@book("run_coverage", "f_job", f"{COVERED} SELECT count(*) AS jobs, count(n) AS with_runs, count(*) FILTER (recent > 0) AS with_recent, count(*) - count(n) AS without_runs, CAST(coalesce(sum(n), 0) AS BIGINT) AS runs FROM c")
 def run_coverage(spark, sf):
-    return joins.run_coverage(X.jobs(spark, sf), X.read(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("jid")))
+    return joins.run_coverage(*_recent(spark, sf))
+
+
+@book("run_coverage_ids", "f_job", f"{COVERED} SELECT jid, n IS NOT NULL AS found FROM c QUALIFY row_number() OVER (PARTITION BY n IS NOT NULL ORDER BY jid) <= 200")
+def run_coverage_ids(spark, sf):
+    return joins.run_coverage_ids(*_recent(spark, sf))
 
 
 @book("job_processes", "f_job", "SELECT j.jid, 's' || l_suppkey AS host, 'p' || l_linenumber AS proc, l_quantity AS vm FROM lineitem JOIN f_job j ON j.jid = CAST(l_orderkey AS STRING) WHERE j.queue = '1-URGENT'")
