@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, licenses, lm, mixing, neardup, packing, quality, toxicity, vectors
+from . import bitpack, bpe, chat, licenses, lm, mixing, neardup, packing, quality, toxicity, vectors
 
-MODULES = (mixing, quality, neardup, packing, bitpack, toxicity, chat, vectors, lm, licenses)
+MODULES = (mixing, quality, neardup, packing, bitpack, toxicity, chat, vectors, lm, licenses, bpe)
 
 
 def queries() -> dict:
