@@ -354,8 +354,8 @@ def listing_gates(spark, sf):
 
 @book("needs_refresh", "f_js", "WITH a AS (SELECT jid, count(DISTINCT host || CAST(time AS STRING)) AS n FROM f_js GROUP BY 1), b AS (SELECT jid, count(DISTINCT host || CAST(time AS STRING)) AS n FROM f_js WHERE type <> 'error' GROUP BY 1) SELECT jid, a.n, coalesce(b.n, 0) AS had FROM a LEFT JOIN b USING (jid) WHERE a.n > coalesce(b.n, 0)")
 def needs_refresh(spark, sf):
-    d = js(spark, sf)
-    return R.needs_refresh(A.distinct_samples(d.where("type <> 'error'")), A.distinct_samples(d))
+    j, d = X.jobs(spark, sf), X.samples(spark, sf)
+    return R.needs_refresh(A.distinct_samples(j, d.where("type <> 'error'")), A.distinct_samples(j, d))
 
 
 @book("period_keys", "f_job", "SELECT 'month' AS kind, strftime(m, '%Y-%m') AS period FROM (SELECT unnest(range(date_trunc('month', min(end_time))::TIMESTAMP, max(end_time) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS m FROM f_job) WHERE m <= (SELECT max(end_time) FROM f_job WHERE start_time >= submit_time) UNION ALL SELECT DISTINCT 'year', strftime(end_time, '%Y') FROM f_job")
