@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table
-from .tokens import MEMO_ENTRIES, tokenizer_path
+from .tokens import tokenizer_path
 
 #: Bytes of text encoded at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Code points that one step of the scan runs through in order; blocks side by side.
 BLOCK = 64
+#: Slices that one Python worker remembers (about 150 bytes each).
+MEMO_ENTRIES = 200_000
 #: Longer slices are merged with a heap.
 SHORT = 48
 
@@ -259,7 +261,7 @@ class Vocabulary:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, byte at which each id's token ends in its text, number of ids of each text)."""
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
-        data = b"".join(x for x in texts.cast(pa.binary()).to_pylist() if x)
+        data = b"".join(pc.fill_null(texts, "").cast(pa.binary()).to_pylist())
         text_ends = np.cumsum(sizes)
         starts = slice_starts(data, text_ends)
         offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
@@ -302,31 +304,43 @@ def _blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(values.astype("<u4").tobytes())]).cast(pa.binary())
 
 
-def encoded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(key, ids, stops) of each row: ids and the byte offsets at which their tokens end, as little-endian 32-bit integers."""
+def _decoded(own: Vocabulary, ids: np.ndarray, stops: np.ndarray, counts: np.ndarray) -> pa.Array:
+    ends = np.cumsum(counts).tolist()
+    return pa.array([own.decode(ids[z - n : z], stops[z - n : z]) for z, n in zip(ends, counts.tolist())], pa.binary())
+
+
+def encoded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, and_decoded: bool = False) -> DataFrame:
+    """(key, ids, stops) of each row: ids and the byte offsets at which their tokens end, as little-endian 32-bit integers.
+
+    With ``and_decoded`` the ids are decoded in the same task, as a further column.
+    """
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
+    names = ["key", "ids", "stops", *["decoded"] * and_decoded]
 
     def run(batches):
         own = vocabulary(path)
         for whole in batches:
             for b in slices(whole, 1, SLICE_BYTES):
                 ids, stops, counts = own.encode(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), _blobs(ids, counts), _blobs(stops, counts)], ["key", "ids", "stops"])
+                yield pa.RecordBatch.from_arrays([b.column(0), _blobs(ids, counts), _blobs(stops, counts), *[_decoded(own, ids, stops, counts)] * and_decoded], names)
 
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, f"key {kind}, ids binary, stops binary").withColumnRenamed("key", key)
+    return src.mapInArrow(run, f"key {kind}" + "".join(f", {n} binary" for n in names[1:])).withColumnRenamed("key", key)
 
 
 def decoded(ids: DataFrame, *, key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """``encoded`` rows with ``decoded``, the bytes of their ids."""
+    """``encoded`` rows, which may have been stored, with ``decoded``, the bytes of their ids."""
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
 
     def run(batches):
         own = vocabulary(path)
-        for b in batches:
-            out = [own.decode(np.frombuffer(i, "<u4"), np.frombuffer(s, "<u4").astype(np.int64)) for i, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], ["key", "ids", "stops", "decoded"])
+        for whole in batches:
+            for b in slices(whole, 1, SLICE_BYTES):
+                rows = [[np.frombuffer(x, "<u4") for x in b.column(i).to_pylist()] for i in (1, 2)]
+                counts = np.fromiter(map(len, rows[0]), np.int64, b.num_rows)
+                flat = [np.concatenate(r) for r in rows]
+                yield pa.RecordBatch.from_arrays([*b.columns, _decoded(own, flat[0], flat[1].astype(np.int64), counts)], ["key", "ids", "stops", "decoded"])
 
     kind = ids.schema[key].dataType.simpleString()
     src = ids.select(F.col(key).alias("key"), "ids", "stops")
@@ -334,7 +348,7 @@ def decoded(ids: DataFrame, *, key: str = "doc_id", path: str | None = None) ->
 
 
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decoded(encoded(table(spark, sf_dir, "documents")))
+    out = encoded(table(spark, sf_dir, "documents"), and_decoded=True)
     n = (F.octet_length("ids") / 4).cast("long")
     return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
