@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import align, bitpack, bpe, chat, licenses, lm, mixing, neardup, packing, quality, toxicity, vectors
+from . import align, bitpack, bpe, chat, collocations, licenses, lm, mixing, neardup, packing, quality, toxicity, vectors
 
-MODULES = (mixing, quality, neardup, packing, bitpack, toxicity, chat, vectors, lm, licenses, bpe, align)
+MODULES = (mixing, quality, neardup, packing, bitpack, toxicity, chat, vectors, lm, licenses, bpe, align, collocations)
 
 
 def queries() -> dict:
