@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,11 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Vocabulary
 from .common import cut, shared_folder, slices, table
-from .tokens import MEMO_ENTRIES, encode, tokenizer_path
+from .tokens import ODD, encoded_cuts, tokenizer, tokenizer_path
 
 #: Bytes of text aligned at once.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
+#: Cuts whose ids of both sides one Python worker remembers.
+MEMO_ENTRIES, LONG_CUT = 400_000, 64
+#: Code points whose UTF-8 begins with a lesser byte (up to U+023F) have had their classes in every version of Unicode that a library may hold.
+UNSETTLED = 0xC9
 #: Pairs of ids whose counts every task holds at most (the commonest); the rest are joined.
 COMMON_PAIRS = 1 << 20
 #: Pairs that a task gathers before it sends their counts on.
@@ -38,7 +43,7 @@ ID_BITS = 32
 
 
 class Names:
-    """The bytes of every id of one side, and encoding of whole batches."""
+    """The bytes of every id of one side."""
 
     def __init__(self, names: list[bytes]):
         self.widths = np.fromiter(map(len, names), np.int64, len(names))
@@ -53,20 +58,42 @@ class Names:
 
 
 class ByteSide(Names):
+    """A byte-level BPE.  Where its ids are in order of merging, texts of long-settled letters go through ``bpe``, which is faster."""
+
     def __init__(self, path: str):
-        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        entries = model["model"]["vocab"] | {t["content"]: t["id"] for t in model["added_tokens"]}
+        vocab = model["model"]["vocab"]
         plain = byte_alphabet()
+        entries = vocab | {t["content"]: t["id"] for t in model["added_tokens"]}
         names = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             names[i] = bytes(plain[c] for c in entry)
         super().__init__(names)
-
-    def encode(self, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = encode(spaced, self.path, special_as_text=True)
-        return ids.astype(np.int64), counts
+        self.library = tokenizer(path, special_as_text=True)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+        order = [vocab[x + y] for x, y in pairs]
+        single = [i for e, i in vocab.items() if len(e) == 1]
+        ordered = order == sorted(order) and len(single) + len(set(order)) == len(vocab) and max(single) < min(order)
+        self.own = Vocabulary({names[i]: i for i in vocab.values()}) if ordered else None
+
+    def encoded(self, spaced: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        texts = pa.array(spaced, pa.string())
+        late = np.ones(len(spaced), bool)
+        if self.own:
+            size = pc.binary_length(texts).to_numpy().astype(np.int64)
+            late = np.add.reduceat(np.frombuffer("".join(spaced).encode(), np.uint8) >= UNSETTLED, np.cumsum(size) - size, dtype=np.int64) > 0
+        if not late.any():
+            ids, _, counts = self.own.encode(texts)
+            return ids, counts
+        rows = iter(encoded_cuts(self.library, [x for x, l in zip(spaced, late) if l]))
+        parts = iter(())
+        if not late.all():
+            ids, _, counts = self.own.encode(texts.filter(pa.array(~late)))
+            parts = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        both = [np.frombuffer(next(rows), "<u4") if l else next(parts) for l in late]
+        return np.concatenate(both), np.fromiter(map(len, both), np.int64, len(both))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -77,7 +104,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class PieceSide(Names):
-    """A sentencepiece model.  No piece goes on behind a word's begin, so texts are cut there and distinct cuts encoded once."""
+    """A sentencepiece model that adds the space before a text itself."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -87,73 +114,107 @@ class PieceSide(Names):
         byte = lambda i: bytes([int(pieces[i][3:-1], 16)]) if self.model.is_byte(i) else pieces[i].replace(BEGIN, " ").encode()
         super().__init__([byte(i) for i in range(len(pieces))])
         self.cuts_agree = not any(BEGIN in p.lstrip(BEGIN) for p in pieces)
-        self.lone = array("I", [self.model.piece_to_id(BEGIN)]).tobytes()
-        self.memo: dict[str, bytes] = {}
+        self.lone = [self.model.piece_to_id(BEGIN)]
 
-    def encoded(self, spaced: list[str]) -> list[bytes]:
-        """Ids of texts, each of which begins with the space that the model adds itself."""
+    def encoded(self, spaced: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = self.model.encode([x[1:] for x in spaced], num_threads=1)
-        return [array("I", row).tobytes() if len(x) > 1 else self.lone for row, x in zip(rows, spaced)]
-
-    def encode(self, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        mark = "\x00"
-        odd = pc.match_substring(spaced, mark).to_numpy(zero_copy_only=False) if self.cuts_agree else np.ones(len(spaced), bool)
-        plain = pc.if_else(pa.array(odd), " ", spaced)
-        lists = pc.split_pattern(pc.replace_substring_regex(plain, r"([^ ]) ", "\\1" + mark + " "), mark)
-        words = pc.list_flatten(lists).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        own = [self.memo.get(w) for w in names]
-        new = [i for i, ids in enumerate(own) if ids is None]
-        for i, ids in zip(new, self.encoded([names[i] for i in new])):
-            own[i] = ids
-        for i in new[: max(MEMO_ENTRIES - len(self.memo), 0)]:
-            self.memo[names[i]] = own[i]
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        pool = np.frombuffer(b"".join(own), "<u4")
-        first = np.cumsum(sizes) - sizes
-        at = words.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(sizes[at])])
-        ids = pool[np.repeat(first[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])].astype(np.int64)
-        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])]
-        counts = np.diff(bounds)
-        if odd.any():
-            rows = [ids[a:z] for a, z in zip(bounds, bounds[1:])]
-            for i, own_ids in zip(np.flatnonzero(odd), self.encoded(spaced.filter(pa.array(odd)).to_pylist())):
-                rows[i] = np.frombuffer(own_ids, "<u4").astype(np.int64)
-                counts[i] = len(rows[i])
-            ids = np.concatenate(rows)
-        return ids, counts
-
-
-_sides: dict[tuple[str, str], tuple[ByteSide, PieceSide]] = {}
-
-
-def sides(a_path: str, b_path: str) -> tuple[ByteSide, PieceSide]:
+        rows = [row if len(x) > 1 else self.lone for row, x in zip(rows, spaced)]
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum())), counts
+
+
+class Remembered:
+    """Ids of numbered cuts of one side."""
+
+    def __init__(self, side: Names):
+        self.side, self.ids, self.counts = side, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def gathered(self, slots: np.ndarray, new: list[str], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slots, number of ids of each); ``new`` cuts take the next slots, and those to ``keep`` are remembered."""
+        more, sizes = self.side.encoded(new) if new else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pool, counts = np.concatenate([self.ids, more.astype(np.int64)]), np.concatenate([self.counts, sizes])
+        per_cut = counts[slots]
+        ends = np.cumsum(per_cut)
+        ids = pool[np.repeat((np.cumsum(counts) - counts)[slots] - (ends - per_cut), per_cut) + np.arange(ends[-1] if len(ends) else 0)]
+        self.ids, self.counts = np.concatenate([self.ids, more[np.repeat(keep, sizes)]]), np.concatenate([self.counts, sizes[keep]])
+        return ids, per_cut
+
+
+class Sides:
+    """Both sides.  No token goes on behind a word's begin, so texts are cut there and each distinct cut is encoded once.
+
+    Texts with two white-space characters in a row are encoded whole.
+    """
+
+    def __init__(self, a_path: str, b_path: str):
+        self.a, self.b = ByteSide(a_path), PieceSide(b_path)
+        self.names, self.first_b = _name_table(self.a, self.b)
+        self.memo: dict[str, int] = {}
+        self.remembered = Remembered(self.a), Remembered(self.b)
+
+    def encode(self, spaced: pa.Array, data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts, number of ids of each text) of both sides; each text begins with a space, ``data`` is all of them."""
+        size = pc.binary_length(spaced).to_numpy().astype(np.int64)
+        first = np.cumsum(size) - size
+        odd = pc.match_substring_regex(spaced, ODD).to_numpy(zero_copy_only=False) if self.b.cuts_agree else np.ones(len(spaced), bool)
+        flat = np.frombuffer(data, np.uint8)
+        begins = flat == 0x20
+        begins[1:] &= flat[:-1] != 0x20
+        begins &= ~np.repeat(odd, size)
+        begins[first] = True
+        starts = np.flatnonzero(begins)
+        tiles = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)])
+        words = tiles.dictionary_encode()
+        cuts = words.dictionary.to_pylist()
+        slots = np.fromiter(map(self.memo.get, cuts, repeat(-1)), np.int64, len(cuts))
+        at = np.flatnonzero(slots < 0)
+        new = [cuts[i] for i in at.tolist()]
+        held = len(self.memo)
+        keep = np.fromiter((len(x) <= LONG_CUT for x in new), bool, len(new))
+        keep &= np.cumsum(keep) <= MEMO_ENTRIES - held
+        slots[at] = held + np.arange(len(at))
+        own = slots[words.indices.to_numpy()]
+        cut_text = np.searchsorted(first, starts, side="right") - 1
+        out = []
+        for side in self.remembered:
+            ids, per_cut = side.gathered(own, new, keep)
+            out.append((ids, np.bincount(cut_text, per_cut, len(spaced)).astype(np.int64)))
+        self.memo.update(zip((x for x, k in zip(new, keep) if k), range(held, held + int(keep.sum()))))
+        return out
+
+
+_sides: dict[tuple[str, str], Sides] = {}
+
+
+def sides(a_path: str, b_path: str) -> Sides:
     if (a_path, b_path) not in _sides:
-        _sides[a_path, b_path] = (ByteSide(a_path), PieceSide(b_path))
+        _sides[a_path, b_path] = Sides(a_path, b_path)
     return _sides[a_path, b_path]
 
 
 # --- one batch --------------------------------------------------------------------------
 
 
-def tiled(texts: pa.Array, a: ByteSide, b: PieceSide):
+def tiled(texts: pa.Array, both: Sides) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, tokens by text) of both sides; no tokens where a side does not give the bytes back."""
-    texts = pc.fill_null(texts, "")
-    spaced = pc.binary_join_element_wise(" ", texts, "")
+    spaced = pc.binary_join_element_wise(" ", pc.fill_null(texts, ""), "")
     size = pc.binary_length(spaced).to_numpy().astype(np.int64)
-    data = np.frombuffer("".join(spaced.to_pylist()).encode(), np.uint8)
+    joined = "".join(spaced.to_pylist()).encode()
+    data = np.frombuffer(joined, np.uint8)
     good = size > 1
-    own = [side.encode(spaced) for side in (a, b)]
-    for side, (ids, counts) in zip((a, b), own):
-        text = np.repeat(np.arange(len(counts)), counts)
-        good &= np.bincount(text, side.widths[ids], len(counts)).astype(np.int64) == size
-    for side, (ids, counts) in zip((a, b), own):
-        mine = data[np.repeat(good, size)]
-        differ = np.flatnonzero(side.joined(ids[np.repeat(good, counts)]) != mine)
+    own = both.encode(spaced, joined)
+    for side, (ids, counts) in zip((both.a, both.b), own):
+        ends = np.concatenate([[0], np.cumsum(side.widths[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+        good &= np.diff(ends) == size
+    every = good.all()
+    for side, (ids, counts) in zip((both.a, both.b), own):
+        differ = np.flatnonzero(side.joined(ids if every else ids[np.repeat(good, counts)]) != (data if every else data[np.repeat(good, size)]))
         bad = np.flatnonzero(good)[np.searchsorted(np.cumsum(size[good]), differ, side="right")]
-        good[bad] = False
-    return [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in own]
+        if len(bad):
+            good = good.copy()
+            good[bad] = False
+            every = False
+    return own if every else [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in own]
 
 
 def overlaps(a_ends: np.ndarray, b_ends: np.ndarray, a_doc: np.ndarray, b_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,20 +228,28 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray, a_doc: np.ndarray, b_doc: n
     return np.concatenate([by_a["a"], by_b["a"].to_numpy()[more]]), np.concatenate([by_a["b"], by_b["b"].to_numpy()[more]])
 
 
-def written_groups(a, b, a_doc, b_doc, a_ends, b_ends, common, docs: int, names: pa.Array, first_b: int) -> pa.Array:
-    """``a1,a2|b1;a3|b2,b3`` of each document; ``names`` has each id of A, then of B, with each sign behind it."""
-    a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
-    a_last, b_last = common[a_group] == a_ends, common[b_group] == b_ends
-    final = np.append(b_doc[1:] != b_doc[:-1], True) if len(b_doc) else np.zeros(0, bool)
-    a_name = 2 * a + a_last
-    b_name = first_b + 3 * b + np.where(final, 2, b_last)
+def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of A, and of B, end where one of the other side ends."""
+    at = np.searchsorted(b_ends, a_ends)
+    a_last = b_ends[at] == a_ends if len(b_ends) else np.zeros(len(a_ends), bool)
+    b_last = np.zeros(len(b_ends), bool)
+    b_last[at[a_last]] = True
+    return a_last, b_last
+
+
+def written_groups(a, b, n_a, n_b, a_last, b_last, both: Sides) -> pa.Array:
+    """``a1,a2|b1;a3|b2,b3`` of each document."""
+    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    last_of_doc = np.cumsum(n_b)[n_b > 0] - 1
+    sign = b_last.astype(np.int64)
+    sign[last_of_doc] = 2
     place = np.empty(len(a) + len(b), np.int64)
-    place[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a_name
-    place[np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")] = b_name
-    ends = np.cumsum(np.bincount(a_doc, minlength=docs) + np.bincount(b_doc, minlength=docs))
-    flat = names.take(pa.array(place))  # one text after another: only the offsets of documents are wanted
-    offsets = np.frombuffer(flat.buffers()[1], np.int64)[np.concatenate([[0], ends])] if len(flat) else np.zeros(docs + 1, np.int64)
-    return pa.Array.from_buffers(pa.large_string(), docs, [None, pa.py_buffer(offsets), flat.buffers()[2] or pa.py_buffer(b"")]).cast(pa.string())
+    place[np.arange(len(a)) + np.concatenate([[0], np.flatnonzero(b_last) + 1])[a_group]] = 2 * a + a_last
+    place[np.arange(len(b)) + (np.flatnonzero(a_last) + 1)[b_group]] = both.first_b + 3 * b + sign
+    flat = both.names.take(pa.array(place))  # one text after another: only the offsets of documents are wanted
+    ends = np.concatenate([[0], np.cumsum(n_a + n_b)])
+    offsets = np.frombuffer(flat.buffers()[1], np.int64)[ends] if len(flat) else np.zeros(len(ends), np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(n_a), [None, pa.py_buffer(offsets), flat.buffers()[2] or pa.py_buffer(b"")]).cast(pa.string())
 
 
 def _name_table(a: Names, b: Names) -> tuple[pa.Array, int]:
@@ -193,29 +262,25 @@ def aligned(docs: DataFrame, *, key: str = "doc_id", text: str = "text", a_path:
     a_path, b_path = a_path or tokenizer_path("byte_bpe_50k.json"), b_path or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches):
-        side_a, side_b = sides(a_path, b_path)
-        names, first_b = _name_table(side_a, side_b)
+        both = sides(a_path, b_path)
+        width = len(both.b.widths)
         for whole in batches:
             for batch in slices(whole, 1, SLICE_BYTES):
                 docs = batch.num_rows
-                (a, n_a), (b, n_b) = tiled(batch.column(1), side_a, side_b)
+                (a, n_a), (b, n_b) = tiled(batch.column(1), both)
                 a_doc, b_doc = np.repeat(np.arange(docs), n_a), np.repeat(np.arange(docs), n_b)
-                a_ends, b_ends = np.cumsum(side_a.widths[a]), np.cumsum(side_b.widths[b])
-                common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+                a_ends, b_ends = np.cumsum(both.a.widths[a]), np.cumsum(both.b.widths[b])
+                a_last, b_last = shared_ends(a_ends, b_ends)
+                groups = np.bincount(a_doc[a_last], minlength=docs)
+                text = written_groups(a, b, n_a, n_b, a_last, b_last, both)
                 at_a, at_b = overlaps(a_ends, b_ends, a_doc, b_doc)
-                where = a_doc[at_a]
-                pair = a[at_a] << ID_BITS | b[at_b]
-                order = np.lexsort((pair, where))
-                where_s, pair_s = where[order], pair[order]
-                first = np.flatnonzero(np.append(True, (where_s[1:] != where_s[:-1]) | (pair_s[1:] != pair_s[:-1]))[: len(pair_s)])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(where_s[first], minlength=docs))]), pa.int32())
-                copies = np.diff(np.append(first, len(pair_s)))
-                groups = np.bincount(a_doc[np.searchsorted(a_ends, common)], minlength=docs)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array(n_a), pa.array(n_b), pa.array(groups), pa.array(np.bincount(where, minlength=docs)), written_groups(a, b, a_doc, b_doc, a_ends, b_ends, common, docs, names, first_b),
-                        pa.ListArray.from_arrays(offsets, pa.array(pair_s[first])), pa.ListArray.from_arrays(offsets, pa.array(copies, pa.int64())),
-                    ], ["key", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "copies"])
+                n_links = np.bincount(a_doc[at_a], minlength=docs)
+                span = len(both.a.widths) * width
+                distinct, copies = np.unique(a_doc[at_a] * span + a[at_a] * width + b[at_b], return_counts=True)
+                where, pair = np.divmod(distinct, span)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(where, minlength=docs))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in ((pair // width) << ID_BITS | pair % width, copies)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n_a, n_b, groups, n_links)), text, *lists], ["key", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "copies"])
 
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

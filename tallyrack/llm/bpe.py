@@ -223,12 +223,16 @@ class Pairs:
         return out
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
 class Vocabulary:
-    """Ranks of a file, ids remembered by slice, and the bytes of every id for decoding."""
+    """Ranks of tokens, ids remembered by slice, and the bytes of every id for decoding."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.memo: dict[bytes, bytes] = {}
         self.pairs = Pairs(self.ranks)
         size = max(self.ranks.values()) + 1
@@ -294,7 +298,7 @@ _vocabularies: dict[str, Vocabulary] = {}
 
 def vocabulary(path: str) -> Vocabulary:
     if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
+        _vocabularies[path] = Vocabulary(read_ranks(path))
     return _vocabularies[path]
 
 

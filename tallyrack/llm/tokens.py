@@ -50,11 +50,15 @@ def _load(path: str, special_as_text: bool = False):
     return _loaded[path, special_as_text]
 
 
+def tokenizer(path: str, special_as_text: bool = False):
+    return _load(path, special_as_text)[0]
+
+
 def vocabulary_size(path: str) -> int:
     return _load(path)[0].get_vocab_size(with_added_tokens=True)
 
 
-def _encoded(tok, cuts: list[str]) -> list[bytes]:
+def encoded_cuts(tok, cuts: list[str]) -> list[bytes]:
     """Ids of each cut as little-endian 32-bit integers."""
     out: list[bytes] = []
     for i in range(0, len(cuts), CALL):
@@ -77,7 +81,7 @@ def encode(texts: pa.Array, path: str, special_as_text: bool = False) -> tuple[n
     words = pc.list_flatten(lists).dictionary_encode()
     names = words.dictionary.to_pylist()
     new = [w for w in names if w not in memo]
-    fresh = dict(zip(new, _encoded(tok, new)))
+    fresh = dict(zip(new, encoded_cuts(tok, new)))
     own = [memo[w] if w in memo else fresh[w] for w in names]
     for w in new[: max(MEMO_ENTRIES - len(memo), 0)]:
         memo[w] = fresh[w]
@@ -93,7 +97,7 @@ def encode(texts: pa.Array, path: str, special_as_text: bool = False) -> tuple[n
     counts = np.diff(bounds)
     if len(odd_at):
         parts, done = [], 0
-        for i, own_ids in zip(odd_at, _encoded(tok, texts.take(pa.array(odd_at)).to_pylist())):
+        for i, own_ids in zip(odd_at, encoded_cuts(tok, texts.take(pa.array(odd_at)).to_pylist())):
             parts += [ids[bounds[done] : bounds[i]], np.frombuffer(own_ids, dtype="<u4")]
             counts[i], done = len(own_ids) // 4, i
         ids = np.concatenate([*parts, ids[bounds[done] :]])

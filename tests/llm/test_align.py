@@ -62,11 +62,12 @@ def plain(texts, libraries):
 
 
 def test_cuts_are_whole_texts(libraries):
-    side = align.PieceSide(tokenizer_path("piece_bpe_32k.model"))
-    texts = [x for x in ODD if x] * 2
-    ids, counts = side.encode(pa.array([" " + x for x in texts]))
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    assert [ids[a:z].tolist() for a, z in zip(ends, ends[1:])] == [libraries[1].encode(x) for x in texts]
+    both = align.sides(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    texts = [x for x in ODD if x] * 2 + ["a\n b", "a\n\n b c", "it's a\u00a0 b", "x\t y", "one two\nthree, four."]
+    want = [[libraries[0].encode(" " + x, add_special_tokens=False).ids for x in texts], [libraries[1].encode(x) for x in texts]]
+    for (ids, counts), plain_ids in zip(both.encode(pa.array([" " + x for x in texts]), "".join(" " + x for x in texts).encode()), want):
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        assert [ids[a:z].tolist() for a, z in zip(ends, ends[1:])] == plain_ids
 
 
 def test_query(spark, sf, libraries):
@@ -99,3 +100,12 @@ def test_odd_texts_and_counts(spark, libraries, tmp_path, common_pairs):
 def test_empty_table(spark, tmp_path):
     rows = align.aligned(spark.createDataFrame([], SCHEMA)).withColumn("row", F.monotonically_increasing_id())
     assert rows.count() == 0 and align.with_pair_counts(rows, "row").count() == 0
+
+
+def test_settled_letters(libraries):
+    """Below U+0240 the quicker way gives the library's ids, whatever stands beside a character."""
+    side = align.sides(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).a
+    assert side.own
+    texts = [f" a{c}1 {c}{c}'s {c}\n {c}b" for c in map(chr, range(0x260))]
+    ids, counts = side.encoded(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [libraries[0].encode(x, add_special_tokens=False).ids for x in texts]

@@ -26,7 +26,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def own():
-    return bpe.Vocabulary(bpe.tokenizer_path("byte_bpe_50k.tiktoken"))
+    return bpe.vocabulary(bpe.tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def each(own, texts):
