@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import seconds_between
+from .catalog import BYTES_MB, FILE_ROWS, FILE_SYSTEMS
 from .joins import join_job_samples
 from .windows import drop_first_bucket
 
@@ -117,17 +118,26 @@ def peak_job_wide(df: DataFrame, events: list[str], conv: float, col: str = "arc
     return s.groupBy("jid").agg((F.max("s") * conv).alias("value"))
 
 
-def fsio_rows(df: DataFrame, systems: dict[str, dict[str, list[str]]], to_mb: float = 1.0) -> DataFrame:
-    """Four rows a job and filesystem: read and written MB, highest MB/s, highest operations a second, with reasons."""
-    label = reduce(lambda c, kv: c.when(F.col("type") == kv[1]["type"], kv[0]), systems.items(), F)
-    among = lambda *kinds: reduce(lambda a, b: a | b, [(F.col("type") == v["type"]) & F.col("event").isin([e for k in kinds for e in v[k]]) for v in systems.values()])
-    pick = lambda c, *kinds: F.sum(F.when(among(*kinds), F.col(c)))
-    t = df.withColumn("label", label).where("label is not null").groupBy("jid", "label", "time")
-    t = t.agg(pick("delta", "read").alias("r"), pick("delta", "write").alias("w"), pick("arc", "read", "write").alias("b"), pick("arc", "ops").alias("o"))
-    t = t.groupBy("jid", "label").agg((F.sum("r") * to_mb).alias("read_mb"), (F.sum("w") * to_mb).alias("write_mb"), (F.max("b") * to_mb).alias("peak_mb_s"), F.max("o").alias("peak_iops"))
-    rows = t.unpivot(["jid", "label"], ["read_mb", "write_mb", "peak_mb_s", "peak_iops"], "what", "value")
-    rows = rows.select("jid", "value", F.concat(F.lit("detail_fsio_"), F.col("label"), F.lit("_"), F.col("what")).alias("metric"))
-    return rows.withColumn("no_data_reason", F.when(F.col("value").isNull(), "no samples"))
+def fsio_rows(df: DataFrame, job: DataFrame, systems=FILE_SYSTEMS, to_mb: float = BYTES_MB) -> DataFrame:
+    """Four rows a job and file system, (jid, type, metric, units, value, no_data_reason), from one grouping of the samples.
+
+    A system counts for a job that has samples of its byte counters; then bytes read and
+    written have values, and the peaks if their rates do.  The systems are a short fixed list.
+    """
+    label = reduce(lambda c, kv: c.when(F.col("type") == kv[1][0], kv[0]), systems.items(), F)
+    among = lambda i: reduce(lambda a, b: a | b, [(F.col("type") == v[0]) & F.col("event").isin(*v[i]) for v in systems.values()])
+    own = df.where(among(1) | among(2) | among(3)).select("jid", "time", "delta", "arc", label.alias("type"), among(1).alias("r"), among(2).alias("w"))
+    pick = lambda c, which: F.sum(F.when(which, F.col(c)))
+    moved = F.col("r") | F.col("w")
+    t = own.groupBy("jid", "type", "time").agg(pick("delta", F.col("r")).alias("read"), pick("delta", F.col("w")).alias("written"), F.count_if(moved).alias("n"), pick("arc", moved).alias("b"), pick("arc", ~moved).alias("o"))
+    zero = F.lit(0.0)
+    t = t.groupBy("jid", "type").agg(*[(F.coalesce(F.sum(c), zero) * to_mb).alias(n) for c, n in (("read", "read_mb"), ("written", "write_mb"))], (F.max("b") * to_mb).alias("peak_mb_s"), F.max("o").alias("peak_iops"), F.sum("n").alias("n")).where("n > 0")
+    texts = df.sparkSession.createDataFrame([(f, *v[4:]) for f, v in systems.items()], "type string, absent string, no_bytes string, no_ops string")
+    every = job.select("jid").crossJoin(F.broadcast(texts)).join(t, ["jid", "type"], "left")
+    missing = lambda k: F.when(F.col("n").isNull(), F.col("absent")).when(F.col(k).isNull(), F.col("no_ops" if k == "peak_iops" else "no_bytes"))
+    name = lambda k: F.concat(F.lit("detail_fsio_"), F.col("type"), F.lit(f"_{k}"))
+    rows = F.explode(F.array(*[F.struct(name(k).alias("metric"), F.lit(u).alias("units"), F.col(k).alias("value"), missing(k).alias("no_data_reason")) for k, u in FILE_ROWS]))
+    return every.select("jid", "type", rows.alias("x")).select("jid", "type", "x.*")
 
 
 def device_util(df: DataFrame, vendors: list[str], events: list[str]) -> DataFrame:

@@ -103,3 +103,40 @@ COMPLEX = {
 DETAIL = {"detail_gpu_active": "count", "detail_gpu_util_max": "%", "detail_gpu_util_mean": "%", "detail_gpu_count": "count", "avg_gpuutil": "%"}
 FILES = {f"detail_fsio_{f}_{k}": u for f in ("llite", "nfs", "beegfs") for k, u in (("read_mb", "MB"), ("write_mb", "MB"), ("peak_mb_s", "MB/s"), ("peak_iops", "#/s"))}
 CATALOG = {k: u for k, (_, u) in (SIMPLE | COMPLEX).items()} | DETAIL | FILES
+#: Why a metric of a job has no value.
+NO_SERIES, NO_SAMPLES, NOT_COMPUTED = "No time-series telemetry for this job", "No host_data samples for this metric in the job window", "Metric not computed"
+INSUFFICIENT = "Insufficient Data For Metrics Processing"
+NO_GPU = "No usable GPU aggregate telemetry for job detail"
+NO_VALUE = {
+    "avg_freq": "No usable PMC telemetry for average CPU frequency", "avg_ethbw": "No usable network telemetry for average Ethernet bandwidth", "avg_gpuutil": "No usable GPU utilization telemetry",
+    "avg_packetsize": "No usable InfiniBand/OPA telemetry for packet size", "max_fabricbw": "No usable fabric telemetry for peak bandwidth", "max_lnetbw": "No usable LNET telemetry for peak bandwidth",
+    "max_mds": "No usable Lustre/NFS/BeeGFS telemetry for metadata/operation rate", "max_packetrate": "No usable fabric telemetry for peak packet rate", "max_opa_congestion_rate": "No usable OPA congestion telemetry",
+    "max_numa_remote_rate": "No usable NUMA remote-access telemetry", "flops_node_imbalance": "No usable FLOPs telemetry for node imbalance", "fabric_node_imbalance": "No usable fabric telemetry for node imbalance",
+    "dram_bw_node_imbalance": "No usable DRAM bandwidth telemetry for node imbalance", "lnet_node_imbalance": "No usable LNET byte telemetry for node imbalance", "max_gpu_power": "No usable GPU power telemetry",
+    "max_node_power_est_w": "No usable node power estimate telemetry", "avg_node_power_est_w": "No usable node power estimate telemetry", "job_cpu_gpu_watt_hours": "No usable CPU power estimate for job energy (watt-hours)",
+    "max_gpu_link_gbps": "No usable GPU PCIe/NVLink byte telemetry", "max_gpu_clock_event_reasons": "No usable GPU clock event reason telemetry", "gpu_util_node_imbalance": "No usable GPU utilization telemetry for imbalance",
+    "tensor_node_imbalance": "No usable GPU tensor telemetry for imbalance", "mem_hwm": "No usable memory telemetry for high-water mark", "node_imbalance": "No usable CPU telemetry for node imbalance",
+    "time_imbalance": "No usable CPU telemetry for time imbalance", "vecpercent_64b": "No usable PMC telemetry for 64b vector FLOP mix", "avg_vector_width_64b": "No usable PMC telemetry for 64b vector width",
+    "vecpercent_32b": "No usable PMC telemetry for 32b vector FLOP mix", "avg_vector_width_32b": "No usable PMC telemetry for 32b vector width",
+}
+#: File systems of a job: type, read, written and operation counters, then why there are no bytes, no peak of bytes, no peak of operations.
+FILE_SYSTEMS = {
+    "llite": (
+        "lustre_llite", ("vfs_read_bytes",), ("vfs_write_bytes",), LLITE_OPS, "No Lustre llite read/write byte deltas for this job",
+        "No Lustre llite byte counter time series for peak MB/s", "No Lustre llite metadata operation time series for peak IOPS",
+    ),
+    "nfs": (
+        "host_nfs", ("normal_read", "direct_read", "server_read"), ("normal_write", "direct_write", "server_write"), ("read_ops", "write_ops"), "No NFS client byte deltas for this job",
+        "No NFS client byte counter time series for peak MB/s", "No NFS READ/WRITE op time series for peak IOPS",
+    ),
+    "beegfs": (
+        "beegfs_client", ("vfs_read_bytes",), ("vfs_write_bytes",), BEEGFS_OPS, "No BeeGFS client read/write byte deltas for this job",
+        "No BeeGFS client byte counter time series for peak MB/s", "No BeeGFS client metadata operation time series for peak IOPS",
+    ),
+}
+FILE_ROWS = (("read_mb", "MB"), ("write_mb", "MB"), ("peak_mb_s", "MB/s"), ("peak_iops", "#/s"))
+#: All rows of a job in order: metric, type, units, why it is missing though the job has samples, whether it needs a time series.
+ROWS = (
+    [(m, t, u, NO_SAMPLES, True) for m, (t, u) in SIMPLE.items()] + [(m, t, u, NO_VALUE[m], True) for m, (t, u) in COMPLEX.items()]
+    + [(m, "gpu", u, NO_VALUE.get(m, NO_GPU), False) for m, u in DETAIL.items()] + [(f"detail_fsio_{f}_{k}", f, u, None, False) for f in FILE_SYSTEMS for k, u in FILE_ROWS]
+)

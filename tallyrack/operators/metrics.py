@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import cpu_cores_used
-from .catalog import BLANK, BYTES_GB, BYTES_MB, CPU_BUSY, CPU_IDLE, CPU_TYPE, SIMPLE, SIMPLE_PARTS
+from .catalog import BLANK, BYTES_GB, BYTES_MB, CPU_BUSY, CPU_IDLE, CPU_TYPE, INSUFFICIENT, NO_SAMPLES, NO_SERIES, NOT_COMPUTED, ROWS, SIMPLE, SIMPLE_PARTS
 from .windows import drop_first_bucket
 
 
@@ -120,11 +120,12 @@ def memory_high_water(df: DataFrame, used: str, less: list[str], conv: float) ->
 
 
 def gpu_peaks(df: DataFrame, vendors: list[str], power: str, mask: str) -> DataFrame:
-    """Highest power of the first vendor with a positive one, and the union of reason bits."""
+    """Highest power and highest mask of clock reasons, each of the first vendor with one above 0."""
     rank = reduce(lambda c, it: c.when(F.col("type") == it[1], it[0]), enumerate(vendors), F)
-    pick = lambda e: F.when((F.col("event") == e) & (F.col("value") > 0) & (F.col("value") < BLANK), F.col("value"))
-    v = df.where(F.col("type").isin(vendors)).groupBy("jid", rank.alias("p")).agg(F.max(pick(power)).alias("w"), F.bit_or(pick(mask).cast("long")).alias("m"))
-    return v.groupBy("jid").agg(F.min_by("w", F.when(F.col("w").isNotNull(), F.col("p"))).alias("power"), F.bit_or("m").alias("mask"))
+    pick = lambda e: F.max(F.when((F.col("event") == e) & (F.col("value") > 0) & (F.col("value") < BLANK), F.col("value")))
+    v = df.where(F.col("type").isin(vendors)).groupBy("jid", rank.alias("p")).agg(pick(power).alias("w"), F.nullif(pick(mask).cast("long"), F.lit(0)).alias("m"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("p")))
+    return v.groupBy("jid").agg(first("w").alias("power"), first("m").alias("mask"))
 
 
 def node_power(df: DataFrame, module: str, cpu: list[str], gpu: str) -> DataFrame:
@@ -148,21 +149,40 @@ def energy(power: DataFrame) -> DataFrame:
     return p.withColumn("e", part).groupBy("jid").agg(F.sum("e").alias("value")).where("value is not null")
 
 
-def catalog_fill(job: DataFrame, metric: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every job with every catalogue row; a missing value has a reason.  The catalogue is a fixed short list."""
-    return (
-        job.select("jid").crossJoin(F.broadcast(catalog)).join(metric.select("jid", "metric", "value", "no_data_reason"), ["jid", "metric"], "left")
-        .select("jid", "metric", "units", "value", F.when(F.col("value").isNull(), F.coalesce("no_data_reason", F.lit("Metric not computed"))).alias("no_data_reason"))
-    )
+def coverage_state(job: DataFrame, bounds: DataFrame, computed: DataFrame | None = None, margin: int = 600) -> DataFrame:
+    """(jid, state) of each job: ``gate`` if its samples do not reach both ends, ``none`` without samples, ``open`` if not yet computed, else ``done``."""
+    d = job.select("jid", "start_time", "end_time").join(bounds, "jid", "left")
+    near = (F.unix_seconds("first") - F.unix_seconds("start_time") <= margin) & (F.unix_seconds("end_time") - F.unix_seconds("last") <= margin)
+    if computed is not None:
+        d = d.join(computed.select("jid").distinct().withColumn("_c", F.lit(True)), "jid", "left")
+    state = F.when(F.col("_c").isNull(), "open") if computed is not None else F
+    return d.select("jid", state.when(F.col("first").isNull(), "none").when(~near, "gate").otherwise("done").alias("state"))
 
 
-def display_order(filled: DataFrame, catalog: DataFrame, hide: tuple[str, str] | None = None) -> DataFrame:
-    """``tier`` (value, reason, not computed) and ``ord``; the first of ``hide`` goes when it equals the second."""
-    tier = F.when(F.col("value").isNotNull(), 0).when(F.col("no_data_reason") != "Metric not computed", 1).otherwise(2)
-    d = filled.join(F.broadcast(catalog.select("metric", "ord")), "metric").withColumn("tier", tier)
+def catalog_fill(state: DataFrame, metric: DataFrame, rows=ROWS) -> DataFrame:
+    """Every job of ``state`` with every catalogue row and a value or the reason why there is none.
+
+    A job that failed the gate has no values at all; one without samples has the reason of
+    a missing series where a metric needs one.  A reason that ``metric`` gives itself holds
+    before the catalogue's.  The catalogue is a short fixed list.
+    """
+    catalog = state.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], "metric string, _t string, _u string, _why string, _series boolean, ord int")
+    own = [c for c in ("type", "no_data_reason") if c in metric.columns]
+    d = state.crossJoin(F.broadcast(catalog)).join(metric.select("jid", "metric", "value", *own), ["jid", "metric"], "left")
+    given = F.col("no_data_reason") if "no_data_reason" in own else F.lit(None).cast("string")
+    value = F.when(~F.col("state").isin("gate", "open"), F.col("value"))
+    why = F.when(F.col("state") == "open", NOT_COMPUTED).when(F.col("state") == "gate", INSUFFICIENT).when((F.col("state") == "none") & F.col("_series"), NO_SERIES).otherwise(F.coalesce(given, F.col("_why"), F.lit(NO_SAMPLES)))
+    kind = F.coalesce(F.when(value.isNotNull(), F.col("type")), F.col("_t")) if "type" in own else F.col("_t")
+    return d.select("jid", kind.alias("type"), "metric", F.col("_u").alias("units"), value.alias("value"), F.when(value.isNull(), why).alias("no_data_reason"), "ord")
+
+
+def display_order(filled: DataFrame, hide: tuple[str, str] | None = ("avg_gpuutil", "detail_gpu_util_mean")) -> DataFrame:
+    """``tier`` (value, reason, not computed) in the order of the catalogue; the first of ``hide`` goes when it equals the second."""
+    tier = F.when(F.col("value").isNotNull(), 0).when(F.col("no_data_reason") != NOT_COMPUTED, 1).otherwise(2)
+    d = filled.withColumn("tier", tier)
     if hide:
         other = F.max(F.when(F.col("metric") == hide[1], F.col("value"))).over(Window.partitionBy("jid"))
-        d = d.withColumn("_o", other).where(~((F.col("metric") == hide[0]) & F.coalesce(F.col("value") == F.col("_o"), F.lit(False)))).drop("_o")
+        d = d.withColumn("_o", other).where(~((F.col("metric") == hide[0]) & F.coalesce(F.abs(F.col("value") - F.col("_o")) < 1e-9, F.lit(False)))).drop("_o")
     return d.orderBy("jid", "tier", "ord")
 
 

@@ -112,13 +112,6 @@ def agg_peak_job_wide(spark, sf):
     return A.peak_job_wide(X.grid(spark, sf), ["e0", "e2"], 2.0)
 
 
-@book("fsio_rows", "f_grid", """WITH t AS (SELECT jid, time, sum(arc) FILTER (event = 'e0') AS r, sum(arc) FILTER (event = 'e1') AS w, sum(arc) FILTER (event IN ('e0', 'e1')) AS b FROM f_grid GROUP BY 1, 2), a AS (SELECT jid, sum(r) AS read_mb, sum(w) AS write_mb, max(b) AS peak_mb_s FROM t GROUP BY jid)
-  SELECT jid, 'detail_fsio_x_read_mb' AS metric, read_mb AS value, NULL AS no_data_reason FROM a UNION ALL SELECT jid, 'detail_fsio_x_write_mb', write_mb, NULL FROM a UNION ALL SELECT jid, 'detail_fsio_x_peak_mb_s', peak_mb_s, NULL FROM a UNION ALL SELECT jid, 'detail_fsio_x_peak_iops', NULL, 'no samples' FROM a""")
-def fsio_rows(spark, sf):
-    g = X.grid(spark, sf).withColumns({"delta": F.col("arc"), "type": F.lit("x")})
-    return A.fsio_rows(g, {"x": {"type": "x", "read": ["e0"], "write": ["e1"], "ops": ["none"]}})
-
-
 UTIL = "SELECT jid, host, dev, event, count(value) AS cnt, max(value) AS vmax, avg(value) AS vmean FROM (SELECT *, min(p) OVER (PARTITION BY jid) AS b FROM (SELECT *, CASE type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 END AS p FROM f_js WHERE type IN ('purchase', 'view') AND event IN ('k0', 'k1'))) WHERE p = b GROUP BY 1, 2, 3, 4"
 
 

@@ -12,8 +12,8 @@ from ..operators import series as S
 from ..operators import windows as W
 from . import fixtures as X
 from .aggregation import js
-from .common import Book, micros, r6
-from ..operators.catalog import FP_DOUBLE, SIMPLE, SIMPLE_PARTS
+from .common import Book, micros, r6, simple_ctes, values
+from ..operators.catalog import FP_DOUBLE
 from .listing import f_metric
 
 book = Book()
@@ -77,7 +77,7 @@ def metric_mem_hwm(spark, sf):
     return M.memory_high_water(X.grid(spark, sf), "e0", ["e1", "e2"], 1 / 1024).select("jid", r6(F.col("value")).alias("value"))
 
 
-@book("metric_gpu_peaks", "f_js", "SELECT jid, coalesce(max(value) FILTER (type = 'purchase' AND event = 'k0' AND value > 0), max(value) FILTER (type = 'view' AND event = 'k0' AND value > 0)) AS power, bit_or(CAST(floor(value) AS BIGINT)) FILTER (event = 'k1' AND value > 0) AS mask FROM f_js WHERE type IN ('purchase', 'view') GROUP BY jid")
+@book("metric_gpu_peaks", "f_js", "SELECT jid, coalesce(max(value) FILTER (type = 'purchase' AND event = 'k0' AND value > 0), max(value) FILTER (type = 'view' AND event = 'k0' AND value > 0)) AS power, coalesce(nullif(max(CAST(floor(value) AS BIGINT)) FILTER (type = 'purchase' AND event = 'k1' AND value > 0), 0), nullif(max(CAST(floor(value) AS BIGINT)) FILTER (type = 'view' AND event = 'k1' AND value > 0), 0)) AS mask FROM f_js WHERE type IN ('purchase', 'view') GROUP BY jid")
 def metric_gpu_peaks(spark, sf):
     return M.gpu_peaks(js(spark, sf), ["purchase", "view"], "k0", "k1")
 
@@ -107,51 +107,13 @@ ROLES = {
     ("error", "k0"): ("nvidia_gpu", "tensor_active"), ("error", "k1"): ("amd_gpu", "tensor_active"), ("error", "k2"): ("nvidia_gpu", "gpu_mem_bw_bytes_rate"),
     ("signup", "k0"): ("host_cpu", "user"), ("signup", "k1"): ("host_cpu", "idle"), ("signup", "k2"): ("intel_x86_uncore_imc_skx", "dram_cas_reads"),
 }
-_lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
-_values = lambda rows: ", ".join(f"({', '.join(map(_lit, r))})" for r in rows)
-_after_first = lambda by: f"WHERE r > 1 OR n = 1 GROUP BY {by}, host"
-
-
-@book("metric_simple", "f_js", f"""WITH m(t, e, rt, re) AS (VALUES {_values((*k, *v) for k, v in ROLES.items())}), spec(metric, attempt, part, type, event, factor, gauge, nonneg, most, positive) AS (VALUES {_values(SIMPLE_PARTS)}),
-  s AS (SELECT jid, host, time, ncores, nhosts, rt AS type, re AS event, value, value - 20 AS arc FROM f_js JOIN m ON f_js.type = m.t AND f_js.event = m.e),
-  x AS (SELECT jid, metric, attempt, part, type, gauge, factor, positive, host, time, sum(CASE WHEN NOT (nonneg AND arc < 0) THEN arc END) AS a, sum(v) AS v, count(v) AS c
-        FROM (SELECT s.*, metric, attempt, part, gauge, factor, nonneg, positive, CASE WHEN gauge AND value < 140737488355328 AND coalesce(value * factor <= most, true) THEN value * factor END AS v FROM s JOIN spec USING (type, event)) GROUP BY ALL),
-  b AS (SELECT jid, metric, attempt, part, type, positive, host, floor(epoch(time) / 14400) AS b, sum(CASE WHEN gauge THEN v ELSE coalesce(a, 0) * factor END) / sum(CASE WHEN gauge THEN c ELSE 1 END) AS v FROM x WHERE NOT gauge OR c > 0 GROUP BY ALL),
-  h AS (SELECT jid, metric, attempt, part, type, positive, avg(v) AS v FROM (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY jid, metric, attempt, part, type, host) AS n FROM b WINDOW w AS (PARTITION BY jid, metric, attempt, part, type, host ORDER BY b)) {_after_first("jid, metric, attempt, part, type, positive")}),
-  p AS (SELECT jid, metric, attempt, part, type, positive, avg(v) AS v FROM h GROUP BY ALL), t AS (SELECT jid, metric, attempt, positive, sum(v) AS value, arg_min(type, part) AS type FROM p GROUP BY 1, 2, 3, 4),
-  d AS (SELECT jid, metric, arg_min(type, attempt) AS type, arg_min(value, attempt) AS value FROM t WHERE value > 0 OR NOT positive GROUP BY 1, 2),
-  u AS (SELECT jid, host, time, ncores, nhosts, sum(arc) FILTER (event = 'user') AS b, sum(arc) FILTER (event = 'idle') AS i FROM s WHERE type = 'host_cpu' GROUP BY ALL),
-  c AS (SELECT jid, host, floor(epoch(time) / 14400) AS b, avg(CASE WHEN i IS NULL THEN coalesce(b, 0) * 0.01::DOUBLE WHEN coalesce(b, 0) + i = 0 THEN 0 ELSE least(greatest(coalesce(b, 0) / (coalesce(b, 0) + i), 0), 1) * ncores / nhosts END) AS v FROM u GROUP BY ALL),
-  cpu AS (SELECT jid, sum(v) AS value FROM (SELECT jid, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY jid, host ORDER BY b) AS r, count(*) OVER (PARTITION BY jid, host) AS n FROM c) {_after_first("jid")}) GROUP BY jid),
-  w AS (SELECT jid, max(value) FILTER (metric = 'avg_ibbw') AS b, max(type) FILTER (metric = 'avg_ibbw') AS type, max(value) FILTER (metric = 'avg_flops') AS f, max(value) FILTER (metric = 'avg_tensor_active') AS t FROM d GROUP BY jid),
-  units(metric, units) AS (VALUES {_values((k, u) for k, (_, u) in SIMPLE.items())}),
-  every AS (SELECT jid, type, metric, value FROM d UNION ALL SELECT jid, 'host_cpu', 'avg_cpuusage', value FROM cpu UNION ALL SELECT jid, type, 'avg_fabric_mb_per_gflops', b / f FROM w WHERE f > 0 AND b >= 0 UNION ALL SELECT jid, type, 'avg_fabric_mb_per_avg_tensor', b / (t / 100) FROM w WHERE t > 0.000001 AND b >= 0)
-  SELECT jid, type, metric, units, format('{{:.6e}}', value) AS value FROM every JOIN units USING (metric) WHERE value IS NOT NULL""")
+@book("metric_simple", "f_js", f"""WITH m(t, e, rt, re) AS (VALUES {values((*k, *v) for k, v in ROLES.items())}),
+  s AS (SELECT jid, host, time, ncores, nhosts, rt AS type, re AS event, value, value - 20 AS arc FROM f_js JOIN m ON f_js.type = m.t AND f_js.event = m.e), {simple_ctes(14400)}
+  SELECT jid, type, metric, units, value FROM simple JOIN units USING (metric)""")
 def metric_simple(spark, sf):
     role = lambda i: F.create_map(*[F.lit(x) for k, v in ROLES.items() for x in ("/".join(k), v[i])])[F.concat_ws("/", "type", "event")]
     own = js(spark, sf).withColumns({"type": role(0), "event": role(1), "arc": F.col("value") - 20}).where("type is not null")
-    return M.simple_metrics(own, seconds=14400).withColumn("value", F.format_string("%.6e", "value"))
-
-
-def _catalog(spark):
-    return spark.createDataFrame([("avg_k0", "GB", 0), ("avg_k1", "MB", 1), ("avg_k9", "W", 2)], "metric string, units string, ord int")
-
-
-CATALOG_SQL = "c(metric, units, ord) AS (VALUES ('avg_k0', 'GB', 0), ('avg_k1', 'MB', 1), ('avg_k9', 'W', 2)), m AS (SELECT jid, metric, value, no_data_reason FROM f_metric WHERE type = 'view')"
-
-
-def _filled(spark, sf):
-    return M.catalog_fill(X.jobs(spark, sf), f_metric(spark, sf).where("type = 'view'"), _catalog(spark).drop("ord"))
-
-
-@book("metric_catalog_fill", "f_metric", f"WITH {CATALOG_SQL} SELECT j.jid, c.metric, c.units, round(m.value, 6) AS value, CASE WHEN m.value IS NULL THEN coalesce(m.no_data_reason, 'Metric not computed') END AS no_data_reason FROM f_job j CROSS JOIN c LEFT JOIN m ON m.jid = j.jid AND m.metric = c.metric")
-def metric_catalog_fill(spark, sf):
-    return _filled(spark, sf).withColumn("value", r6(F.col("value")))
-
-
-@book("metric_display", "f_metric", f"WITH {CATALOG_SQL} SELECT j.jid, c.metric, ord, CASE WHEN m.value IS NOT NULL THEN 0 WHEN m.no_data_reason IS NOT NULL THEN 1 ELSE 2 END AS tier FROM f_job j CROSS JOIN c LEFT JOIN m ON m.jid = j.jid AND m.metric = c.metric")
-def metric_display(spark, sf):
-    return M.display_order(_filled(spark, sf), _catalog(spark), ("avg_k1", "avg_k0")).select("jid", "metric", "ord", "tier")
+    return M.simple_metrics(own, seconds=14400)
 
 
 SPECS = (("view", "value", ("k0", "k1"), "seen", 0.5), ("error", "value", ("k2",), "errs", 2.0))
@@ -162,7 +124,7 @@ def summary_series(spark, sf):
     return M.summary_series(js(spark, sf), SPECS).select("jid", "host", micros("time"), r6(F.col("seen")).alias("seen"), r6(F.col("errs")).alias("errs"))
 
 
-ROLE_SQL = f"""m(t, e, rt, re) AS (VALUES {_values((*k, *v) for k, v in ROLES.items())}),
+ROLE_SQL = f"""m(t, e, rt, re) AS (VALUES {values((*k, *v) for k, v in ROLES.items())}),
   s AS (SELECT jid, host, dev, date_trunc('day', time) AS time, rt AS type, re AS event, value, value - 20 AS arc FROM f_js JOIN m ON f_js.type = m.t AND f_js.event = m.e)"""
 
 

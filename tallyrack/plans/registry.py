@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates, joins, windows
 from . import fixtures
 
-MODULES = ("listing", "aggregation", "analysis", "ingest", "streams")
+MODULES = ("listing", "aggregation", "analysis", "telemetry", "ingest", "streams")
 BOOKS = [import_module(f"{__package__}.{m}").book for m in MODULES]
 
 
