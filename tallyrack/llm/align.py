@@ -29,9 +29,9 @@ from .common import cut, shared_folder, slices, table
 from .tokens import ODD, encoded_cuts, tokenizer, tokenizer_path
 
 #: Bytes of text aligned at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_500_000
 #: Cuts whose ids of both sides one Python worker remembers.
-MEMO_ENTRIES, LONG_CUT = 400_000, 64
+MEMO_ENTRIES, LONG_CUT = 250_000, 64
 #: Code points whose UTF-8 begins with a lesser byte (up to U+023F) have had their classes in every version of Unicode that a library may hold.
 UNSETTLED = 0xC9
 #: Pairs of ids whose counts every task holds at most (the commonest); the rest are joined.
