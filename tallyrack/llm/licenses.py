@@ -3,7 +3,7 @@
 Templates are cut into word k-grams; of every window of k-grams the least hash is kept
 (winnowing), and an inverted index maps it to template and place.  The index is small and
 goes to every task.  Each place of a text whose k-gram is in the index votes for a template
-and a shift; around the shifts that are close to one another the template is aligned with
+and a shift; around the shifts that are close to one another (within half a template) the template is aligned with
 the text in a band, which gives the share of its words that match, in order, and the span.
 A notice or header that differs from its neighbours by a word also needs one of its
 identifying phrases, unbroken, in the span.  Of overlapping spans the best matched template stays.
@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import hashed, mix64, slices, table, words_of
 
 GRAM, WINNOW = 3, 4
-#: Words by which a copy may be shifted against its template within one alignment.
-BAND = 12
 MIN_COVERAGE = 0.75
 STRIP = ".,;:!?\"'()[]{}<>*#/-“”‘’"
 
@@ -159,28 +157,35 @@ class Index:
 
 
 def slack(template: np.ndarray) -> int:
-    return min(BAND, len(template) // 2)
+    """Words that a copy may have more, or fewer, than the template in one place."""
+    return len(template) // 2
 
 
-def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int):
-    """(matched words, first place, end) of the best in-order match of the template, shifted by ``low`` to ``high``."""
+def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """(matched words, first place, end) of the best in-order match of the template, shifted by ``low`` to ``high``.
+
+    Of equally good matches the shortest, then the first.  A cell of a row is one number:
+    matched words, then the place where the match began (late is better), then its end.
+    """
     m, width = len(template), high - low + 1
-    # best[d]: matched words, then the least place where the match began (as -start), then its end
-    best = [(0, 0, 0)] * width
+    k = m + width + 2
+    best = np.zeros(width, np.int64)
+    found = (0, 0, 0, 0)
     for i in range(m):
-        row: list[tuple] = []
-        for d in range(width):
-            j = i + low + d
-            up = best[d + 1] if d + 1 < width else (0, 0, 0)  # the template word is skipped
-            left = row[d - 1] if d else (0, 0, 0)  # the text word is skipped
-            cell = max(up, left)
-            if 0 <= j < len(text) and text[j] == template[i]:
-                n, start, _ = best[d]
-                cell = max(cell, (n + 1, start if n else -j, j + 1))
-            row.append(cell)
-        best = row
-    n, start, end = max(best)
-    return n, -start, end
+        first = max(0, -(i + low))  # places before the text
+        own = text[i + low + first : i + high + 1] if i + high >= 0 else text[:0]
+        on = first + np.flatnonzero(own == template[i])
+        row = np.append(best[1:], 0)  # the template word is skipped
+        if len(on):
+            place, before = i + on, best[on]
+            new = np.where(before > 0, before // k * k + k * k, k * k + place * k) + (k - 2 - place)
+            n, start = new // (k * k), new // k % k
+            at = np.lexsort((start, place + 1 - start, -n))[0]
+            found = max(found, (int(n[at]), int(start[at] - place[at] - 1), int(-start[at]), int(place[at] + 1)))
+            row[on] = np.maximum(row[on], new)
+        best = np.maximum.accumulate(row)  # text words are skipped
+    n, _, start, end = found
+    return n, low - start, low + end
 
 
 def _holds(w: np.ndarray, phrases: list[np.ndarray]) -> bool:
@@ -189,17 +194,28 @@ def _holds(w: np.ndarray, phrases: list[np.ndarray]) -> bool:
 
 def matches(w: np.ndarray, index: Index):
     """(template, matched, start, end) of every copy in one text; of overlapping spans the one
-    with the most matched over unmatched template words."""
+    with the most matched over unmatched template words, and of the others what still matches beside it."""
     kept: list[tuple[int, int, int, int]] = []
-    for t, n, start, end in sorted(_copies(w, index), key=lambda x: (len(index.words[x[0]]) - 2 * x[1], x[2], x[0])):
+    for t, n, start, end, low, high in sorted(_copies(w, index), key=lambda x: (len(index.words[x[0]]) - 2 * x[1], x[2], x[0])):
         at = bisect(kept, start, key=lambda x: x[2])
-        if (not at or kept[at - 1][3] <= start) and (at == len(kept) or end <= kept[at][2]):
-            kept.insert(at, (t, n, start, end))
+        left = kept[at - 1][3] if at else 0
+        right = kept[at][2] if at < len(kept) else len(w)
+        if start < left or end > right:  # what is between its neighbours, aligned anew
+            if left >= right or not (own := _copy(w[left:right], index, t, low - left, high - left)):
+                continue
+            n, start, end = own[0], own[1] + left, own[2] + left
+        kept.insert(at, (t, n, start, end))
     yield from kept
 
 
+def _copy(w: np.ndarray, index: Index, t: int, low: int, high: int) -> tuple[int, int, int] | None:
+    n, start, end = aligned(index.words[t], w, low, high)
+    # One more word: a version written otherwise than in the template ends after the last match.
+    return (n, start, end) if n >= MIN_COVERAGE * len(index.words[t]) and _holds(w[start : end + 1], index.phrases[t]) else None
+
+
 def _copies(w: np.ndarray, index: Index):
-    """(template, matched, start, end) of every copy in one text."""
+    """(template, matched, start, end, lowest and highest shift) of every copy in one text."""
     g = grams(w)
     if not len(g) or not len(index.hash):
         return
@@ -211,10 +227,9 @@ def _copies(w: np.ndarray, index: Index):
         if group and (vote[0] != group[0][0] or vote[1] - group[0][1] > slack(index.words[group[0][0]])):
             t = group[0][0]
             more = slack(index.words[t])
-            n, start, end = aligned(index.words[t], w, group[0][1] - more, group[-1][1] + more)
-            # One more word: a version written otherwise than in the template ends after the last match.
-            if n >= MIN_COVERAGE * len(index.words[t]) and _holds(w[start : end + 1], index.phrases[t]):
-                yield t, n, start, end
+            low, high = group[0][1] - more, group[-1][1] + more
+            if own := _copy(w, index, t, low, high):
+                yield t, *own, low, high
             group = []
         group.append(vote)
 
@@ -245,7 +260,9 @@ def license_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     template_words, coverage, start_word, end_word (words are numbered from 0).
 
     Null and wordless texts give no rows; a null key stays null, repeated rows are scanned
-    one by one.  No row moves between machines.
+    one by one, texts of any length whole; other columns, whatever their names, are not read.
+    A template of fewer than three words never matches.  Of equally good spans the shortest
+    counts, then the first.  No row moves between machines.
     """
     index = Index(TEMPLATES if templates is None else templates)
     schema = f"`{key}` long, license string, matched_words long, template_words long, coverage double, start_word long, end_word long"

@@ -1,6 +1,10 @@
+import random
 import re
 
-from tallyrack.llm.licenses import STRIP, TEMPLATES, license_spans, op7_licenses
+import numpy as np
+import pytest
+
+from tallyrack.llm.licenses import STRIP, TEMPLATES, aligned, license_spans, op7_licenses
 
 
 def found(spark, texts, **k):
@@ -51,3 +55,45 @@ def test_whole_texts_match_as_themselves_alone(spark):
     texts = ["some words first " + TEMPLATES[n] + " and some after" for n in names]
     assert found(spark, texts) == [(i, n, 1.0, 3, 3 + len(TEMPLATES[n].split())) for i, n in enumerate(names)]
     assert "POSSIBILITY OF SUCH DAMAGE" in TEMPLATES["bsd-2-clause"] and "DEALINGS IN THE SOFTWARE" in TEMPLATES["mit"]
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(new[j], row[j + 1], row[j] + (x == y)))
+        row = new
+    return row[-1]
+
+
+def test_alignment_is_the_shortest_best_one():
+    rng = random.Random(8)
+    for _ in range(150):
+        t, w = [rng.randrange(4) for _ in range(rng.randrange(1, 7))], [rng.randrange(4) for _ in range(rng.randrange(1, 14))]
+        spans = [(-common(t, w[i:j]), j - i, i, j) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
+        n, _, start, end = min(spans)
+        got = aligned(np.array(t), np.array(w), -len(t), len(w))
+        assert got == ((-n, start, end) if n else (0, 0, 0)) or not n
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_three_adjoining_copies(spark, name):
+    size = len(TEMPLATES[name].split())
+    got = [g[1:] for g in found(spark, [" ".join([TEMPLATES[name]] * 3), "x " + " y ".join([TEMPLATES[name]] * 2)])]
+    assert got == [(name, 1.0, i * size, i * size + size) for i in range(3)] + [(name, 1.0, 1, 1 + size), (name, 1.0, 2 + size, 2 + 2 * size)]
+
+
+def test_repeated_tails_and_long_insertions(spark):
+    isc = TEMPLATES["isc"].split()
+    more = ["filler"] * 40
+    texts = [" ".join(isc + isc[-7:] * 3), " ".join(isc[:7] * 3 + isc), " ".join(isc[:50] + more + isc[50:])]
+    n = len(isc)
+    assert [g for g in found(spark, texts) if g[1] == "isc"] == [(0, "isc", 1.0, 0, n), (1, "isc", 1.0, 21, 21 + n), (2, "isc", 1.0, 0, n + 40)]
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    d = spark.createDataFrame([(None, "w " * 200000 + TEMPLATES["isc"], "x", 1, 2)], "doc_id long, text string, license string, start_word int, coverage int")
+    r = license_spans(d).collect()
+    assert len(r) == 1 and r[0].doc_id is None and (r[0].license, r[0].start_word) == ("isc", 200000)
