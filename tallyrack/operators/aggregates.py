@@ -288,12 +288,38 @@ def telemetry_health(sample: DataFrame, since: Column, shown: int = 16) -> DataF
     return n.groupBy("type", "event").agg(F.sum("n").alias("row_count"), F.bool_or("on").alias("has_nonzero"), first.alias("hosts"))
 
 
-def telemetry_findings(health: DataFrame, core: DataFrame) -> DataFrame:
-    """Core types that are missing, core events that are all zero, and other zeros."""
-    missing = core.select("type").distinct().join(health, "type", "left_anti").select(F.lit("missing").alias("kind"), F.lit("error").alias("severity"), "type", F.lit("").alias("event"))
-    zero = health.where("not has_nonzero").join(core.withColumn("core", F.lit(True)), ["type", "event"], "left")
-    kind = F.when(F.col("core"), "core_zero").otherwise("zero")
-    return missing.unionByName(zero.select(kind.alias("kind"), F.when(F.col("core"), "error").otherwise("warning").alias("severity"), "type", "event"))
+#: Kinds of findings, severity, whether they are to be acted on.
+FINDINGS = (("all_zero_core_event", "high", True), ("all_zero_other_event", "low", False), ("missing_core_type", "high", True), ("signature_absent", "medium", False))
+
+
+def telemetry_findings(health: DataFrame, core: DataFrame, hosts: DataFrame | None = None, identities: DataFrame | None = None, most: dict[str, int] | None = None) -> DataFrame:
+    """(kind, severity, type, event, host, row_count, place, total) of what is wrong, most rows of a kind capped.
+
+    Events of core types that are all zero, those of other types, core types without rows,
+    and sampled hosts that have told no identity.  ``place`` counts within the kind by type,
+    event and host; ``total`` has those beyond the cap too.
+    """
+    most = {"all_zero_core_event": 500, "all_zero_other_event": 50} if most is None else most
+    types = core.select("type").distinct()
+    zero = health.where("not has_nonzero").join(types.withColumn("core", F.lit(True)), "type", "left")
+    none, blank = F.lit(None).cast("long"), F.lit("")
+    rows = zero.select(F.when(F.col("core"), FINDINGS[0][0]).otherwise(FINDINGS[1][0]).alias("kind"), "type", "event", blank.alias("host"), "row_count")
+    rows = rows.unionByName(types.join(health, "type", "left_anti").select(F.lit(FINDINGS[2][0]).alias("kind"), "type", blank.alias("event"), blank.alias("host"), none.alias("row_count")))
+    if hosts is not None:
+        known = identities.where("host is not null") if identities is not None else hosts.limit(0)
+        rows = rows.unionByName(hosts.select("host").distinct().join(known, "host", "left_anti").select(F.lit(FINDINGS[3][0]).alias("kind"), blank.alias("type"), blank.alias("event"), "host", none.alias("row_count")))
+    w = Window.partitionBy("kind")
+    rows = rows.withColumns({"place": F.row_number().over(w.orderBy("type", "event", "host")), "total": F.count(F.lit(1)).over(w)})
+    cap = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], kv[1]), most.items(), F.when(F.lit(False), 0))
+    severity = reduce(lambda c, f: c.when(F.col("kind") == f[0], f[1]), FINDINGS, F)
+    return rows.where(cap.isNull() | (F.col("place") <= cap)).select("kind", severity.alias("severity"), "type", "event", "host", "row_count", "place", "total")
+
+
+def telemetry_verdict(findings: DataFrame, health: DataFrame) -> DataFrame:
+    """One row: whether nothing is to be acted on while some events move, and how many pairs do."""
+    act = findings.agg(F.count_if(F.col("kind").isin([k for k, _, a in FINDINGS if a])).alias("actionable"), F.count_if(~F.col("kind").isin([k for k, _, a in FINDINGS if a])).alias("informational"))
+    n = health.agg(F.count_if("has_nonzero").alias("nonzero_pairs"))  # one row each
+    return act.crossJoin(n).select("actionable", "informational", "nonzero_pairs", ((F.col("actionable") == 0) & (F.col("nonzero_pairs") > 0)).alias("healthy"))
 
 
 def freshness(sample: DataFrame, now: Column) -> DataFrame:

@@ -41,16 +41,17 @@ def latest_per_host(hosts: DataFrame, sample: DataFrame) -> DataFrame:
     return hosts.join(sample.groupBy("host").agg(F.max("time").alias("last_time")), "host", "left")
 
 
-def series_on_grid(sample: DataFrame, specs: dict[str, tuple[str, list[str]]], keys: list[str], sparse: frozenset[str] = frozenset()) -> DataFrame:
+def series_on_grid(sample: DataFrame, specs: dict[str, tuple[str, list[str]]], keys: list[str], sparse: frozenset[str] = frozenset(), job: str | None = None) -> DataFrame:
     """All series of ``specs`` (name: type, events) on the grid of ``keys``, in one pass.
 
-    A series with a gap on the grid is dropped (all NULL) unless it may be sparse.
+    A series with a gap on the grid of a ``job`` (the first key unless named) is dropped for
+    that job, all NULL, unless it may be sparse.
     """
+    job = job or keys[0]
     sums = [F.sum(F.when((F.col("type") == t) & F.col("event").isin(ev), F.col("value"))).alias(n) for n, (t, ev) in specs.items()]
     g = sample.groupBy(*keys).agg(*sums)
-    gaps = g.agg(*[F.count_if(F.col(n).isNull()).alias(f"gap_{n}") for n in specs])
-    whole = g.crossJoin(F.broadcast(gaps))  # one row
-    return whole.select(*keys, *[(F.col(n) if n in sparse else F.when(F.col(f"gap_{n}") == 0, F.col(n))).alias(n) for n in specs])
+    gaps = g.groupBy(job).agg(*[F.count_if(F.col(n).isNull()).alias(f"gap_{n}") for n in specs])
+    return g.join(gaps, job).select(*keys, *[(F.col(n) if n in sparse else F.when(F.col(f"gap_{n}") == 0, F.col(n))).alias(n) for n in specs])
 
 
 def series_both(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import INSUFFICIENT
+
 
 def performance_rank(job: DataFrame, metric: DataFrame, plotted: DataFrame) -> DataFrame:
     """0 metrics and plots, 1 metrics, 2 to 4 rows without values by samples (5 and more, fewer, none), 5 no rows and short, 6 else."""
@@ -32,10 +34,11 @@ def post_end_ready(job: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def listing_gates(job: DataFrame, metric: DataFrame, expected: int) -> DataFrame:
-    """Jobs with too few metric rows, or NULL values without a reason, or none at all."""
-    stale = F.count_if(F.col("value").isNull() & F.col("no_data_reason").isNull())
-    m = metric.groupBy("jid").agg(F.count(F.lit(1)).alias("rows"), stale.alias("stale"))
-    return job.join(m, "jid", "left").where(F.coalesce("rows", F.lit(0)) < expected).select("jid", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("stale", F.lit(0)).alias("stale"))
+    """Jobs to compute: with too few metric rows or none, with NULLs that lack a reason, or that once failed the gate and are to be looked at again."""
+    stale = F.count_if(F.col("value").isNull() & (F.coalesce("no_data_reason", F.lit("")) == ""))
+    m = metric.groupBy("jid").agg(F.count(F.lit(1)).alias("rows"), stale.alias("stale"), F.bool_or(F.coalesce(F.col("no_data_reason") == INSUFFICIENT, F.lit(False))).alias("gate"))
+    d = job.join(m, "jid", "left").fillna({"rows": 0, "stale": 0, "gate": False}, ["rows", "stale", "gate"])
+    return d.where((F.col("rows") < expected) | (F.col("stale") > 0) | F.col("gate")).select("jid", "rows", "stale", "gate")
 
 
 def needs_refresh(stored: DataFrame, live: DataFrame) -> DataFrame:

@@ -40,11 +40,34 @@ def thinned_stride(sample: DataFrame, n: int, key: str = "jid") -> DataFrame:
     return s.groupBy(key, "stride").agg(F.max("time").alias("time"))
 
 
-def thinned_budget(sample: DataFrame, job: DataFrame, max_rows: int = 1_500_000, max_cells: int = 1_000_000, budget: int = 1_000_000) -> DataFrame:
+def thinned_budget(sample: DataFrame, job: DataFrame, max_rows: int = 1_500_000, max_cells: int = 1_000_000, budget: int = 1_000_000, least: int = 32) -> DataFrame:
     """(jid, rows, buckets): the tiles of a job whose samples exceed the budget, else NULL.  For plots only."""
     n = sample.groupBy("jid").agg(F.count(F.lit(1)).alias("rows")).join(job.select("jid", "nhosts", "runtime"), "jid")
     big = (F.col("rows") > max_rows) | (F.col("nhosts") * F.col("runtime") / 60 > max_cells)
-    return n.select("jid", "rows", F.when(big, F.greatest(F.lit(32), F.least(F.lit(2048), F.floor(budget / F.col("nhosts"))))).cast("long").alias("buckets"))
+    return n.select("jid", "rows", F.when(big, F.greatest(F.lit(least), F.least(F.lit(2048), F.floor(budget / F.col("nhosts"))))).cast("long").alias("buckets"))
+
+
+def kept_times(times: DataFrame, tiles: DataFrame, key: str = "jid") -> DataFrame:
+    """The last time of each tile of a key's times; ``tiles`` has each key's own number of ``buckets``.
+
+    As ntile would cut them: n times in b tiles make n % b tiles of n div b + 1 times, then
+    tiles of n div b (with more tiles than times each time is one).
+    """
+    w = Window.partitionBy(key)
+    t = times.select(key, "time").distinct().join(tiles.where("buckets is not null").select(key, "buckets"), key)
+    t = t.withColumns({"i": F.row_number().over(w.orderBy("time")), "n": F.count(F.lit(1)).over(w)})
+    small, more = F.expr("n div buckets"), F.expr("n % buckets")
+    wide = more * (small + 1)
+    last = F.when(F.col("i") <= wide, F.col("i") % (small + 1) == 0).otherwise((F.col("i") - wide) % F.greatest(small, F.lit(1)) == 0)
+    return t.where(last).select(key, "time")
+
+
+def thinned_samples(sample: DataFrame, job: DataFrame, **budget) -> DataFrame:
+    """The samples that plots of jobs keep: all of a job within the budget, else those at its kept times, whatever their host."""
+    tiles = thinned_budget(sample, job, **budget).select("jid", "buckets")
+    s = sample.join(tiles, "jid")
+    thin = s.where("buckets is not null").join(kept_times(sample, tiles), ["jid", "time"], "left_semi")
+    return s.where("buckets is null").unionByName(thin).drop("buckets")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -253,24 +253,41 @@ def home_options(spark, sf):
     return A.home_options(X.jobs(spark, sf))
 
 
-HEALTH = "SELECT type, event, count(*) AS row_count, bool_or(CASE WHEN type = 'click' AND event <> 'k0' THEN 0 ELSE value END <> 0) AS has_nonzero FROM f_sample WHERE time >= TIMESTAMP '2024-01-10' AND event <> 'k2' GROUP BY 1, 2"
+HEALTH = "SELECT type, event, count(*) AS row_count, bool_or(CASE WHEN (type = 'click' AND event <> 'k0') OR (type = 'signup' AND event = 'k1') THEN 0 ELSE value END <> 0) AS has_nonzero, list_sort(list(DISTINCT host)) AS hosts FROM f_sample WHERE time >= TIMESTAMP '2024-01-10' AND event <> 'k2' GROUP BY 1, 2"
 
 
 def _health(spark, sf):
     s = X.samples(spark, sf).where("event <> 'k2'").withColumn("value", F.when((F.col("type") == "click") & (F.col("event") != "k0"), 0.0).otherwise(F.col("value")))
-    return A.telemetry_health(s, F.to_timestamp(F.lit("2024-01-10 00:00:00"))).drop("hosts")
+    s = s.withColumn("value", F.when((F.col("type") == "signup") & (F.col("event") == "k1"), 0.0).otherwise(F.col("value")))
+    return A.telemetry_health(s, F.to_timestamp(F.lit("2024-01-10 00:00:00")))
 
 
-@book("telemetry_health", "f_sample", HEALTH)
+@book("telemetry_health", "f_sample", f"SELECT type, event, row_count, has_nonzero, array_to_string(hosts[1:16], ',') AS hosts FROM ({HEALTH})")
 def telemetry_health(spark, sf):
-    return _health(spark, sf)
+    return _health(spark, sf).withColumn("hosts", F.array_join("hosts", ","))
 
 
-@book("telemetry_findings", "f_sample", f"""WITH h AS ({HEALTH}), c(type, event) AS (VALUES ('click', 'k1'), ('view', 'k0'), ('fabric', 'x'))
-  SELECT 'missing' AS kind, 'error' AS severity, type, '' AS event FROM (SELECT DISTINCT type FROM c) WHERE type NOT IN (SELECT type FROM h) UNION ALL SELECT CASE WHEN c.type IS NOT NULL THEN 'core_zero' ELSE 'zero' END, CASE WHEN c.type IS NOT NULL THEN 'error' ELSE 'warning' END, h.type, h.event FROM h LEFT JOIN c USING (type, event) WHERE NOT has_nonzero""")
+#: A third of the hosts have told no identity; three types are core, one of which has no rows.
+FINDINGS_SQL = f"""h AS ({HEALTH}), c(type) AS (VALUES ('click'), ('view'), ('fabric')),
+  z AS (SELECT CASE WHEN type IN (SELECT type FROM c) THEN 'all_zero_core_event' ELSE 'all_zero_other_event' END AS kind, type, event, '' AS host, row_count FROM h WHERE NOT has_nonzero UNION ALL SELECT 'missing_core_type', type, '', '', NULL FROM c WHERE type NOT IN (SELECT type FROM h)
+    UNION ALL SELECT 'signature_absent', '', '', host, NULL FROM (SELECT DISTINCT host FROM f_sample) WHERE CAST(host[2:] AS INT) % 3 = 0),
+  f AS (SELECT *, CASE kind WHEN 'all_zero_other_event' THEN 'low' WHEN 'signature_absent' THEN 'medium' ELSE 'high' END AS severity, CAST(row_number() OVER (PARTITION BY kind ORDER BY type, event, host) AS INT) AS place, count(*) OVER (PARTITION BY kind) AS total FROM z)"""
+
+
+def _findings(spark, sf):
+    core = spark.createDataFrame([("click",), ("view",), ("fabric",)], "type string")
+    hosts = X.samples(spark, sf).select("host").distinct()
+    return A.telemetry_findings(_health(spark, sf), core, hosts, hosts.where(F.substring("host", 2, 9).cast("int") % 3 != 0), {"all_zero_core_event": 500, "signature_absent": 5})
+
+
+@book("telemetry_findings", "f_sample", f"WITH {FINDINGS_SQL} SELECT kind, severity, type, event, host, row_count, place, total FROM f WHERE kind <> 'signature_absent' OR place <= 5")
 def telemetry_findings(spark, sf):
-    core = spark.createDataFrame([("click", "k1"), ("view", "k0"), ("fabric", "x")], "type string, event string")
-    return A.telemetry_findings(_health(spark, sf), core)
+    return _findings(spark, sf)
+
+
+@book("telemetry_verdict", "f_sample", f"WITH {FINDINGS_SQL} SELECT count(*) FILTER (severity = 'high') AS actionable, count(*) FILTER (severity <> 'high' AND (kind <> 'signature_absent' OR place <= 5)) AS informational, any_value(n) AS nonzero_pairs, actionable = 0 AND any_value(n) > 0 AS healthy FROM f, (SELECT count(*) AS n FROM h WHERE has_nonzero)")
+def telemetry_verdict(spark, sf):
+    return A.telemetry_verdict(_findings(spark, sf), _health(spark, sf))
 
 
 @book("fleet_freshness", "f_sample", "SELECT host, 1706745600 - CAST(floor(epoch(max(time))) AS BIGINT) AS age, CASE WHEN age > 604800 THEN '>1 week' WHEN age > 86400 THEN '>1 day' WHEN age > 3600 THEN '>1 h' WHEN age > 600 THEN '>10 min' ELSE 'ok' END AS bucket FROM f_sample GROUP BY host")

@@ -13,7 +13,7 @@ from ..operators import windows as W
 from . import fixtures as X
 from .aggregation import js
 from .common import Book, micros, r6, simple_ctes, values
-from ..operators.catalog import FP_DOUBLE
+from ..operators.catalog import FP_DOUBLE, INSUFFICIENT
 from .listing import f_metric
 
 book = Book()
@@ -225,6 +225,15 @@ def downsample_budget(spark, sf):
     return W.thinned_budget(js(spark, sf).select("jid"), X.jobs(spark, sf), max_rows=20, budget=100)
 
 
+@book("downsample_kept", "f_js", """WITH b AS (SELECT jid, count(*) AS rows, any_value(f_job.nhosts) AS nhosts, any_value(runtime) AS runtime FROM f_js JOIN f_job USING (jid) GROUP BY jid), c AS (SELECT jid, CASE WHEN rows > 60 OR nhosts * runtime / 60 > 1000000 THEN greatest(5, least(2048, 60 // nhosts)) END AS n FROM (SELECT jid, rows, nhosts, runtime FROM b)),
+  t AS (SELECT jid, list(DISTINCT epoch_us(time)) AS ts, any_value(n) AS n FROM f_js JOIN c USING (jid) GROUP BY jid), u AS (SELECT jid, list_sort(ts) AS ts, n, len(ts) AS m FROM t WHERE n IS NOT NULL),
+  k AS (SELECT jid, ts[CASE WHEN b < m % n THEN (b + 1) * (m // n + 1) ELSE (b + 1) * (m // n) + m % n END] AS time_us FROM (SELECT *, unnest(range(0, least(n, m))) AS b FROM u))
+  SELECT jid, time_us, count(*) AS n FROM (SELECT jid, epoch_us(time) AS time_us FROM f_js) WHERE jid IN (SELECT jid FROM c WHERE n IS NULL) OR (jid, time_us) IN (SELECT jid, time_us FROM k) GROUP BY 1, 2""")
+def downsample_kept(spark, sf):
+    kept = W.thinned_samples(js(spark, sf).select("jid", "host", "time", "value"), X.jobs(spark, sf), max_rows=60, budget=60, least=5)
+    return kept.groupBy("jid", micros("time")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @book("latest_per_key", "f_sample", "SELECT host, event, epoch_us(time) AS time_us, value FROM f_sample QUALIFY row_number() OVER (PARTITION BY host, event ORDER BY time DESC, type, dev) = 1")
 def latest_per_key(spark, sf):
     return W.latest_per_key(X.samples(spark, sf), ["host", "event"], [F.desc("time"), F.col("type"), F.col("dev")]).select("host", "event", micros("time"), "value")
@@ -309,9 +318,14 @@ def post_end_ready(spark, sf):
     return R.post_end_ready(X.jobs(spark, sf), latest)
 
 
-@book("listing_gates", "f_metric", "WITH m AS (SELECT jid, count(*) AS rows, count(*) FILTER (value IS NULL AND no_data_reason IS NULL) AS stale FROM f_metric GROUP BY jid) SELECT j.jid, coalesce(rows, 0) AS rows, coalesce(stale, 0) AS stale FROM f_job j LEFT JOIN m USING (jid) WHERE coalesce(rows, 0) < 9")
+@book("listing_gates", "f_metric", """WITH f AS (SELECT jid, value, CASE WHEN no_data_reason IS NULL OR right(jid, 1) = '3' THEN NULL WHEN right(jid, 1) IN ('5', '6') THEN '' WHEN right(jid, 1) IN ('7', '8') THEN 'Insufficient Data For Metrics Processing' ELSE no_data_reason END AS why FROM f_metric),
+  m AS (SELECT jid, count(*) AS rows, count(*) FILTER (value IS NULL AND (why IS NULL OR why = '')) AS stale, bool_or(coalesce(why, '') = 'Insufficient Data For Metrics Processing') AS gate FROM f GROUP BY jid)
+  SELECT j.jid, coalesce(rows, 0) AS rows, coalesce(stale, 0) AS stale, coalesce(gate, false) AS gate FROM f_job j LEFT JOIN m USING (jid) WHERE coalesce(rows, 0) < 4 OR stale > 0 OR gate""")
 def listing_gates(spark, sf):
-    return R.listing_gates(X.jobs(spark, sf), f_metric(spark, sf), 9)
+    """Stored reasons of some jobs are blank or lost, those of others a failed gate."""
+    end = F.substring("jid", -1, 1)
+    why = F.when(end == "3", None).when(F.col("no_data_reason").isNotNull() & end.isin("5", "6"), "").when(F.col("no_data_reason").isNotNull() & end.isin("7", "8"), INSUFFICIENT).otherwise(F.col("no_data_reason"))
+    return R.listing_gates(X.jobs(spark, sf), f_metric(spark, sf).withColumn("no_data_reason", why), 4)
 
 
 @book("needs_refresh", "f_js", "WITH a AS (SELECT jid, count(DISTINCT host || CAST(time AS STRING)) AS n FROM f_js GROUP BY 1), b AS (SELECT jid, count(DISTINCT host || CAST(time AS STRING)) AS n FROM f_js WHERE type <> 'error' GROUP BY 1) SELECT jid, a.n, coalesce(b.n, 0) AS had FROM a LEFT JOIN b USING (jid) WHERE a.n > coalesce(b.n, 0)")

@@ -16,7 +16,7 @@ book = Book()
 
 
 def monitor_lines(spark, sf):
-    """(file, pos, line): the events of each host and day as monitor text of its own, in time order."""
+    """(file, block, pos, line): the events of each host and day as monitor text of its own, in time order and in blocks."""
     e = X.read(spark, sf, "events").withColumn("host", F.concat(F.lit("h"), F.col("user_id") % 25)).withColumn("file", F.concat_ws("/", "host", F.to_date("ts")))
     head = F.concat_ws(" ", F.format_string("%.6f", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), F.when(F.col("user_id") % 7 == 0, "-").otherwise(F.col("user_id").cast("string")), "host")
     bad = F.when(F.col("event_id") % 50 == 0, " 9 9").otherwise("")
@@ -25,7 +25,7 @@ def monitor_lines(spark, sf):
     rows = e.select("file", "event_id", F.posexplode(body).alias("k", "line")).select("file", (F.col("event_id") * 8 + F.col("k") + 10).alias("pos"), "line")
     start = F.array(F.lit("$version 1"), F.concat(F.lit("$hostname "), F.col("host"), F.lit(".example.org")), F.lit("!blk rd,E,U=512B wr,E,W=48"), F.lit("!gpu util slow_temp,R=S"), F.lit("!proc vm_peak uid"), F.lit("!ps n"))
     top = e.select("host", "file").distinct().select("file", F.posexplode(start).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
-    return top.unionByName(rows)
+    return top.unionByName(rows).withColumn("block", F.expr("pos div 4096"))
 
 
 LONG = """t AS (SELECT 'h' || CAST(user_id % 25 AS STRING) AS host, epoch_us(ts) AS time_us, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS jid, * FROM events),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import hostlists
 from ..functions import scalars as S
 from ..operators import filters, joins
 from . import fixtures as X
@@ -61,6 +62,14 @@ def expand_hostlist(spark, sf):
     return X.read(spark, sf, "supplier").select("s_suppkey", F.size(names).alias("n"), names[0].alias("first"), F.element_at(names, -1).alias("last"))
 
 
+@book("expand_brackets", "", """SELECT s_suppkey, 'r' || a || 'n' || lpad(CAST(b AS STRING), 2, '0') || '-ib' AS host FROM (SELECT s_suppkey, unnest([s_suppkey % 3 + 1, s_suppkey % 3 + 2, 9]) AS a FROM supplier) JOIN (SELECT s_suppkey, unnest([s_suppkey % 90, s_suppkey % 90 + 1]) AS b FROM supplier) USING (s_suppkey)
+  UNION ALL SELECT s_suppkey, 'd' || s_suppkey FROM supplier""")
+def expand_brackets(spark, sf):
+    k, two = F.col("s_suppkey"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    text = F.concat(F.lit("r["), k % 3 + 1, F.lit("-"), k % 3 + 2, F.lit(",9]n["), two(k % 90), F.lit("-"), two(k % 90 + 1), F.lit("]-ib,d"), k)
+    return hostlists.expanded(X.read(spark, sf, "supplier").select("s_suppkey", text.alias("nodes")), "nodes").select("s_suppkey", "host")
+
+
 @book("parse_timelimit", "", """SELECT c_custkey, CASE WHEN c_custkey % 6 = 5 THEN NULL ELSE CAST(CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 4) * 86400 ELSE 0 END + (c_custkey % 24) * 3600 + (c_custkey % 60) * 60 + 7 AS DOUBLE) END AS seconds FROM customer""")
 def parse_timelimit(spark, sf):
     k = F.col("c_custkey")
@@ -198,11 +207,12 @@ def join_latest_per_host(spark, sf):
     return joins.latest_per_host(hosts, X.samples(spark, sf)).select("host", F.unix_micros("last_time").alias("last_us"))
 
 
-@book("join_series_left", "f_wide", """WITH g AS (SELECT host, year(time) AS y, sum(value) FILTER (type = 'A' AND event IN ('F', 'O')) AS a, sum(value) FILTER (type = 'N' AND event = 'O') AS b, sum(value) FILTER (type = 'Z') AS z FROM f_wide GROUP BY 1, 2)
-  SELECT host, y, CASE WHEN (SELECT count(*) FROM g WHERE a IS NULL) = 0 THEN a END AS a, CASE WHEN (SELECT count(*) FROM g WHERE b IS NULL) = 0 THEN b END AS b, z FROM g""")
+@book("join_series_left", "f_wide", """WITH g AS (SELECT host, year(time) * 100 + month(time) AS m, sum(value) FILTER (type = 'A' AND event IN ('F', 'O')) AS a, sum(value) FILTER (type = 'N' AND event = 'O') AS b, sum(value) FILTER (type = 'Z') AS z FROM f_wide WHERE host NOT IN ('s3', 's4') OR type <> 'A' GROUP BY 1, 2)
+  SELECT host, m, CASE WHEN count(*) OVER w = count(a) OVER w THEN a END AS a, CASE WHEN count(*) OVER w = count(b) OVER w THEN b END AS b, z FROM g WINDOW w AS (PARTITION BY host)""")
 def join_series_left(spark, sf):
-    w = X.wide(spark, sf).withColumn("y", F.year("time").cast("long"))
-    return joins.series_on_grid(w, {"a": ("A", ["F", "O"]), "b": ("N", ["O"]), "z": ("Z", ["F"])}, ["host", "y"], frozenset("z"))
+    """Each host stands for a job; two of them lack the first series."""
+    w = X.wide(spark, sf).withColumn("m", (F.year("time") * 100 + F.month("time")).cast("long")).where("host not in ('s3', 's4') or type <> 'A'")
+    return joins.series_on_grid(w, {"a": ("A", ["F", "O"]), "b": ("N", ["O"]), "z": ("Z", ["F"])}, ["host", "m"], frozenset("z"))
 
 
 PAIR = "(SELECT host, month(time) AS m, sum(value) AS {0} FROM f_wide WHERE type = '{1}' AND event = '{2}' GROUP BY 1, 2)"

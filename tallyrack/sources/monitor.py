@@ -17,26 +17,39 @@ HEADER = r"^\d+(\.\d+)?\s+\S+\s+\S+$"
 EXCLUDED = ("ps", "sysv_shm", "vfs")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line): whole files, since a line means something only behind those before it."""
-    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return t.withColumn("line", F.trim("line")).where("line <> ''")
+def lines(spark: SparkSession, path) -> DataFrame:
+    """(file, block, pos, line) of text files; a large file is read in blocks, ``pos`` counts within one in order."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("line"))
+    return t.where("line <> ''")
 
 
-def parse_lines(text: DataFrame, keys: tuple[str, ...] = ("file",), order: str = "pos", excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """Long samples (host, time, jid, type, dev, event, unit, width, value) of (file, pos, line) rows.
+def carried(text: DataFrame, values: dict, keys: list[str] = ["file"]) -> DataFrame:  # noqa: B006
+    """``text`` with the last value so far of each of ``values`` (name: expression, NULL where a line has none) within ``keys``.
+
+    Lines are followed within their block; what a block ends with is handed on by a prefix
+    over blocks, one row each, so that no task needs all lines of a file.
+    """
+    w = Window.partitionBy(*keys, "block").orderBy("pos")
+    d = text.withColumns({n: F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for n, v in values.items()})
+    ends = text.groupBy(*keys, "block").agg(*[F.max_by(v, F.when(v.isNotNull(), F.col("pos"))).alias(n) for n, v in values.items()])
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "block", *[F.last(n, ignorenulls=True).over(before).alias(f"_{n}") for n in values])
+    d = d.join(ends, [*keys, "block"])
+    return d.withColumns({n: F.coalesce(n, f"_{n}") for n in values}).drop(*[f"_{n}" for n in values])
+
+
+def parse_lines(text: DataFrame, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """Long samples (file, block, pos, host, time, jid, type, dev, event, unit, width, value) of (file, block, pos, line) rows.
 
     A line whose number of values is not that of its schema is left out.  ``@fast`` rows hold
     the columns that are not slow, ``@full`` and unmarked rows all; absent ones give no row.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("line").rlike(HEADER), F.split("line", r"\s+"))
-    d = text.withColumns({"head": F.last(head, ignorenulls=True).over(w), "tok": F.split("line", r"\s+")})
+    d = carried(text.withColumn("tok", F.split("line", r"\s+")), {"head": head})
     first = F.get("tok", F.lit(0))
     d = d.withColumn("type", F.when(first.startswith("!"), F.substring(first, 2, 1000)).otherwise(first))
-    own = Window.partitionBy(*keys, "type").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     fields = F.transform(F.slice("tok", F.lit(2), F.size("tok") - 1), parse_field_options)
-    d = d.withColumn("schema", F.last(F.when(first.startswith("!"), fields), ignorenulls=True).over(own))
+    d = carried(d, {"schema": F.when(first.startswith("!"), fields)}, ["file", "type"])
     d = d.where(~first.startswith("!") & ~first.startswith("$") & ~F.col("line").rlike(HEADER) & F.col("head").isNotNull() & F.col("schema").isNotNull() & ~F.col("type").isin(*excluded))
     tier = F.when(F.get("tok", F.lit(2)).isin("@fast", "@full"), F.get("tok", F.lit(2)))
     skip = F.when(tier.isNotNull(), 4).otherwise(3)
@@ -44,14 +57,14 @@ def parse_lines(text: DataFrame, keys: tuple[str, ...] = ("file",), order: str =
         "vals": F.slice("tok", skip, F.greatest(F.size("tok") - skip + 1, F.lit(0))),
         "cols": F.when(tier == "@fast", F.filter("schema", lambda f: ~f.slow)).otherwise(F.col("schema")),
     }).where(F.size("vals") == F.size("cols"))
-    d = d.select(*keys, order, "head", "type", F.get("tok", F.lit(1)).alias("dev"), F.explode(F.arrays_zip("cols", "vals")).alias("x"))
+    d = d.select("file", "block", "pos", "head", "type", F.get("tok", F.lit(1)).alias("dev"), F.explode(F.arrays_zip("cols", "vals")).alias("x"))
     return d.select(
-        *keys, order, F.col("head")[2].alias("host"), F.timestamp_micros((F.col("head")[0].cast("double") * 1e6).cast("long")).alias("time"), job_id(F.col("head")[1]).alias("jid"), "type", "dev",
+        "file", "block", "pos", F.col("head")[2].alias("host"), F.timestamp_micros((F.col("head")[0].cast("double") * 1e6).cast("long")).alias("time"), job_id(F.col("head")[1]).alias("jid"), "type", "dev",
         F.col("x.cols.name").alias("event"), F.col("x.cols.unit").alias("unit"), F.col("x.cols.width").alias("width"), F.col("x.cols.multiplier").alias("multiplier"), F.expr("try_cast(x.vals as double)").alias("value"),
     )
 
 
-def read_monitor_text(spark: SparkSession, path: str) -> DataFrame:
+def read_monitor_text(spark: SparkSession, path) -> DataFrame:
     return parse_lines(lines(spark, path))
 
 
@@ -103,7 +116,8 @@ def reingest_job(spark: SparkSession, job: DataFrame, folder: str, jid: str) ->
 
 def read_accounting(spark: SparkSession, path: str) -> DataFrame:
     """Jobs of a pipe-delimited export; malformed lines are dropped."""
-    from ..functions.scalars import expand_hostlist, parse_timelimit, seconds_between
+    from ..functions.hostlists import with_host_list
+    from ..functions.scalars import parse_timelimit, seconds_between
 
     names = ("JobID", "User", "Account", "Start", "End", "Submit", "Partition", "Timelimit", "JobName", "State", "NNodes", "ReqCPUS", "NodeList")
     raw = spark.read.csv(path, sep="|", header=True, mode="DROPMALFORMED", schema=", ".join(f"{n} string" for n in names))
@@ -111,9 +125,9 @@ def read_accounting(spark: SparkSession, path: str) -> DataFrame:
     d = raw.withColumns({"end_time": at("End")}).withColumn("start_time", F.coalesce(at("Start"), "end_time"))
     run = seconds_between(F.col("start_time"), F.col("end_time"))
     n = F.expr("try_cast(NNodes as int)")
-    return d.where(n.isNotNull()).select(
+    return with_host_list(d.where(n.isNotNull()), "NodeList").select(
         F.col("JobID").alias("jid"), at("Submit").alias("submit_time"), "start_time", "end_time", run.alias("runtime"), parse_timelimit(F.col("Timelimit")).alias("timelimit"), (n * run / 3600).alias("node_hrs"), n.alias("nhosts"),
-        F.expr("try_cast(ReqCPUS as int)").alias("ncores"), F.col("User").alias("username"), F.col("Account").alias("account"), F.col("Partition").alias("queue"), F.col("State").alias("state"), F.col("JobName").alias("jobname"), expand_hostlist(F.col("NodeList")).alias("host_list"),
+        F.expr("try_cast(ReqCPUS as int)").alias("ncores"), F.col("User").alias("username"), F.col("Account").alias("account"), F.col("Partition").alias("queue"), F.col("State").alias("state"), F.col("JobName").alias("jobname"), "host_list",
     )
 
 
