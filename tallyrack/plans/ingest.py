@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..schema import PROC_LAST, PROC_PEAKS
-from ..sources import monitor, sinks
+from ..sources import monitor, rollup, sinks
 from ..sources.store import scratch
 from . import fixtures as X
 from .common import Book, micros
@@ -150,3 +150,13 @@ def read_runs_jdbc(spark, sf):
     path = scratch(spark, "runs")
     X.read(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").cast("string").alias("job_id")).write.parquet(f"{path}/run")
     return monitor.read_runs(spark, path=path)
+
+
+@book("rollup_by_day", "f_sample", "SELECT strftime(time, '%Y-%m-%d') AS day, type, round(sum(value), 4) AS total, max(value) AS vmax, count(value) AS cnt FROM f_sample GROUP BY 1, 2")
+def rollup_by_day(spark, sf):
+    """Three batches of samples, the last of them told twice; each holds rows of days that others hold too."""
+    path = scratch(spark, "by-day")
+    s = X.samples(spark, sf).withColumns({"day": F.date_format("time", "yyyy-MM-dd"), "k": F.pmod(F.unix_seconds("time"), F.lit(3))})
+    for batch in (0, 1, 2, 2):
+        rollup.fold_days(s.where(F.col("k") == batch), path, ["type"], batch)
+    return rollup.read_days(spark, path, ["day", "type"]).select(F.col("day").cast("string").alias("day"), "type", F.round("total", 4).alias("total"), "vmax", "cnt")

@@ -131,6 +131,20 @@ def read_accounting(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_runs(spark: SparkSession, url: str | None = None, path: str | None = None, table: str = "run", **options) -> DataFrame:
-    """Run records of a second database by JDBC, or of Parquet."""
-    return spark.read.parquet(f"{path}/{table}") if path else spark.read.jdbc(url, table, properties=options)
+def read_runs(spark: SparkSession, url: str | None = None, path: str | None = None, table: str = "run", *, column: str | None = None, rows: int = 1_000_000, **options) -> DataFrame:
+    """Run records of a second database by JDBC, or of Parquet.
+
+    With a numeric or time ``column`` the scan is cut into ranges of it, one for about
+    ``rows`` rows, by the bounds and the count that the database tells; filters and columns
+    of the query are pushed down to it.  Rows without a value there come with the first range.
+    """
+    if path:
+        return spark.read.parquet(f"{path}/{table}")
+    of = lambda: spark.read.format("jdbc").options(url=url, **options)  # noqa: E731  options of a reader add up
+    reader = of()
+    if column:
+        ends = of().option("query", f'SELECT MIN("{column}") AS lo, MAX("{column}") AS hi, COUNT(*) AS n FROM {table}').load().first()
+        low, high, n = ends[0], ends[1], int(ends[2])
+        if n > rows and low is not None and low < high:
+            reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=-(-n // rows))
+    return reader.option("dbtable", table).load()
