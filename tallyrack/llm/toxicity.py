@@ -1,9 +1,9 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A word that looks disguised (digits or signs among letters, a letter three times in a row,
-letters parted by dots, or a row of single letters) becomes a character lattice: each
+A word that looks disguised (a digit or sign beside letters, a letter doubled that seldom is, any
+three times in a row, letters parted by dots, or a row of single letters) becomes a character lattice: each
 sign may stand for the letters it resembles, a run for one or two of its letter, a
-separator for nothing.  Viterbi decoding under a character trigram model, whose counts
+separator for nothing, and between spelled letters a word may end.  Viterbi decoding under a character trigram model, whose counts
 come from all documents, gives the most likely restorations, and these are scored with the
 words themselves.
 
@@ -37,12 +37,13 @@ THRESHOLD = 0.3
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = ".-_*~'`/\\"
 #: Costs (negative log10 probability) of the channel.
-SWAP, FOLD, SKIP = 0.3, 0.2, 0.2
+SWAP, FOLD, SKIP, BREAK = 0.3, 0.2, 0.2, 0.2
 RESTORATIONS = 3
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER = len(LETTERS) + 1  # 0 is the edge of a word
 BASE = len(LETTERS) + 2
-SUSPECT = r"\pL.*[0-9@$!|+(].*\pL|^[0-9@$!|+(].*\pL.*\pL|\pL[.\-_*~/\\]\pL[.\-_*~/\\]\pL|" + "|".join(3 * c for c in LETTERS)
+#: What may be disguised: a sign beside letters, letters parted by a separator, letters that are seldom doubled, any three times.
+SUSPECT = r"\pL.*[0-9@$+(]|[0-9@$+(!|].*\pL|\pL[.\-_*~/\\]\pL|" + "|".join([*(2 * c for c in "aiujkqvwxy"), *(3 * c for c in LETTERS)])
 #: Signs that do not belong to a word at its left and right edge.
 LEFT = "\"#%&'*,-./:;<=>?[\\]^`{}~)«»“”„‘’…–—¿¡"
 RIGHT = LEFT + "!|"
@@ -58,8 +59,24 @@ class Channel:
     def __init__(self, counts: np.ndarray):
         self.lp = np.log10(counts + 0.1) - np.log10((counts + 0.1).sum(axis=2, keepdims=True))
 
-    def arcs(self, word: str):
-        """For each place of the word (runs folded): [(letters, cost), ...]."""
+    def arcs(self, word: str, breaks: bool = False):
+        """For each place of the word (runs folded): [(letters, cost), ...]; with ``breaks`` words may end between places."""
+        places = self._places(word)
+        gap = [("", SKIP), (" ", BREAK)]
+        return [x for i, place in enumerate(places) for x in ([gap, place] if i else [place])] if breaks else places
+
+    def begins(self, word: str, most: int = PREFIXES[0]) -> set[str]:
+        """The first letters that restorations of the word may have."""
+        found, open_ = set(), {""}
+        for place in self._places(word):
+            longer = {x + letters for x in open_ for letters, _ in place}
+            found |= {x[:most] for x in longer if len(x) >= most}
+            open_ = {x for x in longer if len(x) < most}
+            if not open_:
+                break
+        return found | open_
+
+    def _places(self, word: str):
         out, i = [], 0
         while i < len(word):
             c, j = word[i], i
@@ -76,17 +93,17 @@ class Channel:
                 out.append([(x * k, cost + FOLD * (k != run)) for x, cost in letters for k in {1, 2}])
         return out
 
-    def restore(self, word: str, best: int = RESTORATIONS) -> list[str]:
+    def restore(self, word: str, best: int = RESTORATIONS, breaks: bool = False) -> list[str]:
         states = {(0, 0): [(0.0, ())]}
-        for arcs in self.arcs(word):
+        for arcs in self.arcs(word, breaks):
             new: dict = {}
             for (a, b), paths in states.items():
                 for letters, cost in arcs:
                     p, q, s = a, b, -cost
                     for x in letters:
-                        k = code(x)
+                        k = 0 if x == " " else code(x)
                         s += self.lp[p, q, k]
-                        p, q = q, k
+                        p, q = (q, k) if k else (0, 0)
                     new.setdefault((p, q), []).extend((t + s, (rest, letters)) for t, rest in paths)
             states = {k: sorted(v, key=lambda t: -t[0])[:best] for k, v in new.items()}
         ends = sorted(((s + self.lp[a, b, 0], path) for (a, b), v in states.items() for s, path in v), key=lambda t: -t[0])
@@ -140,6 +157,11 @@ def _spelled(names: list[str], words: pa.Array, at: np.ndarray, text: np.ndarray
             yield int(text[run[0]]), "".join(core_of(names[i]) for i in at[run])
 
 
+def _whole_and_parted(channel: Channel, spelled: str) -> list[str]:
+    """Words of spelled letters: all of them as one, and as the words that they most likely are."""
+    return list(dict.fromkeys([*channel.restore(spelled), *(w for r in channel.restore(spelled, breaks=True) for w in r.split())]))
+
+
 def evidence(texts: pa.Array, channel: Channel, wanted: dict[str, set] | None = None):
     """(features, feature number, text number): what each text of a batch shows, each once."""
     words, at, text = _read(texts)
@@ -150,7 +172,7 @@ def evidence(texts: pa.Array, channel: Channel, wanted: dict[str, set] | None =
     own = lambda core: [number.setdefault(f, len(number)) for f in _features(core, wanted)]
     for w, odd in zip(names, suspect):
         f = own(core_of(w))
-        if odd:
+        if odd and (wanted is None or not channel.begins(core_of(w)).isdisjoint(wanted)):
             for r in channel.restore(core_of(w)):
                 f += own(r)
         of_word.append(f)
@@ -163,7 +185,7 @@ def evidence(texts: pa.Array, channel: Channel, wanted: dict[str, set] | None =
     ends = np.cumsum(per)
     f = flat[np.repeat(first[w] - (ends - per), per) + np.arange(ends[-1] if len(ends) else 0)]
     t = np.repeat(t, per)
-    more = [(x, n) for x, spelled in _spelled(names, words, at, text) for r in channel.restore(spelled) for n in own(r)]
+    more = [(x, n) for x, spelled in _spelled(names, words, at, text) for r in _whole_and_parted(channel, spelled) for n in own(r)]
     if more:
         t, f = np.append(t, [m[0] for m in more]), np.append(f, [m[1] for m in more])
     pairs = np.unique(t * max(len(number), 1) + f)

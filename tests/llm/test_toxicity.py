@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyrack.llm import toxicity as T
@@ -83,3 +84,32 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = T.scored(docs, T.learn(docs, labels)).collect()
     assert len(got) == 402 and len({(r.text, r.score) for r in got}) == len({r.text or "" for r in got}) + 1
     assert T.nontoxic(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def trained(words):
+    counts = np.zeros((T.BASE,) * 3)
+    for w in words:
+        p = [0, 0, *map(T.code, w), 0]
+        for a, b, c in zip(p, p[1:], p[2:]):
+            counts[a, b, c] += 50
+    return T.Channel(counts)
+
+
+def test_disguises_reach_the_decoder():
+    """Through the gate: what a text with a disguised word shows holds the word itself, with or without a list of wanted features."""
+    words = ["idiot", "ass", "hate", "shit", "stupid", "you", "are", "so", "the", "book", "great"]
+    channel = trained(words)
+    shown = lambda text, wanted=None: set(T.evidence(pa.array([text]), channel, wanted)[0])
+    for text, word in (("so idi07", "idiot"), ("a$$", "ass"), ("hat3 you", "hate"), ("5h17", "shit"), ("stuupid!", "stupid"), ("iiddiioott", "idiot"), ("st.upid", "stupid"), ("s t u p i d", "stupid"), ("y o u s t u p i d", "stupid"), ("$tupid", "stupid")):
+        assert word in shown(text), text
+        assert word in shown(text, T.by_start([word])), text
+    assert "stupid" not in shown("the great book, so are you")
+
+
+def test_wanted_features_are_those_of_all():
+    channel = trained(["tall", "till", "tail", "ball", "bold"])
+    texts = ["t4l1 b@llll x1y2z3 t.a.l.l", "b 0 l d t1ll", "taill 1234 a1", ""]
+    wanted = ["tall", "till", "bal*", "bold", "xly*"]
+    for text in texts:
+        every = set(T.evidence(pa.array([text]), channel)[0])
+        assert set(T.evidence(pa.array([text]), channel, T.by_start(wanted))[0]) == every & set(wanted)
