@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FAILED, as_fqdn, clamp, null_sentinels
@@ -90,21 +90,48 @@ def eligible_wait(job: DataFrame, for_expansion: bool = False) -> DataFrame:
 
 
 def drop_restricted(job: DataFrame, words: list[str]) -> DataFrame:
-    """Jobs whose queue holds none of the words; a missing queue stays."""
-    return job.where(F.coalesce(~F.lower("queue").rlike("|".join(words)), F.lit(True))) if words else job
+    """Jobs whose queue holds none of the words, as they are written but for case; a missing queue stays."""
+    holds = [F.contains(F.lower("queue"), F.lit(w.lower())) for w in words]
+    return job.where(F.coalesce(~reduce(lambda a, b: a | b, holds), F.lit(True))) if words else job
+
+
+#: A table of names that is at most so long goes to every task, a longer one is joined.
+SHORT_TABLE = 100_000
+
+
+def short(names: DataFrame) -> DataFrame:
+    """``names`` to be broadcast if it is short."""
+    return F.broadcast(names) if names.limit(SHORT_TABLE + 1).count() <= SHORT_TABLE else names
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """A rename table (kind, scope, old, new) of a CSV file with a header; ``kind`` is type or event, an empty scope holds for all types.
+
+    Blank and repeated rows go; of two new names for one old one the last by name counts.
+    """
+    raw = spark.read.csv(path, header=True, schema="kind string, scope string, old string, new string", comment="#")
+    d = raw.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) for c in raw.columns]).where("kind in ('type', 'event') and old is not null and new is not null")
+    return d.groupBy("kind", "scope", "old").agg(F.max("new").alias("new"))
+
+
+def read_eventmap(spark: SparkSession, path: str) -> DataFrame:
+    """A map (type, code, name) of control codes, hexadecimal with or without 0x, of a CSV file with a header."""
+    raw = spark.read.csv(path, header=True, schema="type string, code string, name string", comment="#")
+    code = F.regexp_replace(F.lower(F.trim("code")), "^0x0*|^0+(?=.)", "")
+    return raw.select(F.trim("type").alias("type"), code.alias("code"), F.trim("name").alias("name")).where("type <> '' and code <> '' and name <> ''").groupBy("type", "code").agg(F.max("name").alias("name"))
 
 
 def canonicalise(sample: DataFrame, names: DataFrame) -> DataFrame:
     """Canonical type and event names: (kind, scope, old, new) rows, the type's own scope before the global.
 
-    The rename table is a fixed vocabulary of a few hundred rows and is broadcast.
+    The rename table (see ``read_names``) is broadcast if it is short.
     """
     types = names.where("kind = 'type'").select(F.col("old").alias("type"), F.col("new").alias("new_type"))
     scoped = names.where("kind = 'event' and scope is not null").select(F.col("scope").alias("type"), F.col("old").alias("event"), F.col("new").alias("own"))
     common = names.where("kind = 'event' and scope is null").select(F.col("old").alias("event"), F.col("new").alias("any"))
     s = sample.withColumnsRenamed({"type": "raw_type", "event": "raw_event"}).withColumn("type", F.col("raw_type")).withColumn("event", F.col("raw_event"))
-    s = s.join(F.broadcast(types), "type", "left").withColumn("type", F.coalesce("new_type", "type")).drop("new_type")
-    s = s.join(F.broadcast(scoped), ["type", "event"], "left").join(F.broadcast(common), "event", "left")
+    s = s.join(short(types), "type", "left").withColumn("type", F.coalesce("new_type", "type")).drop("new_type")
+    s = s.join(short(scoped), ["type", "event"], "left").join(short(common), "event", "left")
     return s.withColumn("event", F.coalesce("own", "any", "event")).drop("own", "any")
 
 

@@ -8,8 +8,9 @@ from ..operators import aggregates as A
 from ..operators import catalog as K
 from ..operators import gridpass as G
 from ..operators import metrics as M
+from ..operators import series as S
 from . import fixtures as X
-from .common import Book, lit, simple_ctes, values
+from .common import Book, lit, micros, simple_ctes, values
 
 book = Book()
 
@@ -29,11 +30,15 @@ TELEMETRY = (
     + [("lustre_llite", "vfs_read_bytes", "e0", 1e6, 2, 0), ("beegfs_client", "vfs_write_bytes", "e1", 1e6, 2, 1), ("nvidia_gpu", "gpu_count", "e0", 1e-4, 1, 0)]
     + [("intel_x86_rapl", "pkg_energy", "e1", 1e6, 3, 1), ("amd_x86_rapl", "pkg_energy", "e0", 1e6, 3, 0), ("host_cpu_hw", "dcgm_cpu_power_util_w", "e2", 1e-3, 3, 2)]
 )
-TELEMETRY_SQL = f"roles(type, event, e, k, every, rest) AS (VALUES {values(TELEMETRY)}), t AS (SELECT jid, host, time, type, roles.event, value * k AS value, arc * k AS arc FROM f_grid JOIN roles ON f_grid.event = e WHERE CAST(jid[2:] AS INT) % every = rest)"
+def telemetry_sql(roles):
+    return f"roles(type, event, e, k, every, rest) AS (VALUES {values(roles)}), t AS (SELECT jid, host, time, type, roles.event, value * k AS value, arc * k AS arc FROM f_grid JOIN roles ON f_grid.event = e WHERE CAST(jid[2:] AS INT) % every = rest)"
 
 
-def telemetry(spark, sf):
-    roles = spark.createDataFrame(TELEMETRY, "type string, event string, e string, k double, every int, rest int")
+TELEMETRY_SQL = telemetry_sql(TELEMETRY)
+
+
+def telemetry(spark, sf, roles=TELEMETRY):
+    roles = spark.createDataFrame(roles, "type string, event string, e string, k double, every int, rest int")
     g = X.grid(spark, sf).withColumnRenamed("event", "e").join(F.broadcast(roles), "e").where(F.substring("jid", 2, 4).cast("int") % F.col("every") == F.col("rest"))
     return g.select("jid", "host", "time", "type", "event", (F.col("value") * F.col("k")).alias("value"), (F.col("arc") * F.col("k")).alias("arc"))
 
@@ -138,3 +143,39 @@ def metric_catalog_fill(spark, sf):
   WHERE NOT (metric = 'avg_gpuutil' AND value IS NOT NULL)""")
 def metric_display(spark, sf):
     return M.display_order(all_metrics(spark, sf)).select("jid", "metric", "ord", "tier")
+
+
+#: Errors, GPU work and reported peaks.
+MORE = [
+    ("host_ib", "symbol_error", "e0", 1.0, 1, 0), ("host_ib", "link_downed", "e1", 0.0, 1, 0), ("host_net", "rx_errors", "e2", 1.0, 2, 0), ("host_net", "rx_bytes", "e1", 1.0, 1, 0),
+    ("nvidia_gpu", "gpu_flops_rate", "e0", 1e9, 1, 0), ("nvidia_gpu", "gpu_mem_bw_bytes_rate", "e1", 1e9, 2, 0), ("nvidia_gpu", "gpu_io_link_total_bytes", "e2", 1e9, 1, 0),
+    ("host_roofline_peak", "cpu_peak_fp64_flops_per_s", "e0", 1e9, 3, 0), ("host_roofline_peak", "cpu_peak_dram_bw_bytes_per_s", "e1", 1e6, 3, 0), ("host_roofline_peak", "cpu_peak_hbm_bw_bytes_per_s", "e2", 1e6, 3, 0),
+    ("host_roofline_peak", "gpu_peak_fp64_flops_per_s", "e0", 1e9, 2, 0), ("host_roofline_peak", "gpu_peak_mem_bw_bytes_per_s", "e1", 1e6, 2, 0), ("host_roofline_peak", "gpu_peak_io_link_bw_bytes_per_s", "e2", 1e6, 4, 0),
+    ("intel_x86_uncore_imc_skx", "dram_cas_reads", "e1", 1.0, 3, 1), ("amd_x86_uncore_df_rome", "dram_chan0_bytes", "e0", 1.0, 3, 2), ("amd_x86_pmc", "fp_ops_retired", "e0", 1.0, 3, 2),
+]
+MORE_SQL = telemetry_sql(MORE)
+
+
+@book("hardware_errors", "f_grid", f"WITH {MORE_SQL} SELECT jid, host, epoch_us(time) AS time_us, type, event, arc AS rate FROM t WHERE event IN ('symbol_error', 'link_downed', 'rx_errors') AND (jid, event) IN (SELECT (jid, event) FROM t WHERE arc <> 0)")
+def hardware_errors(spark, sf):
+    return S.hardware_errors(telemetry(spark, sf, MORE)).select("jid", "host", micros("time"), "type", "event", "rate")
+
+
+@book("device_roofline", "f_grid", f"""WITH {MORE_SQL}, w AS (SELECT jid, host, time, sum(value) FILTER (event = 'gpu_flops_rate') * 1e-9::DOUBLE AS f, sum(value) FILTER (event = 'gpu_mem_bw_bytes_rate') / 1073741824 AS m, sum(arc) FILTER (event = 'gpu_io_link_total_bytes') / 1073741824 AS l FROM t WHERE type = 'nvidia_gpu' GROUP BY 1, 2, 3),
+  c AS (SELECT jid, count(*) FILTER (f IS NOT NULL AND m > 0) > 0 AS mem FROM w GROUP BY jid), p AS (SELECT jid, host, time, f, CASE WHEN mem THEN m ELSE l END AS b, CASE WHEN mem THEN 'memory_bw' ELSE 'pcie_nvlink' END AS axis FROM w JOIN c USING (jid))
+  SELECT jid, host, epoch_us(time) AS time_us, f AS flops_gf, b AS bw_gb, f / b AS ai, axis FROM p WHERE f > 0 AND f / nullif(b, 0) > 0""")
+def device_roofline(spark, sf):
+    return S.device_roofline(telemetry(spark, sf, MORE).withColumn("dev", F.lit("0"))).select("jid", "host", micros("time"), "flops_gf", "bw_gb", "ai", "axis")
+
+
+@book("job_peaks", "f_grid", f"""WITH {MORE_SQL}, o AS (SELECT jid, max(value) FILTER (event = 'cpu_peak_fp64_flops_per_s') * 1e-9::DOUBLE AS f, greatest(coalesce(max(value) FILTER (event = 'cpu_peak_dram_bw_bytes_per_s') / 1073741824, 0), 0) + greatest(coalesce(max(value) FILTER (event = 'cpu_peak_hbm_bw_bytes_per_s') / 1073741824, 0), 0) AS b,
+    bool_or(type = 'intel_x86_uncore_imc_skx') AS skx, bool_or(type = 'amd_x86_uncore_df_rome') AS amd FROM t GROUP BY jid),
+  p AS (SELECT jid, CASE WHEN f > 0 AND b > 0 THEN f WHEN skx THEN 6400 WHEN amd THEN 4000 END::DOUBLE AS peak_flops, CASE WHEN f > 0 AND b > 0 THEN b WHEN skx THEN 460 WHEN amd THEN 410 END::DOUBLE AS peak_bw FROM o) SELECT *, peak_flops / peak_bw AS ridge FROM p WHERE peak_flops IS NOT NULL""")
+def job_peaks(spark, sf):
+    return S.job_peaks(telemetry(spark, sf, MORE))
+
+
+@book("device_peaks", "f_grid", f"""WITH {MORE_SQL}, o AS (SELECT jid, max(value) FILTER (event = 'gpu_peak_fp64_flops_per_s') * 1e-9::DOUBLE AS peak_flops, coalesce(max(value) FILTER (event = 'gpu_peak_io_link_bw_bytes_per_s'), max(value) FILTER (event = 'gpu_peak_mem_bw_bytes_per_s')) / 1073741824 AS peak_bw FROM t GROUP BY jid)
+  SELECT *, peak_flops / peak_bw AS ridge FROM o WHERE peak_flops > 0 AND peak_bw > 0""")
+def device_peaks(spark, sf):
+    return S.device_peaks(telemetry(spark, sf, MORE))

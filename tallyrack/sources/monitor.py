@@ -69,12 +69,14 @@ def read_monitor_text(spark: SparkSession, path) -> DataFrame:
 
 
 def decode_hw_counters(sample: DataFrame, eventmap: DataFrame, keys=("host", "time", "jid", "type", "dev")) -> DataFrame:
-    """Rows of CTLn and CTRn: the control value names its counter (a short fixed map), an unknown one is OTHER."""
+    """Rows of CTLn and CTRn: the control value names its counter by a map (see ``read_eventmap``), an unknown one is OTHER."""
+    from ..operators.filters import short
+
     n = F.regexp_extract("event", r"^CT[LR](\d+)$", 1)
     s = sample.withColumn("n", n)
     ctl = s.where(F.col("event").startswith("CTL")).select(*keys, "n", F.lower(F.hex(F.col("value").cast("long"))).alias("code"))
     ctr = s.where(F.col("event").startswith("CTR")).select(*keys, "n", "value")
-    return ctr.join(ctl, [*keys, "n"]).join(F.broadcast(eventmap), ["type", "code"], "left").select(*keys, F.coalesce("name", F.lit("OTHER")).alias("event"), "value")
+    return ctr.join(ctl, [*keys, "n"]).join(short(eventmap), ["type", "code"], "left").select(*keys, F.coalesce("name", F.lit("OTHER")).alias("event"), "value")
 
 
 def read_proc_rows(text: DataFrame, type_: str = "proc") -> DataFrame:

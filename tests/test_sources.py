@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tallyrack.operators import filters
 from tallyrack.sources import monitor, rollup
 
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
@@ -45,3 +46,21 @@ def test_jdbc_scan_in_ranges(spark):
     assert "PushedFilters: [" in plan and "EqualTo(job_id,j3)" in plan and "GreaterThan(seconds,500)" in plan
     assert sorted(r.run_id for r in some.collect()) == [i for i in range(501, 1000) if i % 10 == 3]
     assert monitor.read_runs(spark, url, driver=DERBY).rdd.getNumPartitions() == 1
+
+
+def test_loaded_maps(spark, tmp_path):
+    """Rename and event maps from files; blank rows, comments and repeated rows go, codes come in any writing."""
+    (tmp_path / "names.csv").write_text("kind,scope,old,new\n# old types\ntype,,cpu,host_cpu\nevent,host_cpu,usr,user\nevent,,usr,other\nevent,,usr,other\n,,x,y\nevent,,z,\n")
+    names = filters.read_names(spark, str(tmp_path / "names.csv"))
+    s = spark.createDataFrame([("cpu", "usr"), ("net", "usr"), ("net", "rx")], "type string, event string")
+    assert sorted((r.type, r.event) for r in filters.canonicalise(s, names).collect()) == [("host_cpu", "user"), ("net", "other"), ("net", "rx")]
+    (tmp_path / "events.csv").write_text("type,code,name\npmc,0x003C,cycles\npmc,C0,instr\npmc,,none\n")
+    rows = [("h", 1, "j", "pmc", "0", e, v) for e, v in (("CTL0", 60.0), ("CTR0", 5.0), ("CTL1", 192.0), ("CTR1", 6.0), ("CTL2", 1.0), ("CTR2", 7.0))]
+    d = spark.createDataFrame(rows, "host string, time int, jid string, type string, dev string, event string, value double")
+    got = {r.event: r.value for r in monitor.decode_hw_counters(d, filters.read_eventmap(spark, str(tmp_path / "events.csv"))).collect()}
+    assert got == {"cycles": 5.0, "instr": 6.0, "OTHER": 7.0}
+
+
+def test_restricted_queues_are_plain_words(spark):
+    jobs = spark.createDataFrame([("a.b",), ("axb",), ("A.B-long",), (None,)], "queue string")
+    assert {r.queue for r in filters.drop_restricted(jobs, ["a.b"]).collect()} == {"axb", None}
