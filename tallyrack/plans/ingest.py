@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..schema import PROC_LAST, PROC_PEAKS
-from ..sources import monitor, rollup, sinks
+from ..sources import linestream, monitor, rollup, sinks
 from ..sources.store import scratch
+from ..streaming import streams
 from . import fixtures as X
 from .common import Book, micros
 from .listing import LATEST
@@ -160,3 +161,15 @@ def rollup_by_day(spark, sf):
     for batch in (0, 1, 2, 2):
         rollup.fold_days(s.where(F.col("k") == batch), path, ["type"], batch)
     return rollup.read_days(spark, path, ["day", "type"]).select(F.col("day").cast("string").alias("day"), "type", F.round("total", 4).alias("total"), "vmax", "cnt")
+
+
+@book("stream_lines", "", "SELECT 'h' || CAST(user_id % 25 AS STRING) AS host, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def stream_lines(spark, sf):
+    """Monitor files arrive in two parts; the second run goes on where the first has ended."""
+    folder = scratch(spark, "lines")
+    days = monitor_lines(spark, sf).select(F.split_part("file", F.lit("/"), F.lit(1)).alias("host"), F.split_part("file", F.lit("/"), F.lit(2)).alias("day"), "pos", F.col("line").alias("value"))
+    for own in (F.col("day") < "2024-01-16", F.col("day") >= "2024-01-16"):
+        days.where(own).repartition("host").sortWithinPartitions("host", "day", "pos").select("host", "value").write.mode("append").partitionBy("host").text(f"{folder}/in")
+        streams.available(linestream.lines(spark, f"{folder}/in"), folder)
+    out = streams.result(spark, folder, linestream.SCHEMA).where(F.col("line").startswith("blk "))
+    return out.groupBy(F.regexp_extract("file", "host=([^/]+)/", 1).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.split("line", " ")[2].cast("long")).alias("ids"))
