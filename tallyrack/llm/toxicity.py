@@ -42,8 +42,8 @@ RESTORATIONS = 3
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER = len(LETTERS) + 1  # 0 is the edge of a word
 BASE = len(LETTERS) + 2
-#: What may be disguised: a sign beside letters, letters parted by a separator, letters that are seldom doubled, any three times.
-SUSPECT = r"\pL.*[0-9@$+(]|[0-9@$+(!|].*\pL|\pL[.\-_*~/\\]\pL|" + "|".join([*(2 * c for c in "aiujkqvwxy"), *(3 * c for c in LETTERS)])
+#: What may be disguised: a sign before or among letters, one or two behind them, letters parted by a separator, letters that are seldom doubled, any three times.
+SUSPECT = r"\pL.*[0-9@$!|+(].*\pL|\pL[0-9@$+(]{1,2}$|^[0-9@$!|+(].*\pL|\pL[.\-_*~/\\]\pL|" + "|".join([*(2 * c for c in "aiujkqvwxy"), *(3 * c for c in LETTERS)])
 #: Signs that do not belong to a word at its left and right edge.
 LEFT = "\"#%&'*,-./:;<=>?[\\]^`{}~)«»“”„‘’…–—¿¡"
 RIGHT = LEFT + "!|"
@@ -76,6 +76,13 @@ class Channel:
                 break
         return found | open_
 
+    def may_begin(self, word: str, wanted) -> bool:
+        """Whether a restoration of the word may begin as one of ``wanted`` does."""
+        head = word[: PREFIXES[0] + 1]
+        if len(head) > PREFIXES[0] and head.isalpha() and all(a != b for a, b in zip(head, head[1:])):
+            return head[:-1] in wanted  # nothing to restore there
+        return not self.begins(word).isdisjoint(wanted)
+
     def _places(self, word: str):
         out, i = [], 0
         while i < len(word):
@@ -172,7 +179,7 @@ def evidence(texts: pa.Array, channel: Channel, wanted: dict[str, set] | None =
     own = lambda core: [number.setdefault(f, len(number)) for f in _features(core, wanted)]
     for w, odd in zip(names, suspect):
         f = own(core_of(w))
-        if odd and (wanted is None or not channel.begins(core_of(w)).isdisjoint(wanted)):
+        if odd and (wanted is None or channel.may_begin(core_of(w), wanted)):
             for r in channel.restore(core_of(w)):
                 f += own(r)
         of_word.append(f)
