@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import AMD_DF, BANDWIDTH, BEEGFS_OPS, BYTES_GB, BYTES_MB, CAS_GB, CORE_PMC, DRAM_CHANNELS, FLOPS, FP_DOUBLE, FP_SINGLE, GPUS, IMC, LLITE_OPS, MOST_GBPS
+from .joins import over_jobs
 from .metrics import SUMMARY
 
 
@@ -87,18 +88,24 @@ def _first(names: list[str], usable) -> Column:
     return reduce(lambda c, n: c.when(usable(n), F.col(n)), names, F)
 
 
-def job_series(df: DataFrame) -> DataFrame:
+def job_series(df: DataFrame, job: DataFrame | None = None) -> DataFrame:
     """(jid, host, time) with a column for each series; a row for every sample time of a host.
 
     A series of ``FIRST`` comes from its first source without a gap, a series of ``WHOLE`` is NULL
     for a job with a gap.  Fabric falls back to the second fabric, GPU use to its older name;
     the lumped tensor series goes if a split one is there.  Counts for each job decide, so no
-    task holds a whole job.
+    task holds a whole job.  With ``job``, ``df`` holds the samples of the windows of its hosts
+    (``window_samples``), and sums are made once for each window.
     """
     tries = {n: [f"{n}_{i}" for i in range(len(sources))] for n, sources in FIRST.items()}
     terms = [*SINGLE, Term("opa_bw", "host_opa", "arc", OPA, 1 / 125000), Term("utilization", "nvidia_gpu", "value", ("utilization",), 1.0), Term("cha_counter_arc_sum", CHA, "arc", CHA_EVENTS, 1.0)]
     terms += [Term(c, t, "arc", ev, k) for n, sources in FIRST.items() for c, (t, ev, k) in zip(tries[n], sources)]
     wide = summed(df, terms, ["jid", "host", "time"])
+    finish = lambda d: _series_of(d, terms, tries)
+    return finish(wide) if job is None else over_jobs(job, wide, finish)
+
+
+def _series_of(wide: DataFrame, terms: list[Term], tries: dict[str, list[str]]) -> DataFrame:
     counts = wide.groupBy(F.col("jid").alias("_jid")).agg(F.count(F.lit(1)).alias("_all"), *[F.count(x.name).alias(f"_c_{x.name}") for x in terms])
     d = wide.join(counts, F.col("jid").eqNullSafe(F.col("_jid")))
     some, full = (lambda c: F.col(f"_c_{c}") > 0), (lambda c: F.col(f"_c_{c}") == F.col("_all"))
@@ -127,11 +134,12 @@ def _points(d: DataFrame, keys: list[str]) -> DataFrame:
     return d.withColumn("ai", F.col("flops_gf") / F.nullif(F.col("bw_gb"), F.lit(0.0))).where("flops_gf > 0 and ai > 0").select(*keys, "flops_gf", "bw_gb", "ai")
 
 
-def job_roofline(df: DataFrame) -> DataFrame:
+def job_roofline(df: DataFrame, job: DataFrame | None = None) -> DataFrame:
     """(jid, host, time, flops_gf, bw_gb, ai) from the sources that the job has.
 
     AMD counters if it has both of theirs; else the first of the others for each axis, in the
-    order of ``FLOPS`` and ``BANDWIDTH``.
+    order of ``FLOPS`` and ``BANDWIDTH``.  With ``job``, ``df`` holds the samples of the windows
+    of its hosts, as for ``job_series``.
     """
     terms, side = [], {"f": [], "b": []}
     for s, tries in (("f", FLOPS), ("b", BANDWIDTH)):
@@ -140,6 +148,11 @@ def job_roofline(df: DataFrame) -> DataFrame:
             terms += [Term(f"{s}{i}", t, "arc", ev, k) for t, ev, k in parts]
     keys = ["jid", "host", "time"]
     wide = summed(df, terms, keys)
+    finish = lambda d: _roofline_of(d, side, keys)
+    return finish(wide) if job is None else over_jobs(job, wide, finish)
+
+
+def _roofline_of(wide: DataFrame, side: dict, keys: list[str]) -> DataFrame:
     counts = wide.groupBy(F.col("jid").alias("_jid")).agg(*[F.count(c).alias(f"_c_{c}") for x in side.values() for c, _ in x])
     some = lambda c: F.col(f"_c_{c}") > 0
     of = {s: ([c for c, amd in x if amd], [c for c, amd in x if not amd]) for s, x in side.items()}
