@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -96,7 +97,16 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4_000_000):
         end = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+    released()
+
+
+def released() -> None:
+    """Memory that a worker has freed goes back to the system: workers live on between stages and would keep it."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def runs(batches, keys: int):

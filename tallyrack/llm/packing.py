@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, long_binary, slices, table
-from .tokens import TEXT_BYTES, encode, tokenizer_path
+from .tokens import encode, tokenizer_path
 
 WINDOW = 1024
 #: Tokens of a block, handled by one task at a time.
 BLOCK_TOKENS = 1 << 19
 MIN_PIECE = 256
+#: Bytes of text encoded at once: behind other stages an executor's heap has grown, and workers have less room.
+TEXT_BYTES = 3_000_000
 #: Offsets are broadcast up to so many (partition, source) pairs; beyond it they are joined.
 BROADCAST_ROWS = 200_000
 

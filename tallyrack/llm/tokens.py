@@ -91,7 +91,11 @@ def encode(texts: pa.Array, path: str, special_as_text: bool = False) -> tuple[n
     at = words.indices.to_numpy()
     per_word = sizes[at]
     ends = np.concatenate([[0], np.cumsum(per_word)])
-    ids = pool[np.repeat(first[at] - ends[:-1], per_word) + np.arange(ends[-1])]
+    small = np.int32 if max(len(pool), ends[-1]) < 1 << 31 else np.int64
+    place = np.arange(ends[-1], dtype=small)
+    place += np.repeat((first[at] - ends[:-1]).astype(small), per_word)
+    ids = pool[place]
+    del place
     word_ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])
     bounds = ends[word_ends]
     counts = np.diff(bounds)
