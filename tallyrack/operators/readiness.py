@@ -22,7 +22,11 @@ def performance_rank(job: DataFrame, metric: DataFrame, plotted: DataFrame) -> D
 
 def coverage_ready(job: DataFrame, bounds: DataFrame, margin: int = 600) -> DataFrame:
     """Whether samples reach from the start to the end within ``margin`` seconds, and by how much they miss."""
-    d = job.join(bounds, "jid", "left")
+    return coverage_of(job.join(bounds, "jid", "left"), margin)
+
+
+def coverage_of(d: DataFrame, margin: int = 600) -> DataFrame:
+    """The same of jobs with their ``first`` and ``last`` sample."""
     lead, lag = F.unix_seconds("first") - F.unix_seconds("start_time"), F.unix_seconds("end_time") - F.unix_seconds("last")
     return d.select("jid", lead.alias("lead"), lag.alias("lag"), F.coalesce((lead <= margin) & (lag <= margin), F.lit(False)).alias("ready"))
 
@@ -33,10 +37,14 @@ def post_end_ready(job: DataFrame, latest: DataFrame) -> DataFrame:
     return h.groupBy("jid").agg(F.every(F.coalesce(F.col("last_time") > F.col("end_time"), F.lit(False))).alias("ready"))
 
 
-def listing_gates(job: DataFrame, metric: DataFrame, expected: int) -> DataFrame:
-    """Jobs to compute: with too few metric rows or none, with NULLs that lack a reason, or that once failed the gate and are to be looked at again."""
-    stale = F.count_if(F.col("value").isNull() & (F.coalesce("no_data_reason", F.lit("")) == ""))
-    m = metric.groupBy("jid").agg(F.count(F.lit(1)).alias("rows"), stale.alias("stale"), F.bool_or(F.coalesce(F.col("no_data_reason") == INSUFFICIENT, F.lit(False))).alias("gate"))
+def listing_gates(job: DataFrame, metric: DataFrame, expected: int, times: str | None = None) -> DataFrame:
+    """Jobs to compute: with too few metric rows or none, with NULLs that lack a reason, or that once failed the gate and are to be looked at again.
+
+    ``times`` names the column that has how many rows of ``metric`` a row stands for.
+    """
+    n = F.lit(1).cast("long") if times is None else F.col(times)
+    stale = F.sum(F.when(F.col("value").isNull() & (F.coalesce("no_data_reason", F.lit("")) == ""), n).otherwise(0))
+    m = metric.groupBy("jid").agg(F.sum(n).alias("rows"), stale.alias("stale"), F.bool_or(F.coalesce(F.col("no_data_reason") == INSUFFICIENT, F.lit(False))).alias("gate"))
     d = job.join(m, "jid", "left").fillna({"rows": 0, "stale": 0, "gate": False}, ["rows", "stale", "gate"])
     return d.where((F.col("rows") < expected) | (F.col("stale") > 0) | F.col("gate")).select("jid", "rows", "stale", "gate")
 
