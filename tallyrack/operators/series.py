@@ -88,7 +88,7 @@ def _first(names: list[str], usable) -> Column:
     return reduce(lambda c, n: c.when(usable(n), F.col(n)), names, F)
 
 
-def job_series(df: DataFrame, job: DataFrame | None = None) -> DataFrame:
+def job_series(df: DataFrame, job: DataFrame | None = None, columns: list = ("*",)) -> DataFrame:
     """(jid, host, time) with a column for each series; a row for every sample time of a host.
 
     A series of ``FIRST`` comes from its first source without a gap, a series of ``WHOLE`` is NULL
@@ -101,10 +101,15 @@ def job_series(df: DataFrame, job: DataFrame | None = None) -> DataFrame:
     terms = [*SINGLE, Term("opa_bw", "host_opa", "arc", OPA, 1 / 125000), Term("utilization", "nvidia_gpu", "value", ("utilization",), 1.0), Term("cha_counter_arc_sum", CHA, "arc", CHA_EVENTS, 1.0)]
     terms += [Term(c, t, "arc", ev, k) for n, sources in FIRST.items() for c, (t, ev, k) in zip(tries[n], sources)]
     wide = summed(df, terms, ["jid", "host", "time"])
-    finish = lambda d: _series_of(d, terms, tries)
+    finish = lambda d: _chosen(_series_of(d, terms, tries), columns)
     return finish(wide) if job is None else over_jobs(job, wide, finish)
 
 
+def _chosen(d: DataFrame, columns) -> DataFrame:
+    """``columns`` beside the jid: made before rows go to the jobs, so once for all jobs with the same windows."""
+    return d if tuple(columns) == ("*",) else d.select("jid", *columns)
+
+
 def _series_of(wide: DataFrame, terms: list[Term], tries: dict[str, list[str]]) -> DataFrame:
     counts = wide.groupBy(F.col("jid").alias("_jid")).agg(F.count(F.lit(1)).alias("_all"), *[F.count(x.name).alias(f"_c_{x.name}") for x in terms])
     d = wide.join(counts, F.col("jid").eqNullSafe(F.col("_jid")))
@@ -134,7 +139,7 @@ def _points(d: DataFrame, keys: list[str]) -> DataFrame:
     return d.withColumn("ai", F.col("flops_gf") / F.nullif(F.col("bw_gb"), F.lit(0.0))).where("flops_gf > 0 and ai > 0").select(*keys, "flops_gf", "bw_gb", "ai")
 
 
-def job_roofline(df: DataFrame, job: DataFrame | None = None) -> DataFrame:
+def job_roofline(df: DataFrame, job: DataFrame | None = None, columns: list = ("*",)) -> DataFrame:
     """(jid, host, time, flops_gf, bw_gb, ai) from the sources that the job has.
 
     AMD counters if it has both of theirs; else the first of the others for each axis, in the
@@ -148,7 +153,7 @@ def job_roofline(df: DataFrame, job: DataFrame | None = None) -> DataFrame:
             terms += [Term(f"{s}{i}", t, "arc", ev, k) for t, ev, k in parts]
     keys = ["jid", "host", "time"]
     wide = summed(df, terms, keys)
-    finish = lambda d: _roofline_of(d, side, keys)
+    finish = lambda d: _chosen(_roofline_of(d, side, keys), columns)
     return finish(wide) if job is None else over_jobs(job, wide, finish)
 
 
