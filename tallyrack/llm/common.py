@@ -100,6 +100,23 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4_000_000):
     released()
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker from task to task.
+
+    Workers live on and serve the tasks of other operators: what those kept is dropped here,
+    and its memory goes back.
+    """
+    others = [k for k, v in _kept.items() if k != owner and v]
+    for k in others:
+        _kept[k].clear()
+    if others:
+        released()
+    return _kept.setdefault(owner, {})
+
+
 def released() -> None:
     """Memory that a worker has freed goes back to the system: workers live on between stages and would keep it."""
     pa.default_memory_pool().release_unused()

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Encoded cuts that one Python worker remembers from batch to batch (about 200 bytes each).
 MEMO_ENTRIES = 400_000
 #: Cuts in one call of the library.
@@ -26,8 +28,6 @@ MARK = "\x00"
 #: Texts with two white-space characters in a row, or the mark, are encoded whole.
 ODD = r"[\s\x{0b}\x{85}\pZ][\s\x{0b}\x{85}\pZ]|\x00"
 
-_loaded: dict[tuple[str, bool], tuple] = {}
-
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public tokenizer file on this machine."""
@@ -38,7 +38,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def _load(path: str, special_as_text: bool = False):
     """(tokenizer, memo of cuts, strings of the added tokens)."""
-    if (path, special_as_text) not in _loaded:
+    loaded = kept("tokens")
+    if (path, special_as_text) not in loaded:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,8 +47,8 @@ def _load(path: str, special_as_text: bool = False):
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = special_as_text
-        _loaded[path, special_as_text] = (tok, {}, [t.content for t in tok.get_added_tokens_decoder().values()])
-    return _loaded[path, special_as_text]
+        loaded[path, special_as_text] = (tok, {}, [t.content for t in tok.get_added_tokens_decoder().values()])
+    return loaded[path, special_as_text]
 
 
 def tokenizer(path: str, special_as_text: bool = False):

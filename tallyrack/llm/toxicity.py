@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, slices, table, without, words_of
+from .common import crc_mod, cut, kept, slices, table, without, words_of
 
 #: Labelled documents that the classifier is fitted on at most (by crc32 of the key).
 MAX_LABELLED = 200_000
@@ -146,22 +146,30 @@ def by_start(features) -> dict[str, set]:
 
 
 def _read(texts: pa.Array):
-    """Distinct words of a batch, the word number at each place, and the text of each place."""
+    """Distinct words of a batch, the word number at each place, and the number of words of each text."""
     flat, counts = words_of(texts, lower=True)
     enc = flat.dictionary_encode()
-    return enc.dictionary, enc.indices.to_numpy(), np.repeat(np.arange(len(counts)), counts)
+    return enc.dictionary, enc.indices.to_numpy(), counts
 
 
-def _spelled(names: list[str], words: pa.Array, at: np.ndarray, text: np.ndarray):
+def _cores(words: pa.Array) -> pa.Array:
+    """``core_of`` of each word."""
+    return pc.utf8_rtrim(pc.utf8_ltrim(words, characters=LEFT), characters=RIGHT)
+
+
+def _spelled(words: pa.Array, cores: pa.Array, at: np.ndarray, text: np.ndarray):
     """(text, word) for each row of three or more single letters."""
-    single = np.array([len(w) == 1 and (w.isalpha() or w in LOOKS_LIKE) for w in (core_of(x) if n < 5 else "" for x, n in zip(names, pc.utf8_length(words).to_pylist()))], dtype=bool)
-    on = np.flatnonzero(single[at]) if len(at) else np.zeros(0, int)
+    short = pc.and_(pc.less(pc.utf8_length(words), 5), pc.equal(pc.utf8_length(cores), 1)).to_numpy(zero_copy_only=False)
+    letter = {int(i): w for i in np.flatnonzero(short) if (w := cores[int(i)].as_py()).isalpha() or w in LOOKS_LIKE}
+    single = np.zeros(len(words), bool)
+    single[list(letter)] = True
+    on = np.flatnonzero(single[at]) if letter else np.zeros(0, int)
     if len(on) < 3:
         return
     breaks = np.flatnonzero((np.diff(on) != 1) | (np.diff(text[on]) != 0)) + 1
     for run in np.split(on, breaks):
         if len(run) >= 3:
-            yield int(text[run[0]]), "".join(core_of(names[i]) for i in at[run])
+            yield int(text[run[0]]), "".join(letter[int(i)] for i in at[run])
 
 
 def _whole_and_parted(channel: Channel, spelled: str) -> list[str]:
@@ -169,38 +177,55 @@ def _whole_and_parted(channel: Channel, spelled: str) -> list[str]:
     return list(dict.fromkeys([*channel.restore(spelled), *(w for r in channel.restore(spelled, breaks=True) for w in r.split())]))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once: by sorting, which takes less time than the hash table of np.unique."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def evidence(texts: pa.Array, channel: Channel, wanted: dict[str, set] | None = None):
     """(features, feature number, text number): what each text of a batch shows, each once."""
-    words, at, text = _read(texts)
-    names = words.to_pylist()
+    return _evidence(_read(texts), channel, wanted)
+
+
+def _evidence(read: tuple, channel: Channel, wanted: dict[str, set] | None = None):
+    """The same of what ``_read`` gives; of words that neither begin as a wanted feature does nor look disguised nothing is looked up."""
+    words, at, counts = read
+    text = np.repeat(np.arange(len(counts)), counts)
+    cores = _cores(words)
+    odd = pc.match_substring_regex(words, SUSPECT)
+    near = None if wanted is None else pc.is_in(pc.utf8_slice_codeunits(cores, 0, PREFIXES[0]), value_set=pa.array(list(wanted), pa.string()))
+    on = np.arange(len(words)) if near is None else np.flatnonzero(pc.or_(near, odd).to_numpy(zero_copy_only=False))
     number: dict[str, int] = {}
-    of_word: list[list[int]] = []
-    suspect = pc.match_substring_regex(words, SUSPECT).to_pylist() if len(words) else []
     own = lambda core: [number.setdefault(f, len(number)) for f in _features(core, wanted)]
-    for w, odd in zip(names, suspect):
-        f = own(core_of(w))
-        if odd and (wanted is None or channel.may_begin(core_of(w), wanted)):
-            for r in channel.restore(core_of(w)):
+    of_word: list[list[int]] = []
+    for core, suspect in zip(cores.take(pa.array(on)).to_pylist(), odd.take(pa.array(on)).to_pylist()):
+        f = own(core)
+        if suspect and (wanted is None or channel.may_begin(core, wanted)):
+            for r in channel.restore(core):
                 f += own(r)
         of_word.append(f)
-    seen = np.unique(text * max(len(names), 1) + at) if len(at) else np.zeros(0, np.int64)
-    t, w = seen // max(len(names), 1), seen % max(len(names), 1)
-    sizes = np.fromiter(map(len, of_word), np.int64, len(of_word))
+    sizes = np.zeros(len(words), np.int64)
+    sizes[on] = np.fromiter(map(len, of_word), np.int64, len(of_word))
     flat = np.fromiter((x for f in of_word for x in f), np.int64, int(sizes.sum()))
     first = np.cumsum(sizes) - sizes
+    telling = np.flatnonzero(sizes[at] > 0) if len(at) else np.zeros(0, np.int64)
+    seen = _distinct(text[telling] * max(len(words), 1) + at[telling])
+    t, w = seen // max(len(words), 1), seen % max(len(words), 1)
     per = sizes[w]
     ends = np.cumsum(per)
     f = flat[np.repeat(first[w] - (ends - per), per) + np.arange(ends[-1] if len(ends) else 0)]
     t = np.repeat(t, per)
-    more = [(x, n) for x, spelled in _spelled(names, words, at, text) for r in _whole_and_parted(channel, spelled) for n in own(r)]
+    more = [(x, n) for x, spelled in _spelled(words, cores, at, text) for r in _whole_and_parted(channel, spelled) for n in own(r)]
     if more:
         t, f = np.append(t, [m[0] for m in more]), np.append(f, [m[1] for m in more])
-    pairs = np.unique(t * max(len(number), 1) + f)
+    pairs = _distinct(t * max(len(number), 1) + f)
     return list(number), pairs % max(len(number), 1), pairs // max(len(number), 1)
 
 
 def _trigrams(batches):
     """Counts of letter trigrams, edges included, of all words of the texts."""
+    kept("toxicity")  # nothing: what other operators kept makes room
     total = np.zeros(BASE**3, np.int64)
     for whole in batches:
         for b in slices(whole, 0):
@@ -272,13 +297,14 @@ def _shown(channel: Channel, number: dict[str, int]):
         starts = by_start(number)
         for whole in batches:
             for b in slices(whole, 1):
-                names, f, t = evidence(b.column(1), channel, starts)
+                read = _read(b.column(1))
+                names, f, t = _evidence(read, channel, starts)
                 own = np.array([number.get(x, -1) for x in names], np.int64)[f] if names else np.zeros(0, np.int64)
                 on = np.flatnonzero(own >= 0)
                 t, own = t[on], own[on]
                 ends = np.searchsorted(t, np.arange(len(b) + 1))
                 rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words_of(b.column(1))[1]), rows], ["y", "n", "f"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(read[2]), rows], ["y", "n", "f"])
 
     return run
 
@@ -289,10 +315,11 @@ def _scored(model: Model, text: str):
         for whole in batches:
             at = whole.schema.get_field_index(text)
             for b in slices(whole, at):
-                names, f, t = evidence(b.column(at), model.channel, starts)
+                read = _read(b.column(at))
+                names, f, t = _evidence(read, model.channel, starts)
                 w = np.array([model.weight.get(x, 0.0) for x in names])
                 z = np.bincount(t, weights=w[f], minlength=len(b)) if len(f) else np.zeros(len(b))
-                z = np.clip(z + model.bias + model.length * np.log1p(words_of(b.column(at))[1]), -30, 30)
+                z = np.clip(z + model.bias + model.length * np.log1p(read[2]), -30, 30)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)))], [*b.schema.names, "score"])
 
     return run

@@ -113,3 +113,25 @@ def test_wanted_features_are_those_of_all():
     for text in texts:
         every = set(T.evidence(pa.array([text]), channel)[0])
         assert set(T.evidence(pa.array([text]), channel, T.by_start(wanted))[0]) == every & set(wanted)
+
+
+def test_only_words_that_may_tell_are_looked_up(monkeypatch):
+    """Before, each distinct word of a batch was taken apart and looked up, whatever its beginning."""
+    channel, asked, features = T.Channel(np.zeros((T.BASE,) * 3)), [], T._features
+    monkeypatch.setattr(T, "_features", lambda core, wanted: asked.append(core) or features(core, wanted))
+    plain = " ".join(f"w{a}{b}{c}x" for a in "bcdefgh" for b in "bcdefgh" for c in "bcdefgh")
+    names, f, t = T.evidence(pa.array([plain, None, "", f"{plain} «Clown», «Clown» (c1own"]), channel, T.by_start(["clown", "clo*"]))
+    assert set(names) == {"clown", "clo*"} and sorted(zip(t.tolist(), f.tolist())) == [(3, 0), (3, 1)] and len(asked) < 20
+    odd = ["", "　x　", "--a!|", "…„ß“—", "~`'", "~(x)!", "¡Ñ!", "|a|", "İ.", "\U0001d400-"]
+    assert T._cores(pa.array(odd)).to_pylist() == [T.core_of(w) for w in odd]
+
+
+def test_a_worker_drops_what_other_operators_kept():
+    """Before, the cuts that packing had encoded stayed in the workers beside the next stage's data."""
+    from tallyrack.llm import common, tokens
+
+    tokens.encode(pa.array(["some words to keep"]), tokens.tokenizer_path())
+    assert common._kept["tokens"]
+    list(T._trigrams([pa.RecordBatch.from_arrays([pa.array(["a b"])], ["text"])]))
+    assert not common._kept["tokens"]
+    assert tokens.encode(pa.array(["some words to keep"]), tokens.tokenizer_path())[1].tolist() == [4]
