@@ -31,7 +31,7 @@ WINDOW = 1024
 BLOCK_TOKENS = 1 << 19
 MIN_PIECE = 256
 #: Bytes of text encoded at once: behind other stages an executor's heap has grown, and workers have less room.
-TEXT_BYTES = 3_000_000
+TEXT_BYTES = 1_500_000
 #: Offsets are broadcast up to so many (partition, source) pairs; beyond it they are joined.
 BROADCAST_ROWS = 200_000
 

@@ -20,8 +20,8 @@ from .common import kept
 
 #: Encoded cuts that one Python worker remembers from batch to batch (about 200 bytes each).
 MEMO_ENTRIES = 400_000
-#: Cuts in one call of the library.
-CALL = 20_000
+#: Cuts in one call of the library, and of those that it gets joined in one string.
+CALL, JOINED = 20_000, 1_000
 #: Bytes of text encoded at once: the more, the fewer cuts are encoded again.
 TEXT_BYTES = 8_000_000
 MARK = "\x00"
@@ -37,7 +37,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def _load(path: str, special_as_text: bool = False):
-    """(tokenizer, memo of cuts, strings of the added tokens)."""
+    """(tokenizer, memo of cuts, strings of the added tokens, bytes of each id)."""
     loaded = kept("tokens")
     if (path, special_as_text) not in loaded:
         import os
@@ -47,7 +47,7 @@ def _load(path: str, special_as_text: bool = False):
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = special_as_text
-        loaded[path, special_as_text] = (tok, {}, [t.content for t in tok.get_added_tokens_decoder().values()])
+        loaded[path, special_as_text] = (tok, {}, [t.content for t in tok.get_added_tokens_decoder().values()], token_bytes(tok))
     return loaded[path, special_as_text]
 
 
@@ -67,9 +67,45 @@ def encoded_cuts(tok, cuts: list[str]) -> list[bytes]:
     return out
 
 
+def token_bytes(tok) -> np.ndarray:
+    """Bytes that each id stands for: a byte-level token has one character for each."""
+    vocab = tok.get_vocab(with_added_tokens=False)
+    size = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+    size[list(vocab.values())] = list(map(len, vocab))
+    return size
+
+
+def encoded_words(tok, size: np.ndarray, cuts: list[str]) -> list[bytes]:
+    """``encoded_cuts``, with words behind a space joined in one string: their ids end where their bytes do.
+
+    No token reaches over a space from a non-space, so the ids are those of each cut alone.
+    Where a joined cut does not end with a token all the same, its cuts are encoded one by one.
+    """
+    out: list = [None] * len(cuts)
+    single = [i for i, w in enumerate(cuts) if len(w) < 2 or w[0] != " " or w[1].isspace() or w[-1].isspace()]
+    alone = set(single)
+    joint = [i for i in range(len(cuts)) if i not in alone]
+    for k in range(0, len(joint), JOINED * 20):
+        parts = [joint[i : i + JOINED] for i in range(k, min(k + JOINED * 20, len(joint)), JOINED)]
+        for part, e in zip(parts, tok.encode_batch_fast(["".join([cuts[i] for i in part]) for part in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum(pc.binary_length(pa.array([cuts[i] for i in part], pa.string())).to_numpy().astype(np.int64))
+            reach = np.cumsum(size[ids]) if len(ids) and ids.max() < len(size) else np.zeros(1, np.int64)
+            last = np.searchsorted(reach, ends)
+            if reach[-1] != ends[-1] or (reach[last] != ends).any():
+                single += part
+                continue
+            data, at = ids.tobytes(), 0
+            for i, z in zip(part, (4 * (last + 1)).tolist()):
+                out[i], at = data[at:z], z
+    for i, own in zip(single, encoded_cuts(tok, [cuts[i] for i in single])):
+        out[i] = own
+    return out
+
+
 def encode(texts: pa.Array, path: str, special_as_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and the number of ids of each text (null: empty)."""
-    tok, memo, added = _load(path, special_as_text)
+    tok, memo, added, size = _load(path, special_as_text)
     texts = pc.fill_null(texts, "")
     odd = pc.match_substring_regex(texts, ODD)
     for mark in added:
@@ -80,9 +116,9 @@ def encode(texts: pa.Array, path: str, special_as_text: bool = False) -> tuple[n
     cut = pc.replace_substring(cut, "\n", MARK + "\n" + MARK)
     lists = pc.split_pattern(pc.replace_substring(cut, " ", MARK + " "), MARK)
     words = pc.list_flatten(lists).dictionary_encode()
-    names = words.dictionary.to_pylist()
+    names = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
     new = [w for w in names if w not in memo]
-    fresh = dict(zip(new, encoded_cuts(tok, new)))
+    fresh = dict(zip(new, encoded_words(tok, size, new)))
     own = [memo[w] if w in memo else fresh[w] for w in names]
     for w in new[: max(MEMO_ENTRIES - len(memo), 0)]:
         memo[w] = fresh[w]

@@ -5,6 +5,7 @@ from functools import cache
 import numpy as np
 
 from tallyrack.llm.packing import op3_packing, packed, rounds
+from tallyrack.llm import tokens
 from tallyrack.llm.tokens import encode, tokenizer_path
 
 
@@ -98,3 +99,24 @@ def test_tokens_equal_the_library():
     spelled.encode_special_tokens = True
     ids, _ = encode(pa.array(texts), tokenizer_path(), special_as_text=True)
     assert ids.tolist() == sum((spelled.encode(t or "", add_special_tokens=False).ids for t in texts), []) and 50256 not in ids
+
+
+def test_cuts_are_encoded_many_to_a_string(monkeypatch):
+    """Before, the library made an object of its own for every distinct cut."""
+    asked, library = [], untouched()
+
+    class Counting:
+        get_vocab = library.get_vocab
+
+        def encode_batch_fast(self, strings, add_special_tokens):
+            asked.extend(strings)
+            return library.encode_batch_fast(strings, add_special_tokens=add_special_tokens)
+
+    odd = ["", " ", "a", "\n", ".", " a\t", " \u3000x", " x\u00a0", " \u00e9\u0301\U0001f600", " 's", " can't", " --", " 12,5", " a\tb", " \ufeff", "word", ",x"]
+    cuts = [x for i in range(3000) for x in ([f" w{i}", f" \u5b57{i}!"] + (odd if i % 1000 == 7 else []))]
+    got = tokens.encoded_words(Counting(), tokens.token_bytes(library), cuts)
+    assert got == tokens.encoded_cuts(library, cuts)
+    assert len(asked) < 100 < len(cuts)
+    # where ids do not end with the cuts, these are encoded one by one
+    strange = [*cuts[:50], " <|endoftext|>"]
+    assert tokens.encoded_words(library, tokens.token_bytes(library), strange) == tokens.encoded_cuts(library, strange)
