@@ -39,6 +39,8 @@ SEPARATORS = ".-_*~'`/\\"
 #: Costs (negative log10 probability) of the channel.
 SWAP, FOLD, SKIP, BREAK = 0.3, 0.2, 0.2, 0.2
 RESTORATIONS = 3
+#: Bytes of text read at once: it takes no more time than 4 MB, and a third of the memory less.
+TEXT_BYTES = 1_000_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER = len(LETTERS) + 1  # 0 is the edge of a word
 BASE = len(LETTERS) + 2
@@ -228,14 +230,14 @@ def _trigrams(batches):
     kept("toxicity")  # nothing: what other operators kept makes room
     total = np.zeros(BASE**3, np.int64)
     for whole in batches:
-        for b in slices(whole, 0):
+        for b in slices(whole, 0, TEXT_BYTES):
             words, at, _ = _read(b.column(0))
             if not len(at):
                 continue
             times = np.bincount(at, minlength=len(words))
             plain = pc.replace_substring_regex(pc.replace_substring_regex(words, r"[\x21-\x60\x7b-\x7e]*$", ""), r"[^\x00-\x7f]", "~")
             size = pc.binary_length(plain).to_numpy().astype(np.int64)
-            raw = np.frombuffer(pc.binary_join(pa.array([plain.to_pylist()]), "").to_pylist()[0].encode(), np.uint8)
+            raw = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[: int(size.sum())]
             codes = np.where((raw >= 97) & (raw <= 122), raw.astype(np.int64) - 96, OTHER)
             ends = np.cumsum(size) + 3 * np.arange(len(size))  # two edges before, one after each word
             line = np.zeros(len(codes) + 3 * len(size), np.int64)
@@ -261,7 +263,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 def _counted(channel: Channel):
     def run(batches):
         for whole in batches:
-            for b in slices(whole, 0):
+            for b in slices(whole, 0, TEXT_BYTES):
                 toxic = b.column(1).to_numpy()
                 names, f, t = evidence(b.column(0), channel)
                 hits = np.bincount(f, weights=toxic[t], minlength=len(names)).astype(np.int64)
@@ -275,7 +277,7 @@ def _clean_counted(channel: Channel, wanted: set):
     def run(batches):
         starts = by_start(wanted)
         for whole in batches:
-            for b in slices(whole, 0):
+            for b in slices(whole, 0, TEXT_BYTES):
                 names, f, _ = evidence(b.column(0), channel, starts)
                 n = np.bincount(f, minlength=len(names))
                 at = [i for i, x in enumerate(names) if x in wanted]
@@ -296,7 +298,7 @@ def _shown(channel: Channel, number: dict[str, int]):
     def run(batches):
         starts = by_start(number)
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, TEXT_BYTES):
                 read = _read(b.column(1))
                 names, f, t = _evidence(read, channel, starts)
                 own = np.array([number.get(x, -1) for x in names], np.int64)[f] if names else np.zeros(0, np.int64)
@@ -314,7 +316,7 @@ def _scored(model: Model, text: str):
         starts = by_start(model.weight)
         for whole in batches:
             at = whole.schema.get_field_index(text)
-            for b in slices(whole, at):
+            for b in slices(whole, at, TEXT_BYTES):
                 read = _read(b.column(at))
                 names, f, t = _evidence(read, model.channel, starts)
                 w = np.array([model.weight.get(x, 0.0) for x in names])

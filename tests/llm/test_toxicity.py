@@ -135,3 +135,15 @@ def test_a_worker_drops_what_other_operators_kept():
     list(T._trigrams([pa.RecordBatch.from_arrays([pa.array(["a b"])], ["text"])]))
     assert not common._kept["tokens"]
     assert tokens.encode(pa.array(["some words to keep"]), tokens.tokenizer_path())[1].tolist() == [4]
+
+
+def test_texts_are_read_in_small_slices(monkeypatch):
+    """Before, 4 MB were read at once, which took a worker more memory than all other stages of the pipeline."""
+    read, sizes = T._read, []
+    monkeypatch.setattr(T, "_read", lambda texts: sizes.append(sum(len(t or "") for t in texts.to_pylist())) or read(texts))
+    texts = pa.array(["some words of a text " * 2000] * 100 + [None, "", "\u00e4b \u3000 x!!"])
+    (got,) = T._trigrams([pa.RecordBatch.from_arrays([texts], ["text"])])
+    assert max(sizes) <= 1_000_000 and sum(sizes) > 4_000_000
+    (one,) = T._trigrams([pa.RecordBatch.from_arrays([texts.slice(99)], ["text"])])
+    a, b = (dict(zip(x.column(0).to_pylist(), x.column(1).to_pylist())) for x in (got, one))
+    assert {k for k in a} == {k for k in b} and sum(a.values()) == 99 * 2000 * (4 + 5 + 2 + 1 + 4 + 5) + sum(b.values())
