@@ -43,13 +43,16 @@ def parse_lines(text: DataFrame, excluded: tuple[str, ...] = EXCLUDED) -> DataFr
 
     A line whose number of values is not that of its schema is left out.  ``@fast`` rows hold
     the columns that are not slow, ``@full`` and unmarked rows all; absent ones give no row.
+    Lines are sorted as they are and taken apart afterwards, since their parts take several
+    times the memory.
     """
-    head = F.when(F.col("line").rlike(HEADER), F.split("line", r"\s+"))
-    d = carried(text.withColumn("tok", F.split("line", r"\s+")), {"head": head})
-    first = F.get("tok", F.lit(0))
+    d = carried(text, {"head": F.when(F.col("line").rlike(HEADER), F.col("line"))})
+    first = F.split("line", r"\s+", 2)[0]
     d = d.withColumn("type", F.when(first.startswith("!"), F.substring(first, 2, 1000)).otherwise(first))
-    fields = F.transform(F.slice("tok", F.lit(2), F.size("tok") - 1), parse_field_options)
+    tok = F.split("line", r"\s+")
+    fields = F.transform(F.slice(tok, F.lit(2), F.size(tok) - 1), parse_field_options)
     d = carried(d, {"schema": F.when(first.startswith("!"), fields)}, ["file", "type"])
+    d = d.withColumns({"tok": tok, "head": F.split("head", r"\s+")})
     d = d.where(~first.startswith("!") & ~first.startswith("$") & ~F.col("line").rlike(HEADER) & F.col("head").isNotNull() & F.col("schema").isNotNull() & ~F.col("type").isin(*excluded))
     tier = F.when(F.get("tok", F.lit(2)).isin("@fast", "@full"), F.get("tok", F.lit(2)))
     skip = F.when(tier.isNotNull(), 4).otherwise(3)
